@@ -25,16 +25,15 @@ def percent_encode(c: Column) -> Column:
 
 def _remove_dots(path: Column) -> Column:
     """Resolve `.` and `..` segments of an absolute path."""
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
 
     def step(done: Column, part: Column) -> Column:
         up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
 
-    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    parts = F.filter(F.split(path, "/"), lambda _, i: i > 0)
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
     closing = F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.lit("/"), F.array_join(walked, "/"))
-    tidy = F.when(joined.endswith("/"), joined).otherwise(F.concat(joined, closing))
+    tidy = F.regexp_replace(F.concat(walked, closing), r"//\z", "/")
     return F.when(path.rlike(r"/\.\.?(/|\z)"), tidy).otherwise(path)
 
 
@@ -52,8 +51,7 @@ def url_host(c: Column) -> Column:
 
 def url_path(c: Column) -> Column:
     """Path of an absolute URL; `/` when it is empty."""
-    rest = F.regexp_extract(c, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
-    return F.when(rest == "", F.lit("/")).otherwise(rest)
+    return F.regexp_replace(F.regexp_extract(c, r"(?i)^https?://[^/?#]+([^?#]*)", 1), r"^\z", "/")
 
 
 def url_query(c: Column) -> Column:
@@ -63,19 +61,24 @@ def url_query(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """Canonical spelling: no fragment, no /index.htm(l), no trailing slash; NULL if not http(s)."""
-    path = percent_encode(_remove_dots(url_path(c)))
-    no_index = F.regexp_replace(path, r"/index\.html?\z", "")
-    filled = F.when(no_index == "", F.lit("/")).otherwise(no_index)
-    short = F.when(F.length(filled) > 1, F.regexp_replace(filled, r"/\z", "")).otherwise(filled)
-    return F.concat(url_origin(c), short, percent_encode(url_query(c)))
+
+    def tidy(path: Column) -> Column:
+        no_index = F.regexp_replace(percent_encode(path), r"/index\.html?\z", "")
+        return F.regexp_replace(F.regexp_replace(no_index, r"(.)/\z", "$1"), r"^\z", "/")
+
+    path = let(let(url_path(c), _remove_dots), tidy)
+    return F.concat(url_origin(c), path, let(url_query(c), percent_encode))
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """Absolute http(s) URL of `href` found on the page `base`, normalised; NULL for other schemes."""
-    ref = F.regexp_replace(F.regexp_replace(href, "[\t\n\r]", ""), r"\\", "/")
+    return let(F.translate(href, "\\\t\n\r", "/"), lambda ref: let(_absolute(ref, base), normalize_url))
+
+
+def _absolute(ref: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"(?i)^(https?:)", 1)
     folder = F.regexp_replace(url_path(base), r"[^/]*\z", "")
-    absolute = (
+    return (
         F.when(ref.rlike(r"(?i)^https?://"), ref)
         .when(ref.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(ref.startswith("//"), F.concat(scheme, ref))
@@ -84,4 +87,3 @@ def resolve_url(href: Column, base: Column) -> Column:
         .when((ref == "") | ref.startswith("#"), F.regexp_replace(base, "#.*", ""))
         .otherwise(F.concat(url_origin(base), folder, ref))
     )
-    return let(absolute, normalize_url)

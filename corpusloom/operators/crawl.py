@@ -17,6 +17,7 @@ from ..settings import (
     MAX_PAGES,
     SITEMAP_PATH,
     checkpoint,
+    materialise,
 )
 from .running import running
 
@@ -152,7 +153,7 @@ def sitemap_locs(maps: DataFrame) -> DataFrame:
 
 def expand_sitemaps(maps: DataFrame, roots: DataFrame, max_rounds: int = 20) -> DataFrame:
     """Page URLs listed by the root sitemaps (sitemap_url) and by the sitemaps nested below them."""
-    entries = sitemap_locs(maps)
+    entries = materialise(sitemap_locs(maps), "sitemaps")
     nested = entries.filter("nested").select(F.col("sitemap_url").alias("src"), F.col("loc").alias("dst"))
     known = reachable(nested, roots.select(F.col("sitemap_url").alias("url")), max_rounds)
     pages = entries.filter(~F.col("nested")).join(known.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_semi")
@@ -163,7 +164,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) ->
     """(url, depth): every url reachable from the seeds (depth 1), at its smallest depth.
 
     One join per level. Each level is checkpointed in the shared folder, so neither the plan nor a
-    recovery grows with the depth.
+    recovery grows with the depth. `edges` is read once per level and should be a stored table.
     """
     links = edges.select("src", "dst").filter("src <> dst")
     frontier = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(1)))
