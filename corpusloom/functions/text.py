@@ -16,9 +16,8 @@ from ..settings import (
     NON_BLANK_LINE,
     PAGINATION_LINE,
     STOP_WORDS,
-    WORD_RE,
+    WIDE_WS,
     WS,
-    WS_RE,
 )
 
 # (?m) multi-line, (?d) only \n ends a line.
@@ -30,8 +29,13 @@ def ws_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
 
+def _plain_ws(c: Column) -> Column:
+    """Map the white space outside ASCII to blanks, so that the fast classes \\s and \\S are exact."""
+    return F.translate(c, WIDE_WS, " " * len(WIDE_WS))
+
+
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(WORD_RE))
+    return F.regexp_count(_plain_ws(c), F.lit(r"\S+"))
 
 
 def long_enough(c: Column) -> Column:
@@ -40,7 +44,7 @@ def long_enough(c: Column) -> Column:
 
 def norm_key(c: Column) -> Column:
     """Case- and spacing-insensitive form used to recognise repeated passages."""
-    return F.trim(F.regexp_replace(F.lower(c), WS_RE + "+", " "))
+    return F.trim(F.regexp_replace(_plain_ws(F.lower(c)), r"\s+", " "))
 
 
 def content_hash(c: Column) -> Column:

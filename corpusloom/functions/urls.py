@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let
+
 # Characters that a URL path or query must carry percent-encoded (besides non-ASCII ones).
 _ENCODE = r"\x00-\x20\"<>^`{}\x7f-\x{10ffff}"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def percent_encode(c: Column) -> Column:
     """Encode what must not appear raw in a path; leave everything else untouched."""
     runs = F.regexp_extract_all(c, F.lit(f"([^{_ENCODE}]+|[{_ENCODE}]+)"), F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import array_rows
 from ..functions.markdown import split_passages
 from ..functions.text import is_link_list, long_enough, strip_html_lines, word_count
 from ..settings import DOT_RE, LINE_WS_RE
@@ -19,7 +20,7 @@ def chunk_sets(docs: DataFrame, text: str = "text") -> DataFrame:
 def explode_chunks(sets: DataFrame) -> DataFrame:
     """One row per kept chunk of `chunk_sets`."""
     keep = [c for c in sets.columns if c not in ("chunks", "dropped")]
-    rows = sets.select(*keep, F.posexplode("chunks").alias("chunk_index", "_c"))
+    rows = array_rows(sets, keep, F.col("chunks"), "_c", "chunk_index")
     return rows.select(*keep, "chunk_index", "_c.*").withColumn("token_count", word_count(F.col("content")))
 
 
@@ -57,7 +58,7 @@ def heading_outline(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Only heading lines are shuffled; one group holds the headings of one document row.
     """
     pattern = F.lit(f"(?md)^(#{{1,6}}{LINE_WS_RE}+{DOT_RE}+)")
-    lines = docs.select(doc_id, F.posexplode(F.regexp_extract_all(text, pattern, F.lit(1))).alias("pos", "_line"))
+    lines = array_rows(docs, [doc_id], F.regexp_extract_all(text, pattern, F.lit(1)), "_line", "pos")
     heads = lines.select(
         doc_id,
         "pos",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import array_rows, struct_rows
 from ..functions.html import canonical_href, hrefs
 from ..functions.text import ws_trim
 from ..functions.urls import normalize_url, resolve_url, url_host, url_origin, url_path
@@ -16,7 +17,6 @@ from ..settings import (
     MAX_DEPTH,
     MAX_PAGES,
     SITEMAP_PATH,
-    checkpoint,
     materialise,
 )
 from .running import running
@@ -39,7 +39,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """
     here = pages.select(normalize_url(F.col("url")).alias("page_url"), hrefs(F.col("html")).alias("_hrefs"))
     usable = F.filter("_hrefs", lambda h: (h != "") & ~h.rlike(r"^(#|mailto:|tel:|javascript:)"))
-    raw = here.select("page_url", F.explode(F.array_distinct(usable)).alias("_href"))
+    raw = array_rows(here, ["page_url"], F.array_distinct(usable), "_href")
     links = raw.select("page_url", resolve_url(F.col("_href"), F.col("page_url")).alias("link"))
     return links.filter(F.col("link").isNotNull()).distinct()
 
@@ -110,7 +110,7 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
         tagged("delay", delay),
         tagged("sitemap", F.filter(sitemaps, lambda v: v.isNotNull())),
     )
-    return picked.select("origin", F.inline(rules))
+    return struct_rows(picked, ["origin"], rules)
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def sitemap_locs(maps: DataFrame) -> DataFrame:
     Entries that are sitemaps themselves are flagged `nested` and kept whatever their origin.
     """
     raw = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<]+)\s*</loc>"), F.lit(1))
-    locs = maps.select("sitemap_url", F.explode(F.array_distinct(F.transform(raw, ws_trim))).alias("_loc"))
+    locs = array_rows(maps, ["sitemap_url"], F.array_distinct(F.transform(raw, ws_trim)), "_loc")
     urls = locs.select("sitemap_url", resolve_url(F.col("_loc"), F.col("sitemap_url")).alias("loc"))
     marked = urls.withColumn("nested", url_path(F.col("loc")).rlike(SITEMAP_PATH))
     same = url_origin(F.col("loc")) == url_origin(F.col("sitemap_url"))
@@ -163,15 +163,15 @@ def expand_sitemaps(maps: DataFrame, roots: DataFrame, max_rounds: int = 20) ->
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(url, depth): every url reachable from the seeds (depth 1), at its smallest depth.
 
-    One join per level. Each level is checkpointed in the shared folder, so neither the plan nor a
-    recovery grows with the depth. `edges` is read once per level and should be a stored table.
+    One join per level. Each level is written to the shared folder, so neither the plan nor a recovery
+    grows with the depth. `edges` is read once per level and should be a stored table.
     """
     links = edges.select("src", "dst").filter("src <> dst")
-    frontier = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(1)))
-    visited = frontier
+    visited = frontier = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(1)), "reach")
     for depth in range(2, max_depth + 1):
-        found = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = checkpoint(found.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        found = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url"))
+        fresh = found.distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = materialise(fresh, "reach")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from ..functions.text import stable_id
 from ..functions.vectors import normalise
 from ..settings import EMBED_BATCH
 
+_WORD = re.compile(r"\w+")
+
 
 @dataclass(frozen=True)
 class Embedder:
@@ -31,15 +34,21 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions))
         for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                code = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[row, code % dimensions] += 1.0 if code >> 63 else -1.0
+            if codes := [_word_code(word) for word in _WORD.findall(text.lower())]:
+                hashed = np.array(codes, dtype="uint64")
+                signs = np.where(hashed >> np.uint64(63), 1.0, -1.0)
+                out[row] = np.bincount((hashed % np.uint64(dimensions)).astype("int64"), signs, dimensions)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(lengths == 0, 1, lengths)).tolist()
 
     return Embedder(f"hashing-{dimensions}", dimensions, embed)
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_code(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def pending_chunks(chunks: DataFrame, embeddings: DataFrame, model: str, source_id: str | None = None) -> DataFrame:
     """Chunks (id, …) without an embedding of `model`."""
     if source_id is not None:

@@ -14,9 +14,11 @@ RANKED = "query_id STRING, chunk_id STRING, score DOUBLE, rank INT"
 def rrf_merge(vector_hits: DataFrame, text_hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, chunk_id, rank from 1) lists.
 
-    Equal scores keep the vector list's order, then the text list's.
+    Equal scores keep the vector list's order, then the text list's. A `vector` of the first list is
+    carried along for the diversity step.
     """
-    v = vector_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_v"))
+    carried = [c for c in ("vector",) if c in vector_hits.columns]
+    v = vector_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_v"), *carried)
     t = text_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_t"))
 
     def share(rank: str) -> Column:

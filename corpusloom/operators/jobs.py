@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import struct_rows
 from ..functions.display import format_duration
 from ..schema import JOB_RESULT
 from ..settings import LOG_TAIL, RECENT_JOBS
@@ -38,7 +39,7 @@ def avg_duration(jobs: DataFrame) -> DataFrame:
 def dropped_by_reason(jobs: DataFrame) -> DataFrame:
     """(source_id, reason, count) out of the result JSON; malformed JSON counts as none."""
     dropped = F.from_json("result", JOB_RESULT)["chunksDropped"]
-    rows = jobs.select("source_id", F.inline(dropped).alias("reason", "count"))
+    rows = struct_rows(jobs, ["source_id"], dropped)
     return rows.groupBy("source_id", "reason").agg(F.sum("count").alias("count"))
 
 

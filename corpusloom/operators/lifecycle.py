@@ -126,10 +126,13 @@ def orphan_audit(index: Index) -> DataFrame:
 
 def register_sources(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New sources (name, url, importer_type, seq) with `registered`; a known or repeated url is a conflict."""
-    first = W.partitionBy("url").orderBy("seq")
     known = existing.select("url", F.lit(True).alias("_known")).distinct()
-    ranked = new.join(known, "url", "left").withColumn("_n", F.row_number().over(first))
-    return ranked.withColumn("registered", F.col("_known").isNull() & (F.col("_n") == 1)).drop("_known", "_n")
+    first = new.groupBy("url").agg(F.min("seq").alias("_first"))
+    judged = first.join(known, "url", "left")
+    joined = new.join(judged, "url")
+    return joined.withColumn("registered", F.col("_known").isNull() & (F.col("seq") == F.col("_first"))).drop(
+        "_known", "_first"
+    )
 
 
 def update_sources(sources: DataFrame, patches: DataFrame, now: Column) -> DataFrame:

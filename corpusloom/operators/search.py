@@ -32,10 +32,7 @@ def search_hybrid(
     fetch = max(limit, limit * OVER_FETCH)
     by_vector = search_vector(vectors, queries, fetch, source)
     by_text = search_text(index, queries.select("query_id", "text"), fetch, source)
-    fused = rrf_merge(by_vector, by_text)
-    # Only vector hits carry a vector into the diversity step.
-    found = by_vector.select("query_id", "chunk_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
-    return mmr_rerank(fused.join(found, ["query_id", "chunk_id"], "left"), limit)
+    return mmr_rerank(rrf_merge(by_vector, by_text), limit)
 
 
 def search_docs(

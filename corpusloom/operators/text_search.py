@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.arrays import array_rows
 from ..functions.text import analyse
 from ..settings import materialise
 
@@ -24,7 +25,7 @@ def text_index(chunks: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term): the distinct terms of queries (query_id, text)."""
-    return queries.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
+    return array_rows(queries, ["query_id"], F.array_distinct(analyse(F.col("text"))), "term")
 
 
 def postings(index: DataFrame, asked: DataFrame) -> DataFrame:

@@ -10,14 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..settings import BROADCAST_VECTOR_BYTES
 from .text_search import SCORE_DIGITS, top_k
 
-_HITS = "query_id STRING, chunk_id STRING, score DOUBLE"
-_HIT_SCHEMA = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
+_HITS = "query_id STRING, chunk_id STRING, score DOUBLE, vector ARRAY<DOUBLE>"
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -36,46 +34,47 @@ def _by_width(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 class _Best:
-    """The best k chunks per query seen so far (ties go to the smaller chunk id)."""
+    """The best k chunks per query seen so far (ties go to the smaller chunk id), with their unit vectors."""
 
     def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
         self.queries, self.k = queries, k
-        self.found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.found: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def add(self, ids, vectors) -> None:
         for width, (chunk_ids, chunks) in _by_width(ids, vectors).items():
-            if width not in self.queries:
-                continue
-            names, matrix = self.queries[width]
-            scores = np.round(matrix @ chunks.T, SCORE_DIGITS)
-            for name, row in zip(names, scores):
-                self._merge(name, chunk_ids, row)
-
-    def _merge(self, name: str, ids: np.ndarray, row: np.ndarray) -> None:
+            if width in self.queries:
+                names, matrix = self.queries[width]
+                for name, row in zip(names, np.round(matrix @ chunks.T, SCORE_DIGITS)):
+                    self._merge(name, chunk_ids, row, chunks)
+
+    def _merge(self, name: str, ids: np.ndarray, row: np.ndarray, chunks: np.ndarray) -> None:
+        keep = np.arange(len(row))
         if len(row) > self.k:  # everything that ties with the k-th best stays in
-            keep = row >= np.partition(row, -self.k)[-self.k]
-            ids, row = ids[keep], row[keep]
+            keep = np.flatnonzero(row >= np.partition(row, -self.k)[-self.k])
+        new = ids[keep], row[keep], chunks[keep]
         if name in self.found:
-            ids, row = np.concatenate([self.found[name][0], ids]), np.concatenate([self.found[name][1], row])
-        order = np.lexsort((ids.astype(str), -row))[: self.k]
-        self.found[name] = ids[order], row[order]
+            new = tuple(np.concatenate(pair) for pair in zip(self.found[name], new))
+        order = np.lexsort((new[0].astype(str), -new[1]))[: self.k]
+        self.found[name] = tuple(part[order] for part in new)
 
     def table(self) -> pd.DataFrame:
-        rows = [(name, i, float(s)) for name, (ids, scores) in self.found.items() for i, s in zip(ids, scores)]
-        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score"])
+        rows = [
+            (name, i, float(s), v) for name, best in self.found.items() for i, s, v in zip(*best)
+        ]
+        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "vector"])
 
 
 def _shipped(vectors: DataFrame, queries: dict, k: int) -> DataFrame:
     """Query matrix on every task; chunks are only scanned."""
     shipped = vectors.sparkSession.sparkContext.broadcast(queries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(shipped.value, k)
         for batch in batches:
-            best.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_pandas(best.table(), schema=_HIT_SCHEMA, preserve_index=False)
+            best.add(batch["chunk_id"], batch["vector"])
+        yield best.table()
 
-    return vectors.select("chunk_id", "vector").mapInArrow(run, _HITS)
+    return vectors.select("chunk_id", "vector").mapInPandas(run, _HITS)
 
 
 def _shuffled(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int, limit: int) -> DataFrame:
@@ -109,7 +108,8 @@ def search_vector(
     model: str | None = None,
     limit: int = BROADCAST_VECTOR_BYTES,
 ) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for vectors (chunk_id, source_name, model, vector) and queries (query_id, vector).
+    """(query_id, chunk_id, score, vector, rank) for vectors (chunk_id, source_name, model, vector) and queries
+    (query_id, vector); the vector of a hit comes back with unit length.
 
     The size of the query batch is measured first: up to `limit` bytes it is shipped to the tasks,
     beyond that queries and chunks are cut into blocks and shuffled.

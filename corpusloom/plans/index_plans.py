@@ -144,7 +144,7 @@ def update_sources_q(spark, d):
 
 
 def _doc_level_chunks(spark, d):
-    docs = t.table(spark, d, "documents")
+    docs = t.documents(spark, d)
     return docs.select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"))
 
 

@@ -59,20 +59,16 @@ def _both_lists(spark, d):
     vectors = t.chunk_vectors(spark, d)
     by_vector = search_vector(vectors, queries.filter("vector is not null").select("query_id", "vector"), 3 * K)
     by_text = search_text(t.search_index(spark, d), queries.select("query_id", "text"), 3 * K)
-    return vectors, by_vector, by_text
+    return by_vector, by_text
 
 
 def rrf_merge_q(spark, d):
-    _, by_vector, by_text = _both_lists(spark, d)
-    fused = rrf_merge(by_vector, by_text)
+    fused = rrf_merge(*_both_lists(spark, d))
     return fused.select("query_id", "chunk_id", "rank_v", "rank_t", F.round("score", 9).alias("score"), "rank")
 
 
 def mmr_rerank_q(spark, d):
-    vectors, by_vector, by_text = _both_lists(spark, d)
-    fused = rrf_merge(by_vector, by_text)
-    found = by_vector.select("query_id", "chunk_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
-    picked = mmr_rerank(fused.join(found, ["query_id", "chunk_id"], "left"), K)
+    picked = mmr_rerank(rrf_merge(*_both_lists(spark, d)), K)
     return picked.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 # --- fixed values: character classes -------------------------------------------------
 # White space in the sense of the Unicode-aware \s used on web text.
 WS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-LINE_WS = WS.replace("\n", "")
-WS_RE = f"[{WS}]"
-LINE_WS_RE = f"[{LINE_WS}]"
-WORD_RE = f"[^{WS}]+"
+WIDE_WS = "".join(c for c in WS if ord(c) > 127)
+_WIDE = "\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS_RE = f"[\t-\r {_WIDE}]"
+LINE_WS_RE = f"[\t\x0b-\r {_WIDE}]"
+WORD_RE = f"[^\t-\r {_WIDE}]+"
 DOT_RE = "[^\n\r\u2028\u2029]"  # one character of a line
 
 # --- fixed values: line patterns -----------------------------------------------------
 FENCE_LINE = f"^{LINE_WS_RE}*```[^\n]*"
 HTML_TAG_LINE = f"^</?[a-zA-Z][A-Za-z0-9_-]*({WS_RE}+[^<>]*)?/?>\\z"
 LINK_LIST_LINE = f"^{LINE_WS_RE}*(?:[-*+]|[0-9]+\\.){LINE_WS_RE}*\\[{DOT_RE}+?\\]\\({DOT_RE}+?\\){DOT_RE}*$"
-NON_BLANK_LINE = f"^{LINE_WS_RE}*[^{WS}]"
+NON_BLANK_LINE = f"^{LINE_WS_RE}*[^\t-\r {_WIDE}]"
 HEADING_LINE = f"^(#{{1,6}}){LINE_WS_RE}+({DOT_RE}+)"
 PAGINATION_LINE = f"(?i)^(Next|Previous|Prev){WS_RE}*[:|]{WS_RE}*\\[{DOT_RE}+?\\]\\({DOT_RE}+?\\){WS_RE}*\\z"
 _MD_LINK = f"\\[{DOT_RE}+?\\]\\({DOT_RE}+?\\)"
@@ -97,11 +98,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import array_rows
 from ..functions.text import ws_trim
 from ..settings import DOT_RE, LINE_WS_RE
 
 
 def _lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return array_rows(df, list(keep), F.split(text, "\n"), "line", "pos")
 
 
 def parse_url_list(lists: DataFrame) -> DataFrame:
