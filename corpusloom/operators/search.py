@@ -26,23 +26,33 @@ def checked_limit(limit: object) -> int:
 
 
 def search_hybrid(
-    index: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, source: str | None = None
+    index: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    source: str | None = None,
+    stem: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, text, vector): both lists, fused and diversified."""
     fetch = max(limit, limit * OVER_FETCH)
     by_vector = search_vector(vectors, queries, fetch, source)
-    by_text = search_text(index, queries.select("query_id", "text"), fetch, source)
+    by_text = search_text(index, queries.select("query_id", "text"), fetch, source, stem)
     return mmr_rerank(rrf_merge(by_vector, by_text), limit)
 
 
 def search_docs(
-    index: DataFrame, vectors: DataFrame, queries: DataFrame, limit: object = DEFAULT_LIMIT, source: str | None = None
+    index: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    limit: object = DEFAULT_LIMIT,
+    source: str | None = None,
+    stem: bool = False,
 ) -> DataFrame:
     """Hybrid results for queries with a vector, text results for the others."""
     n = checked_limit(limit)
     with_vector = F.coalesce(F.size("vector"), F.lit(0)) > 0
-    hybrid = search_hybrid(index, vectors, queries.filter(with_vector), n, source)
-    text_only = search_text(index, queries.filter(~with_vector).select("query_id", "text"), n, source)
+    hybrid = search_hybrid(index, vectors, queries.filter(with_vector), n, source, stem)
+    text_only = search_text(index, queries.filter(~with_vector).select("query_id", "text"), n, source, stem)
     return hybrid.unionByName(text_only.select(hybrid.columns))
 
 

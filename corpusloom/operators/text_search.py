@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import array_rows
+from ..functions.stem import stem_words
 from ..functions.text import analyse
 from ..settings import materialise
 
@@ -16,16 +17,22 @@ SCORE_DIGITS = 6
 SALTS = 16
 
 
-def text_index(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, source_name, tokens, n_tokens) from chunks (chunk_id, source_name, content)."""
-    return chunks.select("chunk_id", "source_name", analyse(F.col("content")).alias("tokens")).withColumn(
-        "n_tokens", F.size("tokens")
-    )
+def _terms(text: str, stem: bool) -> Column:
+    return stem_words(analyse(F.col(text))) if stem else analyse(F.col(text))
+
+
+def text_index(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """(chunk_id, source_name, tokens, n_tokens) from chunks (chunk_id, source_name, content).
+
+    With `stem`, English words are reduced to their stems; queries then need `stem` as well.
+    """
+    tokens = chunks.select("chunk_id", "source_name", _terms("content", stem).alias("tokens"))
+    return tokens.withColumn("n_tokens", F.size("tokens"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(query_id, term): the distinct terms of queries (query_id, text)."""
-    return array_rows(queries, ["query_id"], F.array_distinct(analyse(F.col("text"))), "term")
+    return array_rows(queries, ["query_id"], F.array_distinct(_terms("text", stem)), "term")
 
 
 def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -70,19 +77,21 @@ def _matches(found: DataFrame, asked: DataFrame) -> DataFrame:
     return expected.join(found.select("chunk_id", "term", "tf", "n_tokens", "source_name"), ["chunk_id", "term"])
 
 
-def text_match(index: DataFrame, queries: DataFrame) -> DataFrame:
+def text_match(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(query_id, chunk_id) where the chunk contains every term of the query."""
-    asked = query_terms(queries)
+    asked = query_terms(queries, stem)
     hits = _matches(postings(index, asked), asked).groupBy("query_id", "chunk_id", "n_terms")
     return hits.agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms").select("query_id", "chunk_id")
 
 
-def search_text(index: DataFrame, queries: DataFrame, k: int, source: str | None = None) -> DataFrame:
+def search_text(
+    index: DataFrame, queries: DataFrame, k: int, source: str | None = None, stem: bool = False
+) -> DataFrame:
     """(query_id, chunk_id, score, rank): matching chunks by BM25, at most k per query.
 
     Document frequencies are those of the whole index; `source` only restricts the results.
     """
-    asked = query_terms(queries)
+    asked = query_terms(queries, stem)
     rows = _matches(postings(index, asked), asked)
     if source is not None:
         rows = rows.filter(F.col("source_name") == source)

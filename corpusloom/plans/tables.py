@@ -337,8 +337,11 @@ def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def search_index(spark: SparkSession, d: str) -> DataFrame:
     """Search terms of the document chunks, written once because retrieval reads them repeatedly."""
-    named = chunks(spark, d).join(sources(spark, d).select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
-    return materialise(text_index(named.select(F.col("id").alias("chunk_id"), "source_name", "content")), "terms")
+    source = F.md5("source")
+    doc = stable_id(source, F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
+    named = documents(spark, d).select(doc.alias("doc_id"), F.col("source").alias("source_name"), "text")
+    rows = chunk_markdown(named).withColumn("chunk_id", stable_id(F.col("doc_id"), F.col("chunk_index")))
+    return materialise(text_index(rows), "terms")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
