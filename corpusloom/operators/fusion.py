@@ -14,12 +14,13 @@ RANKED = "query_id STRING, chunk_id STRING, score DOUBLE, rank INT"
 def rrf_merge(vector_hits: DataFrame, text_hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, chunk_id, rank from 1) lists.
 
-    Equal scores keep the vector list's order, then the text list's. A `vector` of the first list is
-    carried along for the diversity step.
+    Equal scores keep the vector list's order, then the text list's. The `vector` of the first
+    list and the score of the second (`text_score`) are carried along.
     """
     carried = [c for c in ("vector",) if c in vector_hits.columns]
     v = vector_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_v"), *carried)
-    t = text_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_t"))
+    text_score = [F.col("score").alias("text_score")] if "score" in text_hits.columns else []
+    t = text_hits.select("query_id", "chunk_id", F.col("rank").alias("rank_t"), *text_score)
 
     def share(rank: str) -> Column:
         return F.coalesce(1 / (k + F.col(rank)), F.lit(0.0))
@@ -35,8 +36,8 @@ def mmr_rerank(candidates: DataFrame, limit: int, weight: float = MMR_LAMBDA) ->
     """Greedy maximal-marginal-relevance order of fused candidates (query_id, chunk_id, score, rank, vector).
 
     A query brings at most the fused over-fetch of its two lists, so a group is a few hundred rows.
-    The score stays the fused one, only the order is new. Candidates without a vector are never
-    penalised, and negative similarity counts as none.
+    The score stays the fused one (or the column `reported`), only the order is new. Candidates without
+    a vector are never penalised, and negative similarity counts as none.
     """
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
@@ -50,10 +51,11 @@ def mmr_rerank(candidates: DataFrame, limit: int, weight: float = MMR_LAMBDA) ->
             best = int(np.argmax(gain))
             order.append(best)
             penalty = np.maximum(penalty, _similarity(group["vector"], best))
-        out = group.loc[order, ["query_id", "chunk_id", "score"]]
+        out = group.loc[order, ["query_id", "chunk_id", "reported"]].rename(columns={"reported": "score"})
         return out.assign(rank=np.arange(1, len(out) + 1, dtype="int32"))
 
-    columns = candidates.select("query_id", "chunk_id", "score", "rank", "vector")
+    reported = "reported" if "reported" in candidates.columns else "score"
+    columns = candidates.select("query_id", "chunk_id", "score", F.col(reported).alias("reported"), "rank", "vector")
     return columns.groupBy("query_id").applyInPandas(pick, RANKED)
 
 

@@ -25,6 +25,21 @@ def checked_limit(limit: object) -> int:
     return max(int(value), 1)
 
 
+def _fused(
+    index: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, source: str | None, stem: bool
+) -> DataFrame:
+    """Both over-fetched lists of a query batch, fused; queries without a vector only have text hits."""
+    fetch = max(limit, limit * OVER_FETCH)
+    with_vector = queries.filter(_has_vector()).select("query_id", "vector")
+    by_vector = search_vector(vectors, with_vector, fetch, source)
+    by_text = search_text(index, queries.select("query_id", "text"), fetch, source, stem)
+    return rrf_merge(by_vector, by_text)
+
+
+def _has_vector() -> Column:
+    return F.coalesce(F.size("vector"), F.lit(0)) > 0
+
+
 def search_hybrid(
     index: DataFrame,
     vectors: DataFrame,
@@ -34,10 +49,7 @@ def search_hybrid(
     stem: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, text, vector): both lists, fused and diversified."""
-    fetch = max(limit, limit * OVER_FETCH)
-    by_vector = search_vector(vectors, queries, fetch, source)
-    by_text = search_text(index, queries.select("query_id", "text"), fetch, source, stem)
-    return mmr_rerank(rrf_merge(by_vector, by_text), limit)
+    return mmr_rerank(_fused(index, vectors, queries, limit, source, stem), limit)
 
 
 def search_docs(
@@ -48,12 +60,16 @@ def search_docs(
     source: str | None = None,
     stem: bool = False,
 ) -> DataFrame:
-    """Hybrid results for queries with a vector, text results for the others."""
+    """Hybrid results for queries with a vector, text results for the others.
+
+    All queries take one pass: without vectors the fused and diversified order is the text order, so
+    such queries only differ in the score that is reported, which is their text score.
+    """
     n = checked_limit(limit)
-    with_vector = F.coalesce(F.size("vector"), F.lit(0)) > 0
-    hybrid = search_hybrid(index, vectors, queries.filter(with_vector), n, source, stem)
-    text_only = search_text(index, queries.filter(~with_vector).select("query_id", "text"), n, source, stem)
-    return hybrid.unionByName(text_only.select(hybrid.columns))
+    fused = _fused(index, vectors, queries, n, source, stem)
+    judged = fused.join(queries.select("query_id", _has_vector().alias("_hybrid")), "query_id")
+    reported = F.when(F.col("_hybrid"), F.col("score")).otherwise(F.col("text_score"))
+    return mmr_rerank(judged.withColumn("reported", reported), n)
 
 
 def hit_details(hits: DataFrame, chunks: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
