@@ -209,7 +209,7 @@ QUERIES = {
 CHANGE = "CASE lang WHEN 'de' THEN 'new' WHEN 'fr' THEN 'changed' ELSE 'unchanged' END"
 EMBEDDINGS = """
 emb AS (SELECT 'doc://' || vec_id AS chunk_id, CASE WHEN label < 5 THEN 'small' ELSE 'large' END AS model,
-               CASE WHEN label = 3 THEN 128 ELSE len(embedding) END AS dimensions, embedding AS vector, label::VARCHAR AS source_name
+               CASE WHEN label = 3 THEN 128 ELSE len(embedding)::INTEGER END AS dimensions, embedding AS vector, label::VARCHAR AS source_name
         FROM embeddings)"""
 CENTROIDS = """
 entries AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
@@ -226,8 +226,8 @@ SELECT source_id, count(*) FILTER (lang NOT IN ('de', 'fr')) AS skipped, count(*
 bodies AS (SELECT *, CASE lang WHEN 'en' THEN text || '!' ELSE text END AS body FROM docs)
 SELECT k AS id, source_id, url, upper(title) AS title, md5(body) AS content_hash, md5(body) AS body_hash FROM bodies""",
     "insert_chunks": f"""{DOC_CHUNKS}
-SELECT source_id, count(*) + count(*) FILTER (chunk_index = 0) AS n, 0 AS stale, count(*) FILTER (chunk_index = 0) AS stray,
-       sum(token_count) + coalesce(sum(token_count) FILTER (chunk_index = 0), 0) AS tokens
+SELECT source_id, count(*) + count(*) FILTER (chunk_index = 0) AS n, 0::BIGINT AS stale, count(*) FILTER (chunk_index = 0) AS stray,
+       (sum(token_count) + coalesce(sum(token_count) FILTER (chunk_index = 0), 0))::BIGINT AS tokens
 FROM chunks JOIN docs USING (k) GROUP BY source_id""",
     "save_outcome": f"""{DOC_CHUNKS}
 SELECT source_id, count(DISTINCT k) AS doc_count, count(*) AS chunk_count FROM chunks JOIN docs USING (k) GROUP BY source_id""",
@@ -260,7 +260,7 @@ WITH new AS (
 SELECT *, name NOT LIKE 'www.%' AND row_number() OVER (PARTITION BY url ORDER BY seq) = 1 AS registered FROM new""",
     "update_sources": f"""WITH {SOURCES}
 SELECT id, CASE WHEN enabled AND name > 'src15' THEN name || '-b' ELSE name END AS name, url, false AS enabled,
-       CASE WHEN enabled THEN {NOW} ELSE 1700000000 END AS updated_at FROM sources""",
+       (CASE WHEN enabled THEN {NOW} ELSE 1700000000 END)::BIGINT AS updated_at FROM sources""",
     "pending_chunks": f"""WITH {EMBEDDINGS}
 SELECT 'doc://' || doc_id AS id, source AS source_id FROM documents
 WHERE 'doc://' || doc_id NOT IN (SELECT chunk_id FROM emb WHERE model = 'small')""",

@@ -185,7 +185,7 @@ SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status
        count(*) FILTER (status = 'failed') AS failed, bool_or(status IN ('pending', 'running')) AS any_active FROM jobs""",
     "avg_duration": f"WITH {JOBS} SELECT coalesce(round(avg(duration_ms)), 0)::BIGINT AS avg_duration_ms FROM jobs",
     "dropped_by_reason": f"""WITH {JOBS}
-SELECT source_id, 'link_list' AS reason, sum(k) AS count FROM jobs WHERE status = 'done' GROUP BY source_id
+SELECT source_id, 'link_list' AS reason, sum(k)::BIGINT AS count FROM jobs WHERE status = 'done' GROUP BY source_id
 UNION ALL SELECT source_id, 'fetch_error', count(*) FROM jobs WHERE status = 'done' GROUP BY source_id""",
     "live_duration": f"""WITH {JOBS}
 SELECT id, status, CASE WHEN status = 'running' THEN floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 1000)::BIGINT ELSE duration_ms END AS live_ms FROM jobs""",

@@ -269,7 +269,7 @@ lasts AS (
          sum(chunk_count) FILTER (NOT gone) AS chunks, sum(byte_count) FILTER (NOT gone) AS bytes, max(seq) FILTER (NOT gone) AS last_seq,
          bool_or(NOT gone AND chunk_count > 0 AND tc >= 60) AS by_chunks, bool_or(NOT gone AND chunk_count > 0 AND tb >= 100000) AS by_bytes
   FROM judged2 GROUP BY source_id)
-SELECT source_id, total, kept, chunks, bytes, last_seq,
+SELECT source_id, total, kept, chunks::BIGINT AS chunks, bytes::BIGINT AS bytes, last_seq,
        CASE WHEN by_chunks THEN 'maxChunks' WHEN by_bytes THEN 'maxBytes' WHEN total > kept THEN 'maxPages' END AS stop_reason FROM lasts""",
     "sitemap_locs": f"""
 WITH maps AS (
@@ -292,7 +292,7 @@ s AS (SELECT *, pos - coalesce(max(CASE WHEN ok THEN pos END) OVER (PARTITION BY
 stops AS (SELECT source_id, min(pos) FILTER (streak >= 10 AND pos % 3 = 0) AS stop FROM s GROUP BY source_id),
 j AS (SELECT s.*, stop IS NULL OR pos <= stop AS kept, (pos - 1) // 3 AS batch FROM s JOIN stops USING (source_id)),
 b AS (SELECT source_id, batch, count(*) AS n, bool_or(ok) AS any_ok, bool_and(kept) AS kept FROM j GROUP BY source_id, batch)
-SELECT source_id, 'crawl_error' AS reason, sum(n) AS count FROM b WHERE kept AND NOT any_ok GROUP BY source_id
+SELECT source_id, 'crawl_error' AS reason, sum(n)::BIGINT AS count FROM b WHERE kept AND NOT any_ok GROUP BY source_id
 UNION ALL
 SELECT source_id, 'too_many_consecutive_failures', count(*) FROM j WHERE NOT kept GROUP BY source_id""",
     "dedup_chunks": f"""{DOC_CHUNKS}

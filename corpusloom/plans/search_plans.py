@@ -221,28 +221,28 @@ details AS (
                        FROM chunks c JOIN docs USING (k)) USING (chunk_id))"""
 
 ORACLES = {
-    "text_analyse": f"SELECT doc_id, len({terms('text')}) AS n_terms, md5(array_to_string({terms('text')}, ' ')) AS terms_hash FROM documents",
+    "text_analyse": f"SELECT doc_id, len({terms('text')})::INTEGER AS n_terms, md5(array_to_string({terms('text')}, ' ')) AS terms_hash FROM documents",
     "text_match": f"{DOC_CHUNKS}, {INDEX} SELECT query_id, chunk_id FROM ({matches('passage_terms')})",
-    "search_text": f"{DOC_CHUNKS}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, score, rank FROM text_hits",
+    "search_text": f"{DOC_CHUNKS}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM text_hits",
     "search_vector": f"""WITH {CENTROIDS}
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
 FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=6)} AS score
       FROM (SELECT vec_id, embedding AS vector FROM embeddings) a CROSS JOIN centroids b)
 QUALIFY rank <= {K}""",
-    "search_vector_source": f"WITH {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, score, rank FROM vector_hits",
-    "rrf_merge": f"{fused(3 * K)} SELECT query_id, chunk_id, rank_v, rank_t, round(score, 9) AS score, rank FROM fused",
+    "search_vector_source": f"WITH {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM vector_hits",
+    "rrf_merge": f"{fused(3 * K)} SELECT query_id, chunk_id, rank_v::INTEGER AS rank_v, rank_t::INTEGER AS rank_t, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
     "mmr_rerank": f"{fused(3 * K)}, {diversified(K)} SELECT query_id, chunk_id, score, rank FROM picked",
     "search_hybrid": f"""{fused(15)}, {diversified(5)}
 SELECT query_id, chunk_id, score, rank FROM picked WHERE query_id IN (SELECT query_id FROM query_vectors)""",
     "search_docs": f"""{fused(15)}, {diversified(5)}
 SELECT query_id, chunk_id, score, rank FROM picked WHERE query_id IN (SELECT query_id FROM query_vectors)
 UNION ALL
-SELECT query_id, chunk_id, round(score, 9), rank FROM text_hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM query_vectors)""",
+SELECT query_id, chunk_id, round(score, 9), rank::INTEGER FROM text_hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM query_vectors)""",
     "get_chunk": f"""{DOC_CHUNKS}
 SELECT md5(k || '|0') AS chunk_id, heading, url AS doc_url, title AS doc_title, source_name, md5(content) AS content_hash
 FROM chunks JOIN docs USING (k) WHERE chunk_index = 0""",
     "result_snippet": f"""{DETAILS}
-SELECT query_id, rank, chunk_id,
+SELECT query_id, rank::INTEGER AS rank, chunk_id,
        concat_ws(chr(10), '[' || source_name || '] ' || coalesce(title, url), CASE WHEN heading <> '' THEN '## ' || heading END,
                  content[1:500], 'Score: ' || printf('%.1f', round(score * 100, 1)) || '%', 'Chunk: ' || chunk_id) AS agent_text,
        CASE WHEN length(content) > 400 THEN content[1:400] || '...' ELSE content END AS preview,

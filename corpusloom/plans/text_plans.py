@@ -248,7 +248,7 @@ link_lines AS (
 )"""
 
 ORACLES = {
-    "src_markdown_tree": "SELECT source, sum(length(text) + 1) AS n_chars FROM documents GROUP BY source",
+    "src_markdown_tree": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source",
     "src_url_list": f"""
 WITH lists AS (
   SELECT page_id::VARCHAR AS source_id,
@@ -274,9 +274,9 @@ SELECT 'doc://' || k AS url, md5(text) AS text_hash,
            SELECT unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS pos)
          WHERE ln LIKE '# %' ORDER BY pos LIMIT 1), k::VARCHAR) AS title
 FROM marked""",
-    "src_pages": "SELECT page_id, url, length(html) AS n_chars FROM pages",
+    "src_pages": "SELECT page_id, url, length(html)::INTEGER AS n_chars FROM pages",
     "sink_index": f"""{DOC_CHUNKS}
-SELECT d.source_id, count(*) AS docs, sum(n) AS chunks, sum(c) AS n_chars
+SELECT d.source_id, count(*) AS docs, sum(n)::BIGINT AS chunks, sum(c)::BIGINT AS n_chars
 FROM docs d LEFT JOIN (SELECT k, count(*) AS n, sum(length(content)) AS c FROM chunks GROUP BY k) USING (k)
 GROUP BY d.source_id""",
     "sink_repo_digest": f"""
