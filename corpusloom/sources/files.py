@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS
 
+# --- fixed values: wording of a repository digest ----------------------------------------
+DIGEST_TITLE = "# Repository Documentation\n\n**Source:** "
+DIGEST_OVERVIEW = "## Overview\n\n"
+DIGEST_STRUCTURE = "Repository Structure:\n```"
+DIGEST_FILES = "## Documentation Files\n"
+DIGEST_INTERFACE = "## Public APIs\n\n(API extraction coming soon)"
+DIRECTORY_MARK, FILE_MARK = "📁 ", "📄 "
+# -----------------------------------------------------------------------------------------
+
 
 def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(url, title, text) of every markdown file below `root`; the title is the path relative to it."""
@@ -82,7 +91,7 @@ def repo_digest(files: DataFrame, excludes: tuple[str, ...] = DIGEST_EXCLUDES) -
     docs = select_repo_docs(files)
     excluded = reduce(lambda a, b: a | b, [F.col("path").contains(p) for p in excludes])
     depth = F.length(F.regexp_replace("path", "[^/]", "")) * 2
-    marker = F.when(F.col("is_directory"), "📁 ").otherwise("📄 ")
+    marker = F.when(F.col("is_directory"), DIRECTORY_MARK).otherwise(FILE_MARK)
     entry = F.concat(F.repeat(F.lit(" "), depth), marker, F.substring_index("path", "/", -1))
 
     def section(df: DataFrame, n: int, path: Column, line: Column) -> DataFrame:
@@ -92,14 +101,14 @@ def repo_digest(files: DataFrame, excludes: tuple[str, ...] = DIGEST_EXCLUDES) -
     readme, pages = docs.filter("is_readme"), docs.filter("not is_readme")
     page_path = F.col("path")
     parts = [
-        section(repos, 1, none, F.concat(F.lit("# Repository Documentation\n\n**Source:** "), "repo", F.lit("\n"))),
-        section(readme, 2, none, F.concat(F.lit("## Overview\n\n"), "text", F.lit("\n"))),
-        section(repos, 3, none, F.lit("Repository Structure:\n```")),
+        section(repos, 1, none, F.concat(F.lit(DIGEST_TITLE), "repo", F.lit("\n"))),
+        section(readme, 2, none, F.concat(F.lit(DIGEST_OVERVIEW), "text", F.lit("\n"))),
+        section(repos, 3, none, F.lit(DIGEST_STRUCTURE)),
         section(files.filter(~excluded), 3, F.col("path"), entry),
         section(repos, 3, F.lit("\U0010ffff"), F.lit("```\n")),
-        section(pages.select("repo").distinct(), 4, none, F.lit("## Documentation Files\n")),
+        section(pages.select("repo").distinct(), 4, none, F.lit(DIGEST_FILES)),
         section(pages, 4, page_path, F.concat(F.lit("- "), page_path)),
-        section(repos, 5, none, F.lit("## Public APIs\n\n(API extraction coming soon)")),
+        section(repos, 5, none, F.lit(DIGEST_INTERFACE)),
     ]
     return reduce(DataFrame.unionByName, parts)
 
