@@ -6,6 +6,7 @@ to agree with the indexing rules this package implements.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,12 +76,19 @@ RUNNING_BLOCK = 65_536
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for durable intermediate data."""
+    """The folder all executors share, as the cluster names it in `spark.checkpoint.dir`.
+
+    Only a session whose executors live in the driver's own process (`local[...]`) may go
+    without the setting; it then uses a temporary folder of this machine. The session's
+    configuration is never changed.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"/tmp/corpusloom-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/corpusloom-{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
