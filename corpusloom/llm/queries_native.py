@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, sharding
+from . import chat, quality_rules, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op3_line_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.clean_lines(documents(spark, d)).drop("cleaned")
+
+
 def op9_rendezvous_shards(spark: SparkSession, d: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, d))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -36,5 +40,53 @@ def op10_reply_trees(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_rendezvous_shards": op9_rendezvous_shards, "op10_reply_trees": op10_reply_trees}
-ORACLES: dict[str, str] = {}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{quality_rules.WORD}') AS ws FROM d),
+win AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, l, len(regexp_extract_all(l, '{quality_rules.WORD}')) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+),
+once AS (SELECT doc_id, l, any_value(n) AS n, count(*) AS c FROM lines WHERE n > 0 GROUP BY doc_id, l),
+judged AS (
+  SELECT doc_id, n, c,
+    len(l) - len(translate(l, {_quoted(quality_rules.SYMBOLS)}, '')) AS symbols,
+    len(l) - len(translate(l, {_quoted(quality_rules.SEPARATORS)}, '')) AS separators,
+    len(l) - len(replace(l, '!', '')) AS marks,
+    regexp_matches(l, '{quality_rules.SENTENCE_MARKS}') AS sentence,
+    regexp_matches(l, {_quoted(quality_rules.BOILERPLATE)}) AS boilerplate
+  FROM once
+),
+found AS (
+  SELECT doc_id, sum(c - 1) AS dup,
+    sum(CASE WHEN symbols * {quality_rules.PER_SYMBOL} < n AND separators * {quality_rules.PER_SYMBOL} < n
+      AND marks * {quality_rules.PER_MARK} < n AND (n < {quality_rules.UNPUNCTUATED} OR sentence) AND NOT boilerplate
+      THEN n ELSE 0 END) AS good
+  FROM judged GROUP BY doc_id
+),
+facts AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+    len(regexp_replace(t, '{quality_rules.GAP}', '', 'g'))::BIGINT AS word_chars,
+    (len(t) - len(translate(t, {_quoted(quality_rules.SYMBOLS)}, '')))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    (len(ws) - coalesce(good, 0))::BIGINT AS n_lost_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN found USING (doc_id)
+)
+SELECT *, n_words < {quality_rules.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality_rules.MAX_REPEATED} AS base_failed,
+  NOT (n_words < {quality_rules.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality_rules.MAX_REPEATED})
+  AND n_lost_words * 100 <= n_words * {quality_rules.MAX_LOST} AS kept
+FROM facts
+"""
+
+QUERIES = {"op3_line_cleaning": op3_line_cleaning, "op9_rendezvous_shards": op9_rendezvous_shards, "op10_reply_trees": op10_reply_trees}
+ORACLES = {"op3_line_cleaning": OP3_SQL}
