@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality_model, toxicity
+from .labels import fold
 from .packing import Packer, pack
 from .queries_native import documents
 
@@ -28,5 +30,36 @@ def op2_harmonic_packing(spark: SparkSession, d: str) -> DataFrame:
     return packed(documents(spark, d))
 
 
-QUERIES = {"op2_harmonic_packing": op2_harmonic_packing}
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+def quality_trees(spark: SparkSession, docs: DataFrame, d: str) -> quality_model.Trees:
+    """Trees learned from the labels outside of the held-out fold."""
+    known = _labels(spark, d).filter(fold(F.col("doc_id"), 4) != 2)
+    return quality_model.train(docs, known)
+
+
+def op4_quality_trees(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    scored = quality_model.with_score(docs, quality_trees(spark, docs, d))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op7_noisy_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    detector = toxicity.train(docs, _labels(spark, d).filter(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.with_score(docs, detector)
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {
+    "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_quality_trees": op4_quality_trees,
+    "op7_noisy_toxicity": op7_noisy_toxicity,
+}
 ORACLES: dict[str, str] = {}
