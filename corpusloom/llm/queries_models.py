@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_model, toxicity
+from . import jaccard_join, quality_model, toxicity
 from .labels import fold
 from .packing import Packer, pack
 from .queries_native import documents
@@ -57,9 +57,14 @@ def op7_noisy_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_minhash_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.linked_rows(documents(spark, d)).select("doc_id", "class_id", "n_links")
+
+
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_quality_trees": op4_quality_trees,
     "op7_noisy_toxicity": op7_noisy_toxicity,
+    "op8_minhash_join": op8_minhash_join,
 }
 ORACLES: dict[str, str] = {}
