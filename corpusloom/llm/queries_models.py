@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, quality_model, toxicity
+from . import decontamination, jaccard_join, quality_model, toxicity
 from .labels import fold
 from .packing import Packer, pack
 from .queries_native import documents
@@ -48,6 +48,11 @@ def op4_quality_trees(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_string_tiling(spark: SparkSession, d: str) -> DataFrame:
+    found = decontamination.leaked_documents(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op7_noisy_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
     detector = toxicity.train(docs, _labels(spark, d).filter(fold(F.col("doc_id"), 5) != 0))
@@ -64,6 +69,7 @@ def op8_minhash_join(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_quality_trees": op4_quality_trees,
+    "op5_string_tiling": op5_string_tiling,
     "op7_noisy_toxicity": op7_noisy_toxicity,
     "op8_minhash_join": op8_minhash_join,
 }
