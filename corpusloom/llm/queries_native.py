@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, quality_rules, sharding
+from . import chat, quality_rules, secrets, sharding
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.with_spans(documents(spark, d).select("doc_id", "text"))
+    n_base = len(secrets.BASE_RULES)
+    counts = [_of_kind(rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE_RULES]
+    base = secrets.told(F.filter("spans", lambda s: s["order"] < n_base))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.told(F.col("spans")).alias("spans"))
+
+
 def op3_line_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.clean_lines(documents(spark, d)).drop("cleaned")
 
@@ -44,6 +56,35 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _rule_sql(rule: secrets.Rule, order: int) -> str:
+    pattern = _quoted(rule.pattern)
+    at = "coalesce(list_sum([len(x) FOR x IN gaps[1:i]]), 0) + coalesce(list_sum([len(x) FOR x IN found[1:i - 1]]), 0)"
+    return f"""
+SELECT doc_id, {order} AS k, '{rule.kind}' AS kind, a AS a, a + len(found[i]) AS b FROM (
+  SELECT doc_id, found, i, ({at})::BIGINT AS a FROM (
+    SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, {pattern}) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS secret,
+        regexp_split_to_array(t, {pattern}) AS gaps
+      FROM d WHERE regexp_matches(t, {pattern})
+    )
+  ) WHERE len(secret[i]) >= {rule.least}
+)"""
+
+
+_TOLD = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_rule_sql(rule, k) for k, rule in enumerate(secrets.RULES))}),
+g AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)},
+    {_TOLD} FILTER (k < {len(secrets.BASE_RULES)}) AS base, {_TOLD} AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{quality_rules.WORD}') AS ws FROM d),
@@ -88,5 +129,10 @@ SELECT *, n_words < {quality_rules.MIN_WORDS} OR n_repeat_words * 100 > n_words
 FROM facts
 """
 
-QUERIES = {"op3_line_cleaning": op3_line_cleaning, "op9_rendezvous_shards": op9_rendezvous_shards, "op10_reply_trees": op10_reply_trees}
-ORACLES = {"op3_line_cleaning": OP3_SQL}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_line_cleaning": op3_line_cleaning,
+    "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op10_reply_trees": op10_reply_trees,
+}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op3_line_cleaning": OP3_SQL}
