@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, jaccard_join, quality_model, toxicity
+from . import decontamination, jaccard_join, language_model, quality_model, toxicity
 from .labels import fold
 from .packing import Packer, pack
 from .queries_native import documents
@@ -53,6 +53,12 @@ def op5_string_tiling(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def op6_log_bilinear(spark: SparkSession, d: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 10)
+    scored = language_model.score_documents(documents(spark, d), part != 0)
+    return scored.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_noisy_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
     detector = toxicity.train(docs, _labels(spark, d).filter(fold(F.col("doc_id"), 5) != 0))
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_quality_trees": op4_quality_trees,
     "op5_string_tiling": op5_string_tiling,
+    "op6_log_bilinear": op6_log_bilinear,
     "op7_noisy_toxicity": op7_noisy_toxicity,
     "op8_minhash_join": op8_minhash_join,
 }
