@@ -170,10 +170,19 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", cover: str = "[secret]") -> DataFrame:
-    """`docs` with every found secret covered; texts without one stay as they are."""
+def masked(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", cover: str = "[secret]", length: str | None = None
+) -> DataFrame:
+    """`docs` with every found secret covered; texts without one stay as they are.
+
+    `length` names a column that holds the number of characters of the text.
+    """
     hidden = F.col(text)
     for rule in rules:
         hidden = F.regexp_replace(hidden, rule.mask, F.lit(cover))
     found = with_spans(docs, rules, text, "_spans")
-    return found.withColumn(text, F.when(F.size("_spans") > 0, hidden).otherwise(F.col(text))).drop("_spans")
+    some = F.size("_spans") > 0
+    done = found.withColumn(text, F.when(some, hidden).otherwise(F.col(text)))
+    if length:
+        done = done.withColumn(length, F.when(some, F.length(text).cast("long")).otherwise(F.col(length)))
+    return done.drop("_spans")
