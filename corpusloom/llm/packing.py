@@ -27,7 +27,8 @@ from ..settings import materialise
 
 FINE = 16  # pieces of this class and above are not cut further
 GATHER = 64  # workers whose open bins meet in one worker of the next round
-_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
+_OPEN = -1  # sequence of a piece that waits for the next round
+_SCHEMA = "doc_id string, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ class _Bins:
         sequence, at, placed = self.next_id, 0, []
         self.next_id += 1
         for piece in pieces:
-            placed.append((*piece[:5], sequence, at))
+            placed.append((*piece, sequence, at))
             at += piece[2]
         return placed
 
@@ -92,9 +93,7 @@ class _Bins:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [part.split()[0] for part in _SCHEMA.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"doc_id": "Int64", "sequence_id": "Int64", "offset": "Int64"})
+    return pd.DataFrame(rows, columns=[part.split()[0] for part in _SCHEMA.split(", ")])
 
 
 def _first_id(round_: int) -> int:
@@ -110,18 +109,18 @@ def _pieces(packer: Packer, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
     coder = encoder(packer.tokenizer, packer.ranks, packer.pattern)
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-            ids = np.append(coder.encode([text])[0], np.uint32(packer.end_id)).astype("<u4")
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            ids = np.append(coder.encode([text])[0], np.uint32(packer.end_id)).astype("<u4", copy=False)
             start = 0
             for length in packer.cuts(len(ids)):
-                yield (None if pd.isna(doc_id) else int(doc_id), start, length, len(ids), ids[start : start + length].tobytes())
+                yield (doc_id, start, length, len(ids), ids[start : start + length].tobytes())
                 start += length
 
 
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            yield (None if pd.isna(row.doc_id) else int(row.doc_id), row.start, row.length, row.doc_tokens, row.ids)
+            yield (row.doc_id, row.start, row.length, row.doc_tokens, row.ids)
 
 
 def _fill(packer: Packer, round_: int, last: bool):
@@ -137,7 +136,7 @@ def _fill(packer: Packer, round_: int, last: bool):
             if size > 1 << 20:
                 yield _frame(done)
                 done, size = [], 0
-        done += bins.first_fit() if last else [(*piece, None, None) for piece in bins.rest()]
+        done += bins.first_fit() if last else [(*piece, _OPEN, 0) for piece in bins.rest()]
         if done:
             yield _frame(done)
 
@@ -151,17 +150,17 @@ def pack(docs: DataFrame, packer: Packer, key: str = "doc_id", text: str = "text
     document's ids before it, `offset` those of the sequence before it. Each round is written to
     the shared folder, so a lost worker repeats its own part only.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     workers = rows.rdd.getNumPartitions()
     sealed: DataFrame | None = None
     round_ = 0
     while True:
         last = round_ > 0 and workers == 1
         done = materialise(rows.mapInPandas(_fill(packer, round_, last), _SCHEMA), f"packed{round_}")
-        placed = done.filter(F.col("sequence_id").isNotNull())
+        placed = done.filter(F.col("sequence_id") != _OPEN)
         sealed = placed if sealed is None else sealed.unionByName(placed)
         if last:
-            return sealed
+            return sealed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType))
         workers = max(1, workers // GATHER)
-        rows = done.filter(F.col("sequence_id").isNull()).coalesce(workers)
+        rows = done.filter(F.col("sequence_id") == _OPEN).coalesce(workers)
         round_ += 1
