@@ -4,11 +4,13 @@
    equal words form a class; everything below works on one row for each class.
 2. A shuffle on the band hashes finds groups of classes that agree in a band. Groups with the same
    members are one group.
-3. The classes of a group meet in cells of two blocks each, so no task sees more than two blocks
+3. The texts of classes in groups are read again: a bitmap of fixed size passes their rows and few
+   others, so that only their window sets are shuffled, not all texts.
+4. The classes of a group meet in cells of two blocks each, so no task sees more than two blocks
    of a group and no pairs are written. In a cell, a pair counts if this group is the first one
    both share, and its full n-gram sets are compared. Cells give back counts of links and a
    spanning label, never pairs.
-4. Labels are joined into connected components.
+5. Labels are joined into connected components.
 
 Bands and rows are chosen so that a pair at the threshold is found with probability
 `TARGET_RECALL`; similar pairs above it are found more surely.
@@ -38,6 +40,7 @@ TARGET_RECALL = 0.999
 MOST_HASHES = 160
 BLOCK_ROWS = 512  # classes in a block of a group
 BLOCK_WINDOWS = 1 << 20  # windows in a block of a group
+SOUGHT_BITS = 26  # of the bitmap that tells which texts are read for verification
 _CHUNK = 1 << 16  # windows hashed at a time
 
 
@@ -154,10 +157,26 @@ def cells(met: DataFrame, block_rows: int, block_windows: int) -> DataFrame:
     return dealt.select("group", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "side")
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch.pop("text")
-        yield batch.assign(windows=[np.unique(window_hashes(words_of(t), WINDOW)).tobytes() for t in texts])
+def sought_bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits of the wanted row keys: 2^SOUGHT_BITS of them (8 MB), however many rows are wanted."""
+    slot = F.shiftrightunsigned("_k1", 64 - SOUGHT_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_k1, {64 - SOUGHT_BITS}) % 64 as int))")
+    words = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (SOUGHT_BITS - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bitmap.view(np.uint64)
+
+
+def _windows(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slot = batch["_k1"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - SOUGHT_BITS)
+            hit = (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            batch = batch[hit]
+            texts = batch.pop("text")
+            yield batch.assign(windows=[np.unique(window_hashes(words_of(t), WINDOW)).tobytes() for t in texts])
+
+    return run
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -279,9 +298,10 @@ def linked_rows(
     )
     paths = met.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "group"))).alias("_m")).select("node", path.alias("path"))
     wanted = paths.join(nodes.select("node", "copies", "_k1", "_k2"), "node")
-    sought = _plain(docs, key, text).select("_k1", "_k2", "text").join(materialise(wanted, "sought"), ["_k1", "_k2"])
-    sets = sought.select("node", "copies", "path", "text").mapInPandas(_windows, "node long, copies long, path array<long>, windows binary")
-    sets = materialise(sets, "sets")
+    wanted = materialise(wanted, "sought")
+    shared = docs.sparkSession.sparkContext.broadcast(sought_bitmap(wanted))
+    found = _plain(docs, key, text).select("_k1", "_k2", "text").mapInPandas(_windows(shared), "_k1 long, _k2 int, windows binary")
+    sets = materialise(found.join(wanted, ["_k1", "_k2"]).select("node", "copies", "path", "windows"), "sets")
     dealt = cells(met, block_rows, block_windows).join(sets, "node")
     found = dealt.groupBy("group", "x", "y").applyInPandas(_verify(threshold), "node long, links long, copies long, label long")
     found = materialise(found, "links")
