@@ -13,8 +13,8 @@ from ..settings import materialise
 K1 = 1.2
 B = 0.75
 # --------------------------------------------------------------------------------------
-SCORE_DIGITS = 6
-SALTS = 16
+POSTINGS_PART = 65_536
+RANK_DIGITS = 12  # scores that differ less are ties, so that the order of sums doesn't matter
 
 
 def _terms(text: str, stem: bool) -> Column:
@@ -48,12 +48,16 @@ def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
     return materialise(counted, "postings")
 
 
+def _parts(df: Column) -> Column:
+    return F.ceil(df / POSTINGS_PART).cast("long")
+
+
 def _matches(found: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, chunk_id, term, tf, n_tokens, df): rows of the chunks that hold all terms of a query.
 
     A query first meets the postings of its rarest term only; frequent words are then looked up per
-    candidate, on the evenly spread key (chunk_id, term). The first join is salted, because the
-    rarest term of a query may still be a frequent word.
+    candidate, on the evenly spread key (chunk_id, term). The rarest term of a query may still be a
+    frequent word: its postings are cut into parts of about `POSTINGS_PART` rows for the first join.
     """
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     plan = (
@@ -62,15 +66,16 @@ def _matches(found: DataFrame, asked: DataFrame) -> DataFrame:
         .agg(
             F.collect_list(F.struct("term", "df")).alias("terms"),
             F.min_by("term", F.struct("df", "term")).alias("anchor"),
+            F.min("df").alias("anchor_df"),
             F.count("df").alias("_known"),
         )
         .filter(F.col("_known") == F.size("terms"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), _parts(F.col("anchor_df")) - 1)))
     )
-    salted = found.select(
-        "chunk_id", F.col("term").alias("anchor"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("salt")
+    cut = found.join(frequency.withColumnRenamed("df", "anchor_df"), "term").select(
+        "chunk_id", F.col("term").alias("anchor"), F.pmod(F.xxhash64("chunk_id"), _parts(F.col("anchor_df"))).alias("part")
     )
-    candidates = salted.join(plan, ["anchor", "salt"]).select("query_id", "chunk_id", "terms")
+    candidates = cut.join(plan, ["anchor", "part"]).select("query_id", "chunk_id", "terms")
     expected = candidates.select(
         "query_id", "chunk_id", F.size("terms").alias("n_terms"), F.inline("terms").alias("term", "df")
     )
@@ -102,7 +107,7 @@ def search_text(
     scored = (
         rows.withColumn("_s", totals)
         .groupBy("query_id", "chunk_id", "n_terms")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), RANK_DIGITS).alias("score"))
         .filter("n = n_terms")
     )
     return top_k(scored.select("query_id", "chunk_id", "score"), k)

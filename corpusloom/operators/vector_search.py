@@ -1,7 +1,9 @@
 """Exact nearest neighbours by cosine for batches of query vectors.
 
-Every chunk has to be compared with every query of its width, but no pair is ever written out:
-the comparison is a matrix product inside the task, and a task forwards its best k per query.
+Every chunk has to be compared with every query of its width, but no pair is ever written out.
+Queries and chunks are cut into blocks of a fixed number of rows; a query block and a chunk block
+meet in one task, which multiplies them tile by tile and forwards its best k per query. Only ids and
+scores travel; the vectors of the final hits are joined at the end.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..settings import BROADCAST_VECTOR_BYTES
-from .text_search import SCORE_DIGITS, top_k
+from .text_search import RANK_DIGITS, top_k
 
-_HITS = "query_id STRING, chunk_id STRING, score DOUBLE, vector ARRAY<DOUBLE>"
+QUERY_BLOCK, CHUNK_BLOCK, TILE = 1024, 32_768, 4096
+_HITS = "query_id STRING, chunk_id STRING, _key LONG, score DOUBLE"
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -23,81 +25,68 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def _by_width(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Group vectors of equal width into unit matrices."""
-    vectors = [np.asarray(v, dtype="float64") for v in vectors]
-    widths = np.array([len(v) for v in vectors])
-    return {
-        int(w): (np.asarray(ids, dtype=object)[widths == w], _unit(np.stack([v for v in vectors if len(v) == w])))
-        for w in np.unique(widths[widths > 0])
-    }
-
-
-class _Best:
-    """The best k chunks per query seen so far (ties go to the smaller chunk id), with their unit vectors."""
-
-    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
-        self.queries, self.k = queries, k
-        self.found: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def add(self, ids, vectors) -> None:
-        for width, (chunk_ids, chunks) in _by_width(ids, vectors).items():
-            if width in self.queries:
-                names, matrix = self.queries[width]
-                for name, row in zip(names, np.round(matrix @ chunks.T, SCORE_DIGITS)):
-                    self._merge(name, chunk_ids, row, chunks)
-
-    def _merge(self, name: str, ids: np.ndarray, row: np.ndarray, chunks: np.ndarray) -> None:
-        keep = np.arange(len(row))
-        if len(row) > self.k:  # everything that ties with the k-th best stays in
-            keep = np.flatnonzero(row >= np.partition(row, -self.k)[-self.k])
-        new = ids[keep], row[keep], chunks[keep]
-        if name in self.found:
-            new = tuple(np.concatenate(pair) for pair in zip(self.found[name], new))
-        order = np.lexsort((new[0].astype(str), -new[1]))[: self.k]
-        self.found[name] = tuple(part[order] for part in new)
-
-    def table(self) -> pd.DataFrame:
-        rows = [
-            (name, i, float(s), v) for name, best in self.found.items() for i, s, v in zip(*best)
-        ]
-        return pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "vector"])
-
-
-def _shipped(vectors: DataFrame, queries: dict, k: int) -> DataFrame:
-    """Query matrix on every task; chunks are only scanned."""
-    shipped = vectors.sparkSession.sparkContext.broadcast(queries)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(shipped.value, k)
-        for batch in batches:
-            best.add(batch["chunk_id"], batch["vector"])
-        yield best.table()
-
-    return vectors.select("chunk_id", "vector").mapInPandas(run, _HITS)
-
-
-def _shuffled(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int, limit: int) -> DataFrame:
-    """Block against block: query blocks and chunk blocks below the size limit meet in one group each."""
-    size = vectors.agg((F.sum(F.size("vector")) * 8).alias("b")).first()["b"] or 0
-    n_query, n_chunk = (max(1, -(-int(b) // limit)) for b in (query_bytes, size))
-
-    def block(column: str, n: int):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    def copies(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.select("query_id", "vector", block("query_id", n_query).alias("qb"), copies(n_chunk).alias("cb"))
-    right = vectors.select("chunk_id", "vector", block("chunk_id", n_chunk).alias("cb"), copies(n_query).alias("qb"))
-
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(_by_width(q["query_id"], q["vector"]) if len(q) else {}, k)
-        if len(c):
-            best.add(c["chunk_id"], c["vector"])
-        return best.table()
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(compare, _HITS)
+def _by_width(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, positions, unit matrix) of the vectors of each width."""
+    widths = np.array([0 if v is None else len(v) for v in vectors])
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == width)
+        yield width, at, _unit(np.stack(vectors.iloc[at].to_list()).astype("float64"))
+
+
+def _cut(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best entries of every row; ties go to the lower column."""
+    order = np.lexsort((columns, -scores, rows))
+    rows, columns, scores = rows[order], columns[order], scores[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    return rows[place < k], columns[place < k], scores[place < k]
+
+
+def best_entries(queries: np.ndarray, chunks: np.ndarray, k: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, chunk row, score) of the k best chunks of each query, holding one tile of scores at a time."""
+    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for start in range(0, len(chunks), tile):
+        scores = np.round(queries @ chunks[start : start + tile].T, RANK_DIGITS)
+        least = np.full(len(queries), -np.inf)
+        if scores.shape[1] > k:
+            least = np.partition(scores, -k, axis=1)[:, -k]
+        rows, columns = np.nonzero(scores >= least[:, None])
+        new = rows, columns + start, scores[rows, columns]
+        found = _cut(*(np.concatenate(pair) for pair in zip(found, new)), k)
+    return found
+
+
+def _compare(k: int):
+    def run(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values(["chunk_id", "_key"], ignore_index=True)
+        asked = {width: (at, matrix) for width, at, matrix in _by_width(queries["vector"])}
+        parts = []
+        for width, at, matrix in _by_width(chunks["vector"]):
+            if width in asked:
+                names, wanted = asked[width]
+                rows, columns, scores = best_entries(wanted, matrix, k)
+                hit = chunks.iloc[at[columns]]
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            "query_id": queries["query_id"].to_numpy()[names[rows]],
+                            "chunk_id": hit["chunk_id"].to_numpy(),
+                            "_key": hit["_key"].to_numpy(),
+                            "score": scores,
+                        }
+                    )
+                )
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in _HITS.split(", ")})
+
+    return run
+
+
+def _dealt(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _for_each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
 def search_vector(
@@ -106,23 +95,30 @@ def search_vector(
     k: int,
     source: str | None = None,
     model: str | None = None,
-    limit: int = BROADCAST_VECTOR_BYTES,
+    query_block: int = QUERY_BLOCK,
+    chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
     """(query_id, chunk_id, score, vector, rank) for vectors (chunk_id, source_name, model, vector) and queries
     (query_id, vector); the vector of a hit comes back with unit length.
 
-    The size of the query batch is measured first: up to `limit` bytes it is shipped to the tasks,
-    beyond that queries and chunks are cut into blocks and shuffled.
+    The two block sizes bound what a task holds: about query_block x k hits, one tile of scores and
+    one block of each side.
     """
     if source is not None:
         vectors = vectors.filter(F.col("source_name") == source)
     if model is not None:
         vectors = vectors.filter(F.col("model") == model)
+    vectors = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "vector", F.xxhash64("vector").alias("_key"))
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
-    query_bytes = queries.agg((F.sum(F.greatest(F.size("vector"), F.lit(1))) * 8).alias("b")).first()["b"] or 0
-    if query_bytes <= limit:
-        batch = queries.toPandas()  # at most `limit` bytes
-        hits = _shipped(vectors, _by_width(batch["query_id"], batch["vector"]) if len(batch) else {}, k)
-    else:
-        hits = _shuffled(vectors, queries, k, query_bytes, limit)
-    return top_k(hits, k)
+    n_query, n_chunk = (max(1, -(-side.count() // size)) for side, size in ((queries, query_block), (vectors, chunk_block)))
+    left = queries.select("query_id", "vector", _dealt("query_id", n_query).alias("_qb"), _for_each(n_chunk).alias("_cb"))
+    right = vectors.withColumn("_cb", F.pmod(F.xxhash64("chunk_id", "_key"), F.lit(n_chunk)).cast("int"))
+    right = right.select("chunk_id", "_key", "vector", "_cb", _for_each(n_query).alias("_qb"))
+    hits = left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(_compare(k), _HITS)
+    ranked = top_k(hits, k)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    owned = vectors.join(ranked.select("chunk_id", "_key").distinct(), ["chunk_id", "_key"], "left_semi").dropDuplicates(["chunk_id", "_key"])
+    units = owned.select("chunk_id", "_key", "vector", length.alias("_length")).select(
+        "chunk_id", "_key", F.transform("vector", lambda x: x.cast("double") / F.greatest(F.col("_length"), F.lit(1e-300))).alias("vector")
+    )
+    return ranked.join(units, ["chunk_id", "_key"]).select("query_id", "chunk_id", "score", "vector", "rank")

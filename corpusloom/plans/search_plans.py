@@ -24,7 +24,11 @@ from .index_plans import CENTROIDS
 from .snippets import DOC_CHUNKS, link_list, terms
 
 K = 10
-RESULT = ("query_id", "chunk_id", "score", "rank")
+
+
+def result(hits):
+    """Hits with the score as it is shown; ranks come from the full score."""
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def text_analyse(spark, d):
@@ -38,20 +42,20 @@ def text_match_q(spark, d):
 
 
 def search_text_q(spark, d):
-    return search_text(t.search_index(spark, d), t.queries(spark, d), K)
+    return result(search_text(t.search_index(spark, d), t.queries(spark, d), K))
 
 
 def search_vector_q(spark, d):
     """The nearest vectors of every label's centroid."""
     vectors = t.embeddings(spark, d)
     hits = search_vector(vectors, t.label_centroids(spark, d), K)
-    return hits.select(*RESULT)
+    return result(hits)
 
 
 def search_vector_source(spark, d):
     vectors = t.chunk_vectors(spark, d)
     queries = t.query_vectors(spark, d).filter("vector is not null").select("query_id", "vector")
-    return search_vector(vectors, queries, K, source="src3", model="m").select(*RESULT)
+    return result(search_vector(vectors, queries, K, source="src3", model="m"))
 
 
 def _both_lists(spark, d):
@@ -154,7 +158,7 @@ def matches(query_terms: str) -> str:
     """(query_id, chunk_id, score) of chunks with all terms."""
     return f"""
   SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-           / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean))), 6) AS score
+           / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean))), 12) AS score
   FROM {query_terms} JOIN postings USING (term) JOIN frequency USING (term) JOIN sizes USING (chunk_id) CROSS JOIN totals
   GROUP BY query_id, chunk_id
   HAVING count(*) = (SELECT count(*) FROM {query_terms} w WHERE w.query_id = {query_terms}.query_id)"""
@@ -180,7 +184,7 @@ def vector_hits(k: int, where: str = "true") -> str:
     return f"""
 vector_hits AS MATERIALIZED (
   SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-  FROM (SELECT query_id, chunk_id, {COS.format(digits=6)} AS score FROM query_vectors a CROSS JOIN chunk_vectors b WHERE {where})
+  FROM (SELECT query_id, chunk_id, {COS.format(digits=12)} AS score FROM query_vectors a CROSS JOIN chunk_vectors b WHERE {where})
   QUALIFY rank <= {k})"""
 
 
@@ -223,13 +227,13 @@ details AS (
 ORACLES = {
     "text_analyse": f"SELECT doc_id, len({terms('text')})::INTEGER AS n_terms, md5(array_to_string({terms('text')}, ' ')) AS terms_hash FROM documents",
     "text_match": f"{DOC_CHUNKS}, {INDEX} SELECT query_id, chunk_id FROM ({matches('passage_terms')})",
-    "search_text": f"{DOC_CHUNKS}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM text_hits",
+    "search_text": f"{DOC_CHUNKS}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM text_hits",
     "search_vector": f"""WITH {CENTROIDS}
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
-FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=6)} AS score
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
+FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=12)} AS score
       FROM (SELECT vec_id, embedding AS vector FROM embeddings) a CROSS JOIN centroids b)
 QUALIFY rank <= {K}""",
-    "search_vector_source": f"WITH {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM vector_hits",
+    "search_vector_source": f"WITH {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM vector_hits",
     "rrf_merge": f"{fused(3 * K)} SELECT query_id, chunk_id, rank_v::INTEGER AS rank_v, rank_t::INTEGER AS rank_t, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
     "mmr_rerank": f"{fused(3 * K)}, {diversified(K)} SELECT query_id, chunk_id, score, rank FROM picked",
     "search_hybrid": f"""{fused(15)}, {diversified(5)}

@@ -69,8 +69,6 @@ STOP_WORDS = (
     "other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
-# Largest query matrix that is shipped to every task; larger batches take the shuffled path.
-BROADCAST_VECTOR_BYTES = 64 << 20
 # Rows per block of a running total (operators.running).
 RUNNING_BLOCK = 65_536
 

@@ -1,5 +1,7 @@
 import math
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from corpusloom.operators.search import (
     search_hybrid,
 )
 from corpusloom.operators.text_search import search_text, text_index, text_match
-from corpusloom.operators.vector_search import search_vector
+from corpusloom.operators.vector_search import best_entries, search_vector
 
 TEXTS = {
     "c1": "Install the package with the installer",
@@ -82,7 +84,7 @@ def brute(rows, asked, k):
     def cos(a, b):
         a, b = np.float32(a).astype(float), np.float32(b).astype(float)
         scale = np.linalg.norm(a) * np.linalg.norm(b)
-        return round(float(a @ b / scale), 6) if scale else 0.0
+        return round(float(a @ b / scale), 12) if scale else 0.0
 
     out = {}
     for q, v in asked:
@@ -91,10 +93,10 @@ def brute(rows, asked, k):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 200])  # shipped, and cut into blocks
-def test_vector_search_is_exact(spark, limit):
+@pytest.mark.parametrize("block", [1000, 3])
+def test_vector_search_is_exact(spark, block):
     rows, asked, chunk_df, query_df = vectors(spark)
-    hits = search_vector(chunk_df, query_df, 6, limit=limit).orderBy("query_id", "rank").collect()
+    hits = search_vector(chunk_df, query_df, 6, query_block=block, chunk_block=20 * block).orderBy("query_id", "rank").collect()
     found = {}
     for r in hits:
         found.setdefault(r.query_id, []).append((r.chunk_id, r.score))
@@ -106,6 +108,22 @@ def test_vector_search_is_exact(spark, limit):
     assert found["same"][:2] == [("tie", 1.0), ("v007", 1.0)] and len(found["two"]) == 1
 
 
+def test_tiles_are_bounded():
+    draw = np.random.default_rng(3)
+    chunks = draw.normal(size=(100_000, 64))
+    chunks[50_000:50_500] = chunks[7]  # more ties than hits
+    queries = draw.normal(size=(1_024, 64))
+    queries[0] = chunks[7]
+    tracemalloc.start()
+    rows, columns, scores = best_entries(queries, chunks, 150)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert (np.bincount(rows) == 150).all() and columns[rows == 0].tolist() == [7, *range(50_000, 50_149)]
+    for i in range(0, 1024, 97):
+        full = np.round(chunks @ queries[i], 12)
+        assert columns[rows == i].tolist() == np.lexsort((np.arange(len(full)), -full))[:150].tolist()
+
+
 def test_vector_search_filters(spark):
     _, _, chunk_df, query_df = vectors(spark)
     assert search_vector(chunk_df, query_df, 400, model="other").count() == 6
