@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import array_rows, struct_rows
@@ -17,7 +19,9 @@ from ..settings import (
     MAX_DEPTH,
     MAX_PAGES,
     SITEMAP_PATH,
+    SITEMAP_PATHS,
     materialise,
+    scratch_path,
 )
 from .running import running
 
@@ -139,42 +143,83 @@ def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sitemap_locs(maps: DataFrame) -> DataFrame:
-    """(sitemap_url, xml) -> (sitemap_url, loc, nested): normalised <loc> values of the same origin.
+    """(sitemap_url, xml[, origin]) -> (sitemap_url, loc, nested[, origin]): distinct normalised <loc> values.
 
-    Entries that are sitemaps themselves are flagged `nested` and kept whatever their origin.
+    Entries that are sitemaps themselves are flagged `nested`. With `origin`, the origin a crawl
+    starts from, other entries have to lie there; without it they are all kept.
     """
+    keys = ["sitemap_url", *[c for c in maps.columns if c == "origin"]]
     raw = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<]+)\s*</loc>"), F.lit(1))
-    locs = array_rows(maps, ["sitemap_url"], F.array_distinct(F.transform(raw, ws_trim)), "_loc")
-    urls = locs.select("sitemap_url", resolve_url(F.col("_loc"), F.col("sitemap_url")).alias("loc"))
+    locs = array_rows(maps, keys, F.array_distinct(F.transform(raw, ws_trim)), "_loc")
+    urls = locs.select(*keys, resolve_url(F.col("_loc"), F.col("sitemap_url")).alias("loc")).filter("loc is not null")
     marked = urls.withColumn("nested", url_path(F.col("loc")).rlike(SITEMAP_PATH))
-    same = url_origin(F.col("loc")) == url_origin(F.col("sitemap_url"))
-    return marked.filter(F.col("loc").isNotNull() & (F.col("nested") | same)).distinct()
+    if "origin" in keys:
+        marked = marked.filter(F.col("nested") | (url_origin(F.col("loc")) == F.col("origin")))
+    return marked.distinct()
+
 
+def expand_sitemaps(maps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(origin, url): pages that the roots (origin, sitemap_url) and the sitemaps nested below them list.
+
+    `origin` is where a crawl starts: nested sitemaps may lie elsewhere, pages may not. Rounds go on
+    until no further sitemap is found; each is written to the shared folder.
+    """
+    entries = materialise(sitemap_locs(maps.select("sitemap_url", "xml")), "sitemaps")
+    known = fresh = materialise(roots.select("origin", "sitemap_url").distinct(), "sitemaps")
+    nested = entries.filter("nested").select("sitemap_url", F.col("loc").alias("_next"))
+    while not fresh.isEmpty():
+        found = fresh.join(nested, "sitemap_url").select("origin", F.col("_next").alias("sitemap_url")).distinct()
+        fresh = materialise(found.join(known, ["origin", "sitemap_url"], "left_anti"), "sitemaps")
+        known = known.unionByName(fresh)
+    pages = known.join(entries.filter(~F.col("nested")), "sitemap_url").filter(url_origin(F.col("loc")) == F.col("origin"))
+    return pages.select("origin", F.col("loc").alias("url")).distinct()
 
-def expand_sitemaps(maps: DataFrame, roots: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Page URLs listed by the root sitemaps (sitemap_url) and by the sitemaps nested below them."""
-    entries = materialise(sitemap_locs(maps), "sitemaps")
-    nested = entries.filter("nested").select(F.col("sitemap_url").alias("src"), F.col("loc").alias("dst"))
-    known = reachable(nested, roots.select(F.col("sitemap_url").alias("url")), max_rounds)
-    pages = entries.filter(~F.col("nested")).join(known.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_semi")
-    return pages.select(F.col("loc").alias("url")).distinct()
+
+def crawl_seeds(starts: DataFrame, maps: DataFrame, rules: DataFrame) -> DataFrame:
+    """(origin, url, depth): start urls (url) at depth 0 and what their sitemaps list at depth 1.
+
+    Sitemaps are those named in the robots rules of the origin and the three usual addresses.
+    """
+    begun = starts.select(normalize_url(F.col("url")).alias("url")).distinct().withColumn("origin", url_origin(F.col("url")))
+    guessed = begun.select("origin", F.explode(F.array(*[F.concat("origin", F.lit(p)) for p in SITEMAP_PATHS])).alias("sitemap_url"))
+    named = rules.filter("kind = 'sitemap'").select("origin", normalize_url(F.col("value")).alias("sitemap_url"))
+    roots = guessed.unionByName(named.join(begun.select("origin").distinct(), "origin", "left_semi"))
+    listed = expand_sitemaps(maps, roots).withColumn("depth", F.lit(1))
+    both = begun.select("origin", "url", F.lit(0).alias("depth")).unionByName(listed)
+    return both.groupBy("origin", "url").agg(F.min("depth").alias("depth"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(url, depth): every url reachable from the seeds (depth 1), at its smallest depth.
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(url, depth): every url reachable from the seeds (url[, depth]), at its smallest depth.
 
-    One join per level. Each level is written to the shared folder, so neither the plan nor a recovery
-    grows with the depth. `edges` is read once per level and should be a stored table.
+    Seeds without a depth are starts, at depth 0. Edges are stored once, bucketed by their source, so
+    a level moves its frontier only; each level is written to the shared folder, so neither the plan
+    nor a recovery grows with the depth.
     """
-    links = edges.select("src", "dst").filter("src <> dst")
-    visited = frontier = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(1)), "reach")
-    for depth in range(2, max_depth + 1):
-        found = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url"))
-        fresh = found.distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialise(fresh, "reach")
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+    spark = edges.sparkSession
+    depth_of = F.col("depth").cast("int") if "depth" in seeds.columns else F.lit(0)
+    begun = materialise(seeds.groupBy("url").agg(F.min(depth_of).alias("depth")), "reach")
+    if max_depth is not None:
+        begun = begun.filter(F.col("depth") <= max_depth)
+    last = begun.agg(F.max("depth").alias("d")).first().d
+    name = f"edges_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = edges.select("src", "dst").filter("src <> dst").write.bucketBy(buckets, "src").option("path", scratch_path(spark, "edges"))
+    stored.saveAsTable(name)
+    links = spark.table(name)
+    visited = frontier = materialise(begun.filter("depth = 0"), "reach")
+    depth = 0
+    try:
+        while last is not None and (max_depth is None or depth < max_depth):
+            depth += 1
+            found = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url"))
+            found = found.unionByName(begun.filter(F.col("depth") == depth).select("url")).distinct()
+            frontier = materialise(found.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+            if frontier.isEmpty() and depth >= last:
+                break
+            visited = visited.unionByName(frontier)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return visited
 
 

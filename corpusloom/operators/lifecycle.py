@@ -25,11 +25,12 @@ REFERENCES = (
 )
 
 
-def upsert_docs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_docs(stored: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
     """Insert or update docs by (source_id, url).
 
     incoming: (source_id, url, title, content_md, seq). The last row of a key sets the title; body
-    and hash come from the last row that has a body, else the stored ones stay.
+    and hash come from the last row that has a body, else the stored ones stay. Further stored
+    columns are kept; `now` sets `updated_at` of what came in and `created_at` of what is new.
     """
     has_body = F.when(F.col("content_md").isNotNull(), F.col("seq"))
     latest = incoming.groupBy("source_id", "url").agg(
@@ -37,17 +38,19 @@ def upsert_docs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         F.max_by("content_md", has_body).alias("_body"),
         F.lit(True).alias("_new"),
     )
-    merged = stored.select("source_id", "url", "title", "content_md", "content_hash").join(
-        latest, ["source_id", "url"], "full_outer"
-    )
-    return merged.select(
-        stable_id(F.col("source_id"), F.col("url")).alias("id"),
-        "source_id",
-        "url",
-        F.when(F.col("_new"), F.col("_title")).otherwise(F.col("title")).alias("title"),
-        F.coalesce("_body", "content_md").alias("content_md"),
-        F.coalesce(F.md5("_body"), "content_hash").alias("content_hash"),
-    )
+    merged = stored.withColumn("_old", F.lit(True)).join(latest, ["source_id", "url"], "full_outer")
+    set_here = {
+        "id": stable_id(F.col("source_id"), F.col("url")),
+        "title": F.when(F.col("_new"), F.col("_title")).otherwise(F.col("title")),
+        "content_md": F.coalesce("_body", "content_md"),
+        "content_hash": F.coalesce(F.md5("_body"), "content_hash"),
+    }
+    if now is not None:
+        set_here["updated_at"] = F.when(F.col("_new"), now).otherwise(F.col("updated_at"))
+        set_here["created_at"] = F.when(F.col("_old"), F.col("created_at")).otherwise(now)
+    first = ["id", "source_id", "url", "title", "content_md", "content_hash"]
+    names = [*first, *[c for c in stored.columns if c not in first]]
+    return merged.select(*[set_here[c].alias(c) if c in set_here else c for c in names])
 
 
 def with_chunk_ids(chunks: DataFrame) -> DataFrame:
@@ -56,12 +59,22 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     return keyed.withColumn("id", stable_id(F.col("doc_id"), F.col("chunk_index")))
 
 
-def insert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored chunks plus the incoming ones; an incoming chunk replaces the stored one of its id."""
+def insert_chunks(stored: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
+    """Stored chunks plus the incoming ones, which replace all stored chunks of their documents.
+
+    A document that became shorter loses its former tail. Of rows with one id the last by `seq`
+    counts (without `seq`, the one with the greatest text). All stored columns are kept; those the
+    incoming rows lack are NULL, `created_at` is `now`.
+    """
     fresh = with_chunk_ids(incoming).withColumn("token_count", word_count(F.col("content")))
-    fresh = fresh.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("content"))).filter("_n = 1")
-    columns = [c for c in stored.columns if c in fresh.columns]
-    return stored.select(columns).join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(columns))
+    order = [F.desc(c) for c in ("seq", "content") if c in fresh.columns]
+    fresh = fresh.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(*order))).filter("_n = 1")
+    if now is not None and "created_at" not in fresh.columns:
+        fresh = fresh.withColumn("created_at", now)
+    kinds = dict(stored.dtypes)
+    columns = [F.col(c) if c in fresh.columns else F.lit(None).cast(kinds[c]).alias(c) for c in stored.columns]
+    renewed = with_chunk_ids(incoming).select("doc_id").distinct()
+    return stored.join(renewed, "doc_id", "left_anti").select(*stored.columns).unionByName(fresh.select(*columns))
 
 
 def import_outcome(incoming: DataFrame) -> DataFrame:

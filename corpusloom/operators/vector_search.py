@@ -65,18 +65,11 @@ def _compare(k: int):
             if width in asked:
                 names, wanted = asked[width]
                 rows, columns, scores = best_entries(wanted, matrix, k)
-                hit = chunks.iloc[at[columns]]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": queries["query_id"].to_numpy()[names[rows]],
-                            "chunk_id": hit["chunk_id"].to_numpy(),
-                            "_key": hit["_key"].to_numpy(),
-                            "score": scores,
-                        }
-                    )
-                )
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in _HITS.split(", ")})
+                at_query, at_chunk = names[rows], at[columns]
+                parts.append((queries["query_id"].array[at_query], chunks["chunk_id"].array[at_chunk], chunks["_key"].array[at_chunk], scores))
+        whole = [np.concatenate([np.asarray(part) for part in column]) for column in zip(*parts)] if parts else [[]] * 4
+        kinds = {"query_id": object, "chunk_id": object, "_key": "int64", "score": "float64"}
+        return pd.DataFrame({name: pd.Series(values, dtype=kind) for (name, kind), values in zip(kinds.items(), whole)})
 
     return run
 

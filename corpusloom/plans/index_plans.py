@@ -68,15 +68,17 @@ def _incoming_chunks(spark, d):
 
 
 def insert_chunks_q(spark, d):
-    """Chunks of all documents on top of stored ones that carry an outdated text and a stray chunk."""
+    """Chunks of all documents on top of stored ones that carry an outdated text and a former tail, beside a kept document."""
     chunks = t.chunks(spark, d)
     stale = chunks.withColumn("content", F.lit("stale"))
     stray = chunks.withColumn("id", F.concat("id", F.lit("-x"))).filter("chunk_index = 0")
-    merged = insert_chunks(stale.unionByName(stray).drop("seq", "created_at"), _incoming_chunks(spark, d))
+    other = stray.withColumn("id", F.concat("id", F.lit("-y"))).withColumn("doc_id", F.concat("doc_id", F.lit("-y")))
+    merged = insert_chunks(stale.unionByName(stray).unionByName(other).drop("seq", "created_at"), _incoming_chunks(spark, d))
     return merged.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("content") == "stale").alias("stale"),
         F.count_if(F.col("id").endswith("-x")).alias("stray"),
+        F.count_if(F.col("id").endswith("-y")).alias("other"),
         F.sum("token_count").alias("tokens"),
     )
 
@@ -226,7 +228,7 @@ SELECT source_id, count(*) FILTER (lang NOT IN ('de', 'fr')) AS skipped, count(*
 bodies AS (SELECT *, CASE lang WHEN 'en' THEN text || '!' ELSE text END AS body FROM docs)
 SELECT k AS id, source_id, url, upper(title) AS title, md5(body) AS content_hash, md5(body) AS body_hash FROM bodies""",
     "insert_chunks": f"""{DOC_CHUNKS}
-SELECT source_id, count(*) + count(*) FILTER (chunk_index = 0) AS n, 0::BIGINT AS stale, count(*) FILTER (chunk_index = 0) AS stray,
+SELECT source_id, count(*) + count(*) FILTER (chunk_index = 0) AS n, 0::BIGINT AS stale, 0::BIGINT AS stray, count(*) FILTER (chunk_index = 0) AS other,
        (sum(token_count) + coalesce(sum(token_count) FILTER (chunk_index = 0), 0))::BIGINT AS tokens
 FROM chunks JOIN docs USING (k) GROUP BY source_id""",
     "save_outcome": f"""{DOC_CHUNKS}

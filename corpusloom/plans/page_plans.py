@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_to_markdown, main_html, page_title
 from ..functions.text import content_hash, norm_key, strip_crawler_noise
-from ..functions.urls import normalize_url
+from ..functions.urls import normalize_url, url_origin
 from ..operators.chunking import chunk_markdown
 from ..operators.crawl import (
     apply_budget,
+    crawl_seeds,
     canonicalize,
     cut_on_failures,
     expand_sitemaps,
@@ -113,7 +114,7 @@ def crawl_reach(spark, d):
     supplier = F.concat(F.lit("/supplier/"), F.col("l_suppkey").cast("string"))
     edges = lines.select(supplier.alias("src"), part.alias("dst")).unionByName(lines.select(part.alias("src"), supplier.alias("dst")))
     seeds = t.table(spark, d, "supplier").agg(F.concat(F.lit("/supplier/"), F.min("s_suppkey").cast("string")).alias("url"))
-    return reachable(materialise(edges.distinct(), "edges"), seeds)
+    return reachable(edges.distinct(), seeds)
 
 
 def _budget_pages(spark, d):
@@ -134,21 +135,27 @@ def crawl_budget(spark, d):
 
 
 def sitemap_locs_q(spark, d):
-    return sitemap_locs(t.sitemaps(spark, d))
+    maps = t.sitemaps(spark, d)
+    return sitemap_locs(maps.withColumn("origin", url_origin(F.col("sitemap_url")))).drop("origin")
 
 
 def sitemap_tree(spark, d):
-    """Pages listed by page sitemaps that are reached through one root per origin."""
+    """Every page origin starts from one shared root that lists all page sitemaps; foreign pages are left out."""
     maps = t.sitemaps(spark, d)
-    pages = t.table(spark, d, "pages").select(
-        F.lit("https://root.example/sitemap.xml").alias("root"), F.regexp_extract("url", "^(https?://[^/]*)", 1).alias("o")
-    )
-    listing = maps.select(F.lit("https://root.example/sitemap.xml").alias("sitemap_url"),
-                          F.concat(F.lit("<sitemap><loc>"), "sitemap_url", F.lit("</loc></sitemap>")).alias("xml"))
-    roots = pages.select(F.col("root").alias("sitemap_url")).distinct()
+    root = F.lit("https://root.example/sitemap.xml")
+    listing = maps.select(root.alias("sitemap_url"), F.concat(F.lit("<sitemap><loc>"), "sitemap_url", F.lit("</loc></sitemap>")).alias("xml"))
+    roots = t.table(spark, d, "pages").select(url_origin(F.col("url")).alias("origin"), root.alias("sitemap_url"))
     return expand_sitemaps(maps.unionByName(listing), roots)
 
 
+def crawl_seeds_q(spark, d):
+    """Starts and sitemap pages of every page origin, whose own sitemap names the page sitemaps."""
+    maps = t.sitemaps(spark, d)
+    named = F.concat(F.lit("<sitemap><loc>"), "sitemap_url", F.lit("</loc></sitemap>"))
+    listing = maps.select(F.concat(url_origin(F.col("sitemap_url")), F.lit("/sitemap.xml")).alias("sitemap_url"), named.alias("xml"))
+    return crawl_seeds(t.table(spark, d, "pages"), maps.unionByName(listing), robots_rules(t.robots_files(spark, d), "LoomBot"))
+
+
 def _page_results(spark, d):
     return t.table(spark, d, "events").select(
         F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok")
@@ -185,6 +192,7 @@ QUERIES = {
     "crawl_budget": crawl_budget,
     "sitemap_locs": sitemap_locs_q,
     "sitemap_tree": sitemap_tree,
+    "crawl_seeds": crawl_seeds_q,
     "consecutive_failures": consecutive_failures,
     "dedup_chunks": dedup_chunks_q,
     "content_hash": content_hash_q,
@@ -251,7 +259,7 @@ WITH RECURSIVE edges AS (
   SELECT DISTINCT '/supplier/' || l_suppkey AS src, '/part/' || l_partkey AS dst FROM lineitem
   UNION SELECT DISTINCT '/part/' || l_partkey, '/supplier/' || l_suppkey FROM lineitem),
 reach AS (
-  SELECT '/supplier/' || min(s_suppkey) AS url, 1 AS depth FROM supplier
+  SELECT '/supplier/' || min(s_suppkey) AS url, 0 AS depth FROM supplier
   UNION SELECT dst, depth + 1 FROM reach JOIN edges ON src = url WHERE depth < 5)
 SELECT url, min(depth) AS depth FROM reach GROUP BY url""",
     "crawl_budget": f"""{DOC_CHUNKS},
@@ -281,10 +289,16 @@ locs AS (
   UNION SELECT sitemap_url, 'https://maps.example/sitemap_index.xml' FROM maps)
 SELECT sitemap_url, loc, loc = 'https://maps.example/sitemap_index.xml' AS nested FROM locs""",
     "sitemap_tree": f"""
-SELECT DISTINCT url FROM (
+SELECT DISTINCT {origin('url')} AS origin, url FROM (
   SELECT {normalized('url')} AS url FROM pages
   UNION SELECT {normalized("o || h")} FROM (
     SELECT {origin('url')} AS o, unnest(regexp_extract_all({NAV}, 'href="([^"]*)"', 1)) AS h FROM pages))""",
+    "crawl_seeds": f"""
+SELECT origin, url, min(depth)::INTEGER AS depth FROM (
+  SELECT {origin('url')} AS origin, {normalized('url')} AS url, 0 AS depth FROM pages
+  UNION ALL SELECT o, {normalized("o || h")}, 1 FROM (
+    SELECT {origin('url')} AS o, unnest(regexp_extract_all({NAV}, 'href="([^"]*)"', 1)) AS h FROM pages))
+GROUP BY origin, url""",
     "consecutive_failures": """
 WITH r AS (SELECT user_id AS source_id, event_id AS seq, event_type = 'purchase' AS ok,
                   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),

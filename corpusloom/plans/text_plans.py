@@ -11,7 +11,7 @@ from ..operators.chunking import (
     heading_outline,
     link_list_counts,
 )
-from ..settings import HTML_TAG_LINE, scratch_path
+from ..settings import HTML_TAG_LINE, materialise, scratch_path
 from ..sources.files import read_index, read_markdown_tree, read_pages, repo_digest, select_repo_docs, write_index
 from ..sources.listings import (
     discover_sources,
@@ -78,21 +78,20 @@ def src_pages(spark, d):
 
 
 def sink_index(spark, d):
+    """All sources are written, then one of them again with new titles; every row is read back."""
     path_ = scratch_path(spark, "index")
-    write_index(
-        {
-            "docs": t.docs(spark, d).drop("seq", "lang"),
-            "chunks": t.chunks(spark, d).drop("created_at"),
-            "embeddings": t.embeddings(spark, d),
-        },
-        path_,
-    )
+    docs = t.docs(spark, d).drop("seq", "lang")
+    chunks = t.chunks(spark, d).drop("created_at")
+    vectors = chunks.select(F.col("id").alias("chunk_id"), F.md5("content").alias("model"))
+    write_index({"docs": docs, "chunks": chunks, "embeddings": vectors}, path_)
+    one = F.col("source_id") == F.md5(F.lit("src3"))
+    again = read_index(spark, path_, "chunks")["chunks"].filter(one).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    part = {"docs": docs.filter(one).withColumn("title", F.upper("title")), "chunks": materialise(again, "again")}
+    write_index(part | {"embeddings": vectors.join(part["chunks"].select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")}, path_)
     stored = read_index(spark, path_, "docs", "chunks", "embeddings")
-    docs = stored["docs"].groupBy("source_id").agg(F.count(F.lit(1)).alias("docs"))
-    chunks = stored["chunks"].groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("n_chars")
-    )
-    return docs.join(chunks, "source_id", "left").na.fill(0)
+    joined = stored["chunks"].join(stored["embeddings"].select(F.col("chunk_id").alias("id"), "model"), "id")
+    named = joined.join(stored["docs"].select(F.col("id").alias("doc_id"), "url", "title"), "doc_id")
+    return named.select("source_id", "url", "title", "chunk_index", F.md5("content").alias("content_hash"), "model")
 
 
 def sink_repo_digest(spark, d):
@@ -276,9 +275,9 @@ SELECT 'doc://' || k AS url, md5(text) AS text_hash,
 FROM marked""",
     "src_pages": "SELECT page_id, url, length(html)::INTEGER AS n_chars FROM pages",
     "sink_index": f"""{DOC_CHUNKS}
-SELECT d.source_id, count(*) AS docs, sum(n)::BIGINT AS chunks, sum(c)::BIGINT AS n_chars
-FROM docs d LEFT JOIN (SELECT k, count(*) AS n, sum(length(content)) AS c FROM chunks GROUP BY k) USING (k)
-GROUP BY d.source_id""",
+SELECT source_id, url, CASE WHEN source_name = 'src3' THEN upper(title) ELSE title END AS title, chunk_index,
+       md5(content) AS content_hash, md5(content) AS model
+FROM chunks JOIN docs USING (k)""",
     "sink_repo_digest": f"""
 WITH {REPO_FILES},
 repos AS (SELECT DISTINCT repo FROM repo_files),
@@ -292,7 +291,6 @@ lines AS (
   UNION ALL SELECT repo, 3, chr(1114111), '```' || chr(10) FROM repos
   UNION ALL SELECT DISTINCT repo, 4, '', '## Documentation Files' || chr(10) FROM repo_docs WHERE NOT is_readme
   UNION ALL SELECT repo, 4, path, '- ' || path FROM repo_docs WHERE NOT is_readme
-  UNION ALL SELECT repo, 5, '', '## Public APIs' || chr(10) || chr(10) || '(API extraction coming soon)' FROM repos
 )
 SELECT repo, section, path, md5(line) AS line_hash FROM lines""",
     "chunk_markdown": f"""WITH RECURSIVE {MARKED}, {chunk_ctes('marked')}

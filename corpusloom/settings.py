@@ -35,6 +35,7 @@ DISALLOWED_EXTENSIONS = (
     r"|mp3|mp4|mov|avi|wmv|mkv|docx?|xlsx?|pptx?)\z"
 )
 SITEMAP_PATH = r"(?i)sitemap(?:[_-]index)?\.xml\z"
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml")
 
 # --- fixed values: limits ------------------------------------------------------------
 MIN_CHUNK_CHARS = 50

@@ -13,7 +13,6 @@ DIGEST_TITLE = "# Repository Documentation\n\n**Source:** "
 DIGEST_OVERVIEW = "## Overview\n\n"
 DIGEST_STRUCTURE = "Repository Structure:\n```"
 DIGEST_FILES = "## Documentation Files\n"
-DIGEST_INTERFACE = "## Public APIs\n\n(API extraction coming soon)"
 DIRECTORY_MARK, FILE_MARK = "📁 ", "📄 "
 # -----------------------------------------------------------------------------------------
 
@@ -24,11 +23,13 @@ def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") ->
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text"))
     )
-    plain = F.regexp_replace(F.url_decode(F.regexp_replace("_path", r"\+", "%2B")), "^file:/+", "/")
+    decoded = F.url_decode(F.regexp_replace("_path", r"\+", "%2B"))
+    plain = F.regexp_replace(decoded, "^file:/+", "/")
     base = root.removeprefix("file://").rstrip("/")
     relative = F.substring_index(plain, base + "/", -1)
     skipped = F.arrays_overlap(F.split(relative, "/"), F.array(*map(F.lit, SKIP_DIRS)))
-    return files.filter(~skipped).select(F.concat(F.lit("file://"), plain).alias("url"), relative.alias("title"), "text")
+    url = F.when(plain.startswith("/"), F.concat(F.lit("file://"), plain)).otherwise(plain)
+    return files.filter(~skipped).select(url.alias("url"), relative.alias("title"), "text")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +109,6 @@ def repo_digest(files: DataFrame, excludes: tuple[str, ...] = DIGEST_EXCLUDES) -
         section(repos, 3, F.lit("\U0010ffff"), F.lit("```\n")),
         section(pages.select("repo").distinct(), 4, none, F.lit(DIGEST_FILES)),
         section(pages, 4, page_path, F.concat(F.lit("- "), page_path)),
-        section(repos, 5, none, F.lit(DIGEST_INTERFACE)),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -119,22 +119,36 @@ def write_digest(digest: DataFrame, path: str) -> None:
     spread.select(F.url_encode("repo").alias("repo"), "line").write.mode("overwrite").partitionBy("repo").text(path)
 
 
+# Tables without a source of their own: their key, and the table and column it points to.
+OWNERS = {"embeddings": ("chunk_id", "chunks", "id"), "job_logs": ("job_id", "jobs", "id")}
+
+
+def _with_source(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The table with the source its rows belong to."""
+    df = tables[name]
+    if "source_id" in df.columns:
+        return df
+    if name == "sources":
+        return df.withColumn("source_id", F.col("id"))
+    key, parent, parent_key = OWNERS.get(name, (None, None, None))
+    if parent not in tables:
+        raise ValueError(f"{name} needs a source_id, or its {parent or 'parent'} table beside it")
+    owners = tables[parent].select(F.col(parent_key).alias(key), "source_id")
+    return df.join(owners, key, "left")
+
+
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
     """Write index tables below `path`.
 
-    Tables with a source are partitioned by it and only the partitions present in the frame are
-    replaced, so an import of some sources leaves the others alone. Rows are clustered by source
-    before the write to avoid many small files; AQE splits a large source over several tasks.
+    Every table is partitioned by source and only the partitions present in the frame are
+    replaced, so an import of some sources leaves all rows of the others alone, their embeddings and
+    logs included; these get the source of their chunk or job. Rows are clustered by source before
+    the write to avoid many small files; AQE splits a large source over several tasks.
     """
-    for name, df in tables.items():
-        writer = df
-        if "source_id" in df.columns:
-            writer = df.hint("rebalance", "source_id")
-            writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(
-                f"{path}/{name}"
-            )
-        else:
-            writer.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name in tables:
+        clustered = _with_source(name, tables).hint("rebalance", "source_id")
+        writer = clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("source_id").parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:

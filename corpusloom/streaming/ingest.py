@@ -38,17 +38,19 @@ def _latest(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def ingest_batch(pages: DataFrame, index_path: str, embedder: Embedder, batch_id: int) -> None:
-    """Import pages (source_id, url, html, seq) of one micro-batch.
+    """Import pages (source_id, url, html[, seq]) of one micro-batch; of one url the last by `seq` counts.
 
     Each batch writes only its own folder of every table: unchanged documents are skipped, the
     chunks of a changed document supersede its earlier ones (see `current_index`), and a repeated
-    batch writes the same rows again.
+    batch writes the same rows again. All chunks are stored; repeated passages are dropped at read,
+    because the document that holds the first copy may change later.
     """
     spark = pages.sparkSession
     docs_path, chunks_path, vectors_path = (f"{index_path}/{t}" for t in ("docs", "chunks", "embeddings"))
     stored = _latest(_table(spark, docs_path, DOC_STATE, batch_id), "source_id", "url")
-    docs = pages_to_docs(pages).withColumn("seq", F.monotonically_increasing_id())
-    last = docs.groupBy("source_id", "url").agg(F.max_by(F.struct("title", "text"), "seq").alias("_d"))
+    docs = pages_to_docs(pages)
+    order = F.struct(*[c for c in ("seq", "title", "text") if c in docs.columns])
+    last = docs.groupBy("source_id", "url").agg(F.max_by(F.struct("title", "text"), order).alias("_d"))
     incoming = last.select("source_id", "url", "_d.title", F.col("_d.text").alias("content_md"))
     fresh = diff_docs(incoming, stored.select("source_id", "url", "content_hash")).filter("change <> 'unchanged'")
     fresh.drop("change").write.mode("overwrite").parquet(f"{docs_path}/batch={batch_id}")
@@ -57,8 +59,7 @@ def ingest_batch(pages: DataFrame, index_path: str, embedder: Embedder, batch_id
     chunks = chunk_markdown(
         changed.select("source_id", F.col("url").alias("doc_url"), F.col("content_md").alias("text"))
     )
-    unique = dedup_chunks(chunks, "source_id", ("doc_url", "chunk_index"))
-    with_chunk_ids(unique).write.mode("overwrite").parquet(f"{chunks_path}/batch={batch_id}")
+    with_chunk_ids(chunks).write.mode("overwrite").parquet(f"{chunks_path}/batch={batch_id}")
 
     written = spark.read.parquet(f"{chunks_path}/batch={batch_id}")
     known = _table(spark, vectors_path, EMBEDDING_STATE, batch_id)
@@ -82,7 +83,7 @@ def current_index(spark: SparkSession, index_path: str) -> dict[str, DataFrame]:
     docs = _latest(_table(spark, f"{index_path}/docs", DOC_STATE, 2**62), "source_id", "url")
     all_chunks = _table(spark, f"{index_path}/chunks", CHUNK_STATE, 2**62)
     live = docs.select("source_id", F.col("url").alias("doc_url"), "batch")
-    chunks = all_chunks.join(live, ["source_id", "doc_url", "batch"], "left_semi")
+    chunks = dedup_chunks(all_chunks.join(live, ["source_id", "doc_url", "batch"], "left_semi"), "source_id", ("doc_url", "chunk_index"))
     vectors = _table(spark, f"{index_path}/embeddings", EMBEDDING_STATE, 2**62).drop("batch")
     texts = chunks.select(stable_id(F.col("id"), F.md5("content")).alias("chunk_id"), F.col("id").alias("_chunk"))
     embeddings = vectors.join(texts, "chunk_id").withColumn("chunk_id", F.col("_chunk")).drop("_chunk")

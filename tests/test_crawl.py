@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.crawl import apply_budget, cut_on_failures, expand_sitemaps, failure_drops, reachable
+from corpusloom.operators.crawl import apply_budget, crawl_seeds, cut_on_failures, expand_sitemaps, failure_drops, reachable
 from corpusloom.operators.running import running
 
 
@@ -10,8 +10,12 @@ def test_reach_smallest_depth(spark):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("x", "y"), ("a", "a")]
     df = spark.createDataFrame(edges, "src STRING, dst STRING")
     seeds = spark.createDataFrame([("a",), ("a",)], "url STRING")
-    found = {r.url: r.depth for r in reachable(df, seeds, 4).collect()}
-    assert found == {"a": 1, "b": 2, "c": 2, "d": 3, "e": 4}
+    found = {r.url: r.depth for r in reachable(df, seeds, 3).collect()}
+    assert found == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
+    assert {r.url for r in reachable(df, seeds, None).collect()} == set("abcdef")
+    later = spark.createDataFrame([("a", 0), ("e", 1), ("x", 2), ("y", 9)], "url STRING, depth INT")
+    found = {r.url: r.depth for r in reachable(df, later, 3).collect()}
+    assert found == {"a": 0, "b": 1, "c": 1, "e": 1, "d": 2, "f": 2, "x": 2, "y": 3}
 
 
 def test_sitemap_tree(spark):
@@ -20,9 +24,18 @@ def test_sitemap_tree(spark):
         ("https://a/sitemap_index.xml", "<loc>/two/</loc><loc>/sitemap.xml</loc>"),
         ("https://a/other.xml", "<loc>/three</loc>"),
     ]
-    df = spark.createDataFrame(maps, "sitemap_url STRING, xml STRING")
-    roots = spark.createDataFrame([("https://a/sitemap.xml",)], "sitemap_url STRING")
-    assert sorted(r.url for r in expand_sitemaps(df, roots).collect()) == ["https://a/one", "https://a/two"]
+    nested = [(f"https://a/{i}/sitemap.xml", f"<loc>/{i + 1}/sitemap.xml</loc><loc>/deep{i}</loc>") for i in range(30)]
+    other = [("https://b/sitemap.xml", "<loc>https://a/far</loc><loc>https://b/not</loc>")]
+    maps[1] = (maps[1][0], maps[1][1] + "<loc>/0/sitemap.xml</loc><loc>https://b/sitemap.xml</loc>")
+    df = spark.createDataFrame(maps + nested + other, "sitemap_url STRING, xml STRING")
+    roots = spark.createDataFrame([("https://a", "https://a/sitemap.xml")], "origin STRING, sitemap_url STRING")
+    want = {"https://a/one", "https://a/two", "https://a/far", *(f"https://a/deep{i}" for i in range(30))}
+    assert {r.url for r in expand_sitemaps(df, roots).collect()} == want
+    starts = spark.createDataFrame([("https://a/one#x",), ("https://b",)], "url STRING")
+    rules = spark.createDataFrame([("https://b", "sitemap", "https://a/other.xml")], "origin STRING, kind STRING, value STRING")
+    seeds = {(r.origin, r.url): r.depth for r in crawl_seeds(starts, df, rules).collect()}
+    assert seeds[("https://a", "https://a/one")] == 0 and seeds[("https://a", "https://a/two")] == 1
+    assert seeds[("https://b", "https://b/not")] == 1 and ("https://b", "https://a/three") not in seeds
 
 
 def test_running_values_over_several_blocks(spark):

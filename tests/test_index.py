@@ -55,6 +55,23 @@ def test_insert_chunks_is_idempotent(spark):
     assert import_outcome(batch.limit(0)).count() == 0
 
 
+def test_writes_keep_what_they_do_not_touch(spark):
+    then, now = F.lit(1).alias("t"), F.lit(2)
+    stored = spark.createDataFrame([("s", "a", "A", "x", "h", 1, 1, 7), ("s", "b", "B", "y", "h", 1, 1, 8)],
+        "source_id STRING, url STRING, title STRING, content_md STRING, content_hash STRING, created_at INT, updated_at INT, indexed_at INT")
+    incoming = spark.createDataFrame([("s", "a", "A1", None, 1), ("s", "c", "C", "z", 1)], "source_id STRING, url STRING, title STRING, content_md STRING, seq INT")
+    found = {r.url: (r.title, r.created_at, r.updated_at, r.indexed_at) for r in upsert_docs(stored, incoming, now).collect()}
+    assert found == {"a": ("A1", 1, 2, 7), "b": ("B", 1, 1, 8), "c": ("C", 2, 2, None)}
+
+    schema = "source_id STRING, doc_url STRING, chunk_index INT, content STRING, seq INT"
+    empty = spark.createDataFrame([], "id STRING, doc_id STRING, source_id STRING, content STRING, chunk_index INT, token_count INT, created_at INT")
+    long = [("s", "u", i, f"text {i}", 1) for i in range(3)] + [("s", "v", 0, "other", 1)]
+    first = insert_chunks(empty, spark.createDataFrame(long, schema), then)
+    again = [("s", "u", 0, "zz older", 1), ("s", "u", 0, "aa newer", 2)]
+    rows = insert_chunks(first, spark.createDataFrame(again, schema), now).collect()
+    assert sorted((r.content, r.created_at) for r in rows) == [("aa newer", 2), ("other", 1)]
+
+
 def test_purge(spark):
     chunks = spark.createDataFrame([("1", "s", LINKS), ("2", "s", "clean prose"), ("3", "t", LINKS)], "id STRING, source_id STRING, content STRING")
     index = {"chunks": chunks, "embeddings": chunks.select(F.col("id").alias("chunk_id"))}

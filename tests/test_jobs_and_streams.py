@@ -101,3 +101,24 @@ def test_ingest_skips_unchanged_and_replaces_changed(spark, tmp_path):
     assert {r.chunk_id for r in index["embeddings"].collect()} == {r.id for r in index["chunks"].collect()}
     batches = spark.read.option("basePath", f"{tmp_path}/index/docs").parquet(f"{tmp_path}/index/docs").groupBy("batch").count()
     assert {r.batch: r["count"] for r in batches.collect()} == {0: 2, 1: 2}
+
+
+def test_ingest_loses_no_passage_across_batches(spark, tmp_path):
+    """Two pages share a passage; the first copy changes later. Three batches equal one."""
+    prose = "A paragraph with enough words to be kept as a passage of its own by the chunker, number {}."
+
+    def page(url, n, seq):
+        return ("s", url, f"<main><h1>T</h1><p>{prose.format(n)}</p></main>", seq)
+
+    schema = "source_id STRING, url STRING, html STRING, seq INT"
+    batches = [[page("https://a/1", 1, 1)], [page("https://a/2", 1, 2)], [page("https://a/1", 7, 3)]]
+
+    def ingest(name, parts):
+        for rows in parts:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}/in")
+            run_ingest(stream, f"{tmp_path}/{name}/index", f"{tmp_path}/{name}/cp", hashing_embedder(8)).awaitTermination()
+        chunks = current_index(spark, f"{tmp_path}/{name}/index")["chunks"]
+        return sorted((r.doc_url, r.content[-2]) for r in chunks.collect())
+
+    assert ingest("three", batches) == ingest("one", [sum(batches, [])]) == [("https://a/1", "7"), ("https://a/2", "1")]

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def test_repo_digest(spark, tmp_path):
     text = "\n".join(lines)
     assert text == (
         "# Repository Documentation\n\n**Source:** repo\n\n## Overview\n\nHello\n\nRepository Structure:\n```\n"
-        "📄 README.md\n📁 docs\n  📄 a.md\n```\n\n## Documentation Files\n\n- docs/a.md\n## Public APIs\n\n(API extraction coming soon)"
+        "📄 README.md\n📁 docs\n  📄 a.md\n```\n\n## Documentation Files\n\n- docs/a.md"
     )
     assert "📄 README.md" in "\n".join(r.value for r in spark.read.text(f"{tmp_path}/digest").collect())
 
@@ -155,11 +156,18 @@ def test_openapi(spark):
 
 
 def test_index_round_trip_keeps_other_sources(spark, tmp_path):
-    def docs(*rows):
-        return {"docs": spark.createDataFrame(rows, "source_id STRING, url STRING")}
+    def tables(*rows):
+        docs = spark.createDataFrame([(s, u) for s, u in rows], "source_id STRING, url STRING")
+        chunks = docs.selectExpr("url AS id", "source_id")
+        vectors = docs.selectExpr("url AS chunk_id", "'m' AS model")
+        return {"docs": docs, "chunks": chunks, "embeddings": vectors, "sources": docs.selectExpr("source_id AS id").distinct()}
 
     path = f"{tmp_path}/index"
-    write_index(docs(("s", "a"), ("t", "b")), path)
-    write_index(docs(("s", "c")), path)
-    found = read_index(spark, path, "docs")["docs"].select("source_id", "url").collect()
-    assert sorted(map(tuple, found)) == [("s", "c"), ("t", "b")]
+    write_index(tables(("s", "a"), ("s", "z"), ("t", "b")), path)
+    write_index(tables(("s", "c")), path)
+    found = read_index(spark, path, "docs", "chunks", "embeddings", "sources")
+    assert sorted((r.source_id, r.url) for r in found["docs"].collect()) == [("s", "c"), ("t", "b")]
+    assert sorted((r.source_id, r.chunk_id) for r in found["embeddings"].collect()) == [("s", "c"), ("t", "b")]
+    assert sorted(r.id for r in found["sources"].collect()) == ["s", "t"]
+    with pytest.raises(ValueError):
+        write_index({"embeddings": tables(("s", "c"))["embeddings"]}, path)
