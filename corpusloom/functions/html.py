@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,15 +21,43 @@ _BLOCK = set(
     "address article blockquote body center dd div dl dt fieldset figcaption figure form header hr html li main ol p "
     "pre section table tbody td tfoot th thead tr ul h1 h2 h3 h4 h5 h6".split()
 )
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+# Elements whose end tag may be left out, and the start tags that end them.
+_ENDED_BY = {
+    "p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
+}
+_MARKS = re.compile(r"([\\*_`\[\]])")
+_LINE_START = re.compile(r"^(\s*)(#{1,6}(?=\s)|[-+](?=\s)|>|~~~|=+)")
+_NUMBERED = re.compile(r"^(\s*\d+)\.(?=\s)")
+
+
+def _named_entities() -> Column:
+    pairs = [(F.lit(name), F.lit(chr(code))) for name, code in {**name2codepoint, "apos": 39}.items()]
+    return F.create_map(*[part for pair in pairs for part in pair])
+
+
+def _entity(name: Column) -> Column:
+    """The character of `amp`, `#8217` or `#x2019`; NULL if there is none."""
+    numeric = F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 9).try_cast("bigint")).when(
+        name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("bigint")
+    )
+    valid = ((numeric > 0) & (numeric < 0xD800)) | ((numeric > 0xDFFF) & (numeric <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, numeric)), 8, "0")), "UTF-32")
+    return F.when(name.startswith("#"), char).otherwise(F.try_element_at(_named_entities(), name))
 
 
 def decode_entities(c: Column) -> Column:
-    """The entities of plain running text; `&amp;` last so that nothing is decoded twice."""
-    out = c
-    for name, char in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    """Character references, each decoded once; what is none stays as it is."""
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.when(name != "", _entity(name))
+        rest = F.concat(char, F.substr(piece, F.length(name) + 2))
+        return F.coalesce(rest, F.concat(F.lit("&"), piece))
+
+    parts = F.split(c, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), decoded), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:
@@ -47,18 +76,18 @@ def page_title(html: Column) -> Column:
 
 def canonical_href(html: Column) -> Column:
     """href of the first <link rel="canonical">, NULL if there is none."""
-    link = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
+    link = F.regexp_extract(html, r"(?is)(<link\b[^>]*?[\s\"'/]rel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     return F.nullif(decode_entities(_attribute(link, "href")), F.lit(""))
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    value = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
     return F.regexp_replace(value, r"^[\"']|[\"']\z", "")
 
 
 def hrefs(html: Column) -> Column:
     """href values of all <a> elements, in order."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))"), F.lit(1))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<a(?=\s)[^>]*?[\s\"'/]href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))"), F.lit(1))
     return F.transform(tags, lambda t: ws_trim(decode_entities(_attribute(t, "href"))))
 
 
@@ -81,7 +110,8 @@ def main_html_simple(html: Column) -> Column:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
     main = F.regexp_extract(out, r"(?is)<(?:main|article)\b[^>]*>(.*?)</(?:main|article)\s*>", 1)
     body = F.regexp_extract(out, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    return F.coalesce(F.nullif(main, F.lit("")), F.nullif(body, F.lit("")), out)
+    has_main = out.rlike(r"(?is)<(?:main|article)\b[^>]*>.*?</(?:main|article)\s*>")
+    return F.when(has_main, main).otherwise(F.coalesce(F.nullif(body, F.lit("")), out))
 
 
 def main_html(html: Column) -> Column:
@@ -126,8 +156,10 @@ class _MainWalk(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
+        while self.skip and tag in _ENDED_BY.get(self.skip[-1], ()):
+            self.skip.pop()
         if self.skip:
-            if tag == self.skip[0]:
+            if tag not in _VOID:
                 self.skip.append(tag)
         elif _boilerplate(tag, values):
             if tag not in _VOID:
@@ -142,9 +174,12 @@ class _MainWalk(HTMLParser):
             self.open(tag, values)
 
     def handle_endtag(self, tag):
+        if self.skip and tag not in self.skip and self.skip[0] in _ENDED_BY and tag in _BLOCK:
+            self.skip.clear()  # the end of an element around the skipped one
         if self.skip:
-            if tag == self.skip[0]:
-                self.skip.pop()
+            while tag in self.skip:
+                if self.skip.pop() == tag:
+                    break
             return
         if len(self.span) == 1 and tag == self.main_tag:
             self.depth -= 1
@@ -193,9 +228,17 @@ class _MarkdownOut(_MainWalk):
         self.lists: list[int | None] = []
         self.links: list[str] = []
         self.prefix = ""
+        self.quotes = self.code = 0
         self.fenced = False
+        self.language = ""
 
     def open(self, tag, attrs):
+        if self.fenced:
+            found = re.search(r"lang(?:uage)?-([\w+#-]+)", attrs.get("class", "")) if tag == "code" else None
+            self.language = found[1] if found else self.language
+            if tag == "br" or (tag in _BLOCK and self.line and not self.line[-1].endswith("\n")):
+                self.line.append("\n")
+            return
         if tag in _BLOCK:
             self.flush()
         if tag in ("ul", "ol"):
@@ -203,36 +246,57 @@ class _MarkdownOut(_MainWalk):
         elif tag == "li":
             self.prefix = self._bullet()
         elif tag == "pre":
-            self.fenced = True
+            self.fenced, self.language = True, ""
         elif tag == "br":
-            self.line.append("\n" if self.fenced else "  \n")
+            self.line.append("  \n")
         elif tag == "hr":
             self.out.append("* * *")
         elif tag == "img" and attrs.get("src"):
-            self.line.append(f"![{attrs.get('alt', '')}]({attrs['src']})")
+            self.line.append(f"![{attrs.get('alt', '')}]({attrs['src']}{self._title(attrs)})")
         elif tag == "a":
-            self.links.append(attrs.get("href", ""))
+            self.links.append(attrs.get("href", "") and attrs["href"] + self._title(attrs))
             self.line.append("[" if self.links[-1] else "")
         elif re.fullmatch("h[1-6]", tag):
             self.prefix = "#" * int(tag[1]) + " "
         elif tag == "blockquote":
-            self.prefix = "> "
-        elif tag in self._INLINE and not self.fenced:
+            self.quotes += 1
+        elif tag in self._INLINE:
+            self.code += tag == "code"
             self.line.append(self._INLINE[tag])
 
     def shut(self, tag):
-        if tag == "a" and self.links:
+        if self.fenced:
+            if tag == "pre":
+                self.flush()
+            elif tag in _BLOCK and self.line and not self.line[-1].endswith("\n"):
+                self.line.append("\n")
+        elif tag == "a" and self.links:
             href = self.links.pop()
             self.line.append(f"]({href})" if href else "")
-        elif tag in self._INLINE and not self.fenced:
+        elif tag in self._INLINE:
+            self.code -= tag == "code"
             self.line.append(self._INLINE[tag])
         elif tag in _BLOCK:
             self.flush()
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
+            elif tag == "blockquote":
+                self.quotes = max(self.quotes - 1, 0)
 
     def text(self, data):
-        self.line.append(data if self.fenced else re.sub(r"\s+", " ", data))
+        if self.fenced:
+            self.line.append(data)
+            return
+        data = re.sub(r"\s+", " ", data)
+        if not self.code:
+            data = _MARKS.sub(r"\\\1", data)
+            if not "".join(self.line).strip():
+                data = _NUMBERED.sub(r"\1\\.", _LINE_START.sub(r"\1\\\2", data))
+        self.line.append(data)
+
+    @staticmethod
+    def _title(attrs: dict[str, str]) -> str:
+        return f' "{attrs["title"]}"' if attrs.get("title") else ""
 
     def _bullet(self) -> str:
         indent = "    " * max(len(self.lists) - 1, 0)
@@ -246,13 +310,14 @@ class _MarkdownOut(_MainWalk):
         self.line = []
         if self.fenced:
             self.fenced = False
-            if raw.strip():
-                self.out.append("```\n" + raw.strip("\n") + "\n```")
-            return
-        block = re.sub(r"[ \t]*\n[ \t]*", "  \n", raw).strip()
+            block = f"```{self.language}\n" + raw.strip("\n") + "\n```" if raw.strip() else ""
+        else:
+            block = re.sub(r"[ \t]*\n[ \t]*", "  \n", raw).strip()
+            block = self.prefix + block if block else ""
+            self.prefix = "" if block else self.prefix
         if block:
-            self.out.append(self.prefix + block)
-            self.prefix = ""
+            marks = "> " * self.quotes
+            self.out.append(marks + block.replace("\n", "\n" + marks) if marks else block)
 
 
 def _join_blocks(blocks: list[str]) -> str:

@@ -159,9 +159,10 @@ def matches(query_terms: str) -> str:
     return f"""
   SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
            / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean))), 12) AS score
-  FROM {query_terms} JOIN postings USING (term) JOIN frequency USING (term) JOIN sizes USING (chunk_id) CROSS JOIN totals
+  FROM {query_terms} JOIN (SELECT query_id, count(*) AS need FROM {query_terms} GROUP BY query_id) USING (query_id)
+    JOIN postings USING (term) JOIN frequency USING (term) JOIN sizes USING (chunk_id) CROSS JOIN totals
   GROUP BY query_id, chunk_id
-  HAVING count(*) = (SELECT count(*) FROM {query_terms} w WHERE w.query_id = {query_terms}.query_id)"""
+  HAVING count(*) = any_value(need)"""
 
 
 def text_hits(k: int) -> str:

@@ -128,7 +128,7 @@ def test_robots_paths(spark):
 def test_sitemap(spark):
     xml = "<urlset><loc> /docs/ </loc><LOC>https://a.example/docs/x#y</LOC><loc>https://b.example/z</loc><loc>/sitemap_index.xml</loc></urlset>"
     df = spark.createDataFrame([("https://a.example/sitemap.xml", xml)], "sitemap_url STRING, xml STRING")
-    found = {(r.loc, r.nested) for r in sitemap_locs(df).collect()}
+    found = {(r.loc, r.nested) for r in sitemap_locs(df.withColumn("origin", F.lit("https://a.example"))).collect()}
     assert found == {("https://a.example/docs", False), ("https://a.example/docs/x", False), ("https://a.example/sitemap_index.xml", True)}
 
 
@@ -139,3 +139,31 @@ def test_source_kinds(spark):
     assert docs_of_kind("upper", raw).first().title == "N" and "upper" in source_kinds()
     with pytest.raises(ValueError):
         docs_of_kind("nothing", raw)
+
+
+def test_attributes_and_references(one):
+    from corpusloom.functions.html import decode_entities, hrefs
+
+    assert one(hrefs(F.col("h")), h='<a data-href="/no" href="/yes">x</a> <a data-href="/only">y</a> <a\nhref=/z>') == ["/yes", "/z"]
+    text = "&#8217;&mdash;&#x27;&amp;lt;&eacute;&nope;&#0;&#xD800;&#128512; a & b &"
+    assert one(decode_entities(F.col("t")), t=text) == "’—'&lt;é&nope;&#0;&#xD800;😀 a & b &"
+
+
+def test_empty_main_stays_empty(one):
+    assert one(main_html(F.col("h")), h="<body><p>x</p><main></main></body>") == ""
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><p class='toc'>skip<p>kept</body>", "kept"),
+        ("<body><ul><li class='toc'>skip<li>kept</ul><p>after</p></body>", "*   kept\n\nafter"),
+        ("<body><div><p class='toc'>skip</div><p>kept</p></body>", "kept"),
+        ("<body><pre><code class='language-js'><div>a</div><div>b</div></code></pre><p>c</p></body>", "```js\na\nb\n```\n\nc"),
+        ("<body><blockquote><p>one</p><p>two</p></blockquote><p>three</p></body>", "> one\n\n> two\n\nthree"),
+        ("<body><p>2 * 3_x [y]</p><p># no heading</p><p>1. no list</p></body>", "2 \\* 3\\_x \\[y\\]\n\n\\# no heading\n\n1\\. no list"),
+        ("<body><p><a href='/a' title='T'>x</a> <code>a_b</code></p></body>", '[x](/a "T") `a_b`'),
+    ],
+)
+def test_markdown_rules(one, page, want):
+    assert one(html_to_markdown(F.col("h")), h=page) == want
