@@ -13,6 +13,7 @@ from ..functions.html import html_to_markdown, page_title
 from ..functions.text import strip_crawler_noise
 from ..functions.urls import normalize_url
 from .files import select_repo_docs
+from .openapi import openapi_chunks
 from .listings import llms_full_to_docs, packages_to_docs
 
 SourceKind = Callable[[DataFrame], DataFrame]
@@ -52,6 +53,11 @@ def _plain_docs(files: DataFrame) -> DataFrame:
     return files.select("source_id", "url", "title", "text")
 
 
+def _spec_docs(specs: DataFrame) -> DataFrame:
+    """Interface descriptions (source_id, url, name, json): one document per chunk, already cut."""
+    return openapi_chunks(specs).select("source_id", F.col("doc_url").alias("url"), F.col("doc_title").alias("title"), F.col("content").alias("text"))
+
+
 def _url_list_docs(fetched: DataFrame) -> DataFrame:
     return fetched.select("source_id", "url", F.col("url").alias("title"), "text")
 
@@ -68,3 +74,5 @@ register_source_kind("github", _repo_docs)
 register_source_kind("azuredevops", _repo_docs)
 register_source_kind("crawler", pages_to_docs)
 register_source_kind("llmstxt-crawl", pages_to_docs)
+register_source_kind("llmstxt-meta", _plain_docs)
+register_source_kind("openapi", _spec_docs)

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusloom.sources.registry import docs_of_kind, source_kinds
 from corpusloom.sources.files import read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
 from corpusloom.sources.listings import (
     discover_sources,
@@ -155,6 +156,29 @@ def test_openapi(spark):
     assert [(r.path, r.method, r.n_params, r.deprecated) for r in ops] == [("/orders", "GET", 1, False), ("/orders", "POST", 0, True)]
 
 
+def test_openapi_odd_shapes(spark):
+    """References for parameters, boolean schemas, lists beside methods and missing parts never end the job."""
+    spec = {
+        "components": {"schemas": {"Any": True, "Odd": {"properties": {"x": False}, "items": {"$ref": "#/y"}}}},
+        "paths": {"/a": {
+            "parameters": [{"name": "shared"}],
+            "get": {"parameters": [{"$ref": "#/p"}, {"name": "q", "schema": True}], "responses": {"default": {}, "200": {"content": {
+                "text/plain": {}, "application/json": {"schema": {"type": "string"}}}}}},
+            "put": {},
+        }},
+    }
+    df = spark.createDataFrame([("s", "u", "n", json.dumps(spec)), ("t", "v", "m", "[1]")], "source_id STRING, url STRING, name STRING, json STRING")
+    rows = {(r.doc_title, r.heading): r.content for r in openapi_chunks(df).collect()}
+    assert rows[("n", "Schema: Any")] == "Schema: Any\n"
+    assert rows[("n", "Schema: Odd")] == "Schema: Odd\nproperties:\n  x: \nitems:   $ref: #/y"
+    assert rows[("GET /a", "GET /a")] == (
+        "Operation ID: N/A\n\nTags: N/A\n\nParameters:\n- #/p\n- q \n    schema: \n\n"
+        "Responses:\n- 200: \n  text/plain\n  application/json\n  schema: type: string\n- default: "
+    )
+    assert rows[("PUT /a", "PUT /a")] == "Operation ID: N/A\n\nTags: N/A" and len(rows) == 5
+    assert docs_of_kind("openapi", df).count() == 5 and "llmstxt-meta" in source_kinds()
+
+
 def test_index_round_trip_keeps_other_sources(spark, tmp_path):
     def tables(*rows):
         docs = spark.createDataFrame([(s, u) for s, u in rows], "source_id STRING, url STRING")
