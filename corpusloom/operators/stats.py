@@ -71,11 +71,14 @@ def docs_with_chunk_count(index: Index, source_id: str | None = None) -> DataFra
 
 
 def doc_chunks(index: Index, doc_id: str | None = None) -> DataFrame:
-    """Chunks of one document (or of all, document by document) in index order."""
+    """Chunks of one document in index order; of all documents, each document's chunks together and in order.
+
+    Documents among each other have no order, so nothing is sorted over the whole table.
+    """
     chunks = index["chunks"]
     if doc_id is not None:
         return chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index")
-    return chunks.orderBy("doc_id", "chunk_index")
+    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
 
 
 def source_chunks(index: Index, source_id: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every registered query against its check SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as contract
@@ -18,7 +20,12 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 20
 
 
+# Tag walks and streams are checked by fixtures; the training-data operators bring tests of their own.
+WITHOUT_SQL = {"page_markdown", "page_chunks", "stream_ingest"}
+
+
 @pytest.mark.parametrize("name", list(contract.queries()))
 def test_query(spark, con, name):
+    assert name in contract.oracle_sql() or name in WITHOUT_SQL or re.match(r"op\d+_|pipeline", name)
     ok, note = compare(spark, con, FOLDER, name)
     assert ok, note
