@@ -8,7 +8,7 @@ from ..functions.display import agent_text, card_preview, token_estimate
 from ..functions.text import is_link_list
 from ..settings import DEFAULT_LIMIT, MAX_LIMIT, OVER_FETCH
 from .fusion import mmr_rerank, rrf_merge
-from .text_search import search_text
+from .text_search import TextIndex, search_text
 from .vector_search import search_vector
 
 
@@ -26,7 +26,7 @@ def checked_limit(limit: object) -> int:
 
 
 def _fused(
-    index: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, source: str | None, stem: bool
+    index: TextIndex, vectors: DataFrame, queries: DataFrame, limit: int, source: str | None, stem: bool
 ) -> DataFrame:
     """Both over-fetched lists of a query batch, fused; queries without a vector only have text hits."""
     fetch = max(limit, limit * OVER_FETCH)
@@ -41,7 +41,7 @@ def _has_vector() -> Column:
 
 
 def search_hybrid(
-    index: DataFrame,
+    index: TextIndex,
     vectors: DataFrame,
     queries: DataFrame,
     limit: int = DEFAULT_LIMIT,
@@ -53,7 +53,7 @@ def search_hybrid(
 
 
 def search_docs(
-    index: DataFrame,
+    index: TextIndex,
     vectors: DataFrame,
     queries: DataFrame,
     limit: object = DEFAULT_LIMIT,

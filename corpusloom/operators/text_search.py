@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.arrays import array_rows
 from ..functions.stem import stem_words
@@ -14,6 +16,7 @@ K1 = 1.2
 B = 0.75
 # --------------------------------------------------------------------------------------
 POSTINGS_PART = 65_536
+INDEX_PARTS = 64
 RANK_DIGITS = 12  # scores that differ less are ties, so that the order of sums doesn't matter
 
 
@@ -21,13 +24,44 @@ def _terms(text: str, stem: bool) -> Column:
     return stem_words(analyse(F.col(text))) if stem else analyse(F.col(text))
 
 
-def text_index(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """(chunk_id, source_name, tokens, n_tokens) from chunks (chunk_id, source_name, content).
+class TextIndex(NamedTuple):
+    """An inverted index: postings (part, term, chunk_id, source_name, n_tokens, tf) and one row of totals (n, mean).
+
+    `part` is a hash of the term; a stored index is partitioned by it, so a search reads the files of
+    its terms only.
+    """
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def _part(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_PARTS)).cast("int").alias("part")
+
 
-    With `stem`, English words are reduced to their stems; queries then need `stem` as well.
+def text_index(chunks: DataFrame, stem: bool = False) -> TextIndex:
+    """Index of chunks (chunk_id, source_name, content).
+
+    With `stem`, English words are reduced to their stems; queries then need `stem` as well. The
+    words of a chunk sit in one input row, so they are counted before anything is shuffled.
     """
     tokens = chunks.select("chunk_id", "source_name", _terms("content", stem).alias("tokens"))
-    return tokens.withColumn("n_tokens", F.size("tokens"))
+    sized = tokens.withColumn("n_tokens", F.size("tokens"))
+    words = array_rows(sized, ["chunk_id", "source_name", "n_tokens"], F.col("tokens"), "term")
+    counted = words.groupBy("term", "chunk_id", "source_name", "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
+    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean"))
+    return TextIndex(counted.select(_part(), "term", "chunk_id", "source_name", "n_tokens", "tf"), totals)
+
+
+def write_text_index(index: TextIndex, path: str) -> None:
+    """Store an index; a part with a very frequent term is split over several files."""
+    clustered = index.postings.hint("rebalance", "part").sortWithinPartitions("part", "term")
+    clustered.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_text_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
 
 
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -35,17 +69,10 @@ def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     return array_rows(queries, ["query_id"], F.array_distinct(_terms("text", stem)), "term")
 
 
-def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(chunk_id, source_name, n_tokens, term, tf) for the terms that are asked for.
-
-    The words of a chunk sit in one input row, so the map-side aggregate already collapses them and
-    only narrow rows of wanted terms are shuffled. The table is read by several joins and therefore
-    written out once.
-    """
-    words = index.select("chunk_id", "source_name", "n_tokens", F.explode("tokens").alias("term"))
-    wanted = words.join(asked.select("term").distinct(), "term", "left_semi")
-    counted = wanted.groupBy("chunk_id", "source_name", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return materialise(counted, "postings")
+def postings(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """The postings of the terms that are asked for, written once because several joins read them."""
+    wanted = asked.select(_part(), "term").distinct()
+    return materialise(index.postings.join(wanted, ["part", "term"], "left_semi").drop("part"), "postings")
 
 
 def _parts(df: Column) -> Column:
@@ -82,7 +109,7 @@ def _matches(found: DataFrame, asked: DataFrame) -> DataFrame:
     return expected.join(found.select("chunk_id", "term", "tf", "n_tokens", "source_name"), ["chunk_id", "term"])
 
 
-def text_match(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+def text_match(index: TextIndex, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(query_id, chunk_id) where the chunk contains every term of the query."""
     asked = query_terms(queries, stem)
     hits = _matches(postings(index, asked), asked).groupBy("query_id", "chunk_id", "n_terms")
@@ -90,7 +117,7 @@ def text_match(index: DataFrame, queries: DataFrame, stem: bool = False) -> Data
 
 
 def search_text(
-    index: DataFrame, queries: DataFrame, k: int, source: str | None = None, stem: bool = False
+    index: TextIndex, queries: DataFrame, k: int, source: str | None = None, stem: bool = False
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): matching chunks by BM25, at most k per query.
 
@@ -100,7 +127,7 @@ def search_text(
     rows = _matches(postings(index, asked), asked)
     if source is not None:
         rows = rows.filter(F.col("source_name") == source)
-    totals = index.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).alias("s")).scalar()
+    totals = index.totals.select(F.struct("n", "mean").alias("s")).scalar()
     tf, df, size = F.col("tf"), F.col("df"), F.col("n_tokens")
     idf = F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.col("_s.mean")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.html import page_title
 from ..functions.text import stable_id
 from ..functions.urls import normalize_url, url_origin, url_path
 from ..operators.chunking import chunk_markdown, chunk_sets
-from ..operators.text_search import text_index
-from ..settings import materialise
+from ..operators.text_search import TextIndex, read_text_index, text_index, write_text_index
+from ..settings import materialise, scratch_path
 
 STATUS = {"error": "failed", "purchase": "done", "view": "running", "signup": "pending", "click": "cancelled"}
 LOG_SECONDS = 1_700_000_000
@@ -335,13 +336,25 @@ def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def search_index(spark: SparkSession, d: str) -> DataFrame:
-    """Search terms of the document chunks, written once because retrieval reads them repeatedly."""
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> TextIndex:
+    """Stored text index of the document chunks; built once in a session, as every search reads it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _STORED:
+        try:
+            return read_text_index(spark, _STORED[key])
+        except AnalysisException:  # the folder was cleaned
+            del _STORED[key]
     source = F.md5("source")
     doc = stable_id(source, F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
     named = documents(spark, d).select(doc.alias("doc_id"), F.col("source").alias("source_name"), "text")
     rows = chunk_markdown(named).withColumn("chunk_id", stable_id(F.col("doc_id"), F.col("chunk_index")))
-    return materialise(text_index(rows), "terms")
+    path = scratch_path(spark, "text-index")
+    write_text_index(text_index(materialise(rows.select("chunk_id", "source_name", "content"), "chunks")), path)
+    _STORED[key] = path
+    return read_text_index(spark, path)
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
