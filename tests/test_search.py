@@ -18,7 +18,7 @@ from corpusloom.operators.search import (
     search_docs,
     search_hybrid,
 )
-from corpusloom.operators.text_search import search_text, text_index, text_match
+from corpusloom.operators.text_search import read_text_index, search_text, text_index, text_match, write_text_index
 from corpusloom.operators.vector_search import best_entries, search_vector
 
 TEXTS = {
@@ -64,10 +64,23 @@ def test_stems(spark):
     assert {w: stem(w) for w in words} == words
     rows = spark.createDataFrame([("c", "s", "Installing configured packages"), ("d", "s", "")], "chunk_id STRING, source_name STRING, content STRING")
     stemmed = text_index(rows, stem=True)
-    assert stemmed.filter("chunk_id = 'c'").first().tokens == ["instal", "configur", "packag"]
+    assert sorted(r.term for r in stemmed.postings.filter("chunk_id = 'c'").collect()) == ["configur", "instal", "packag"]
+    assert tuple(stemmed.totals.first()) == (2, 1.5)
     assert {r.query_id for r in text_match(stemmed, queries(spark, q="install package"), stem=True).collect()} == {"q"}
 
 
+def test_stored_index_reads_the_files_of_its_terms(spark, tmp_path):
+    rows = [(f"c{i}", "s", f"word{i} common") for i in range(50)]
+    index = text_index(spark.createDataFrame(rows, "chunk_id STRING, source_name STRING, content STRING"))
+    write_text_index(index, f"{tmp_path}/index")
+    stored = read_text_index(spark, f"{tmp_path}/index")
+    asked = queries(spark, a="word7", b="word9 common", c="nothing")
+    assert sorted(map(tuple, search_text(stored, asked, 3).collect())) == sorted(map(tuple, search_text(index, asked, 3).collect()))
+    assert "dynamicpruning" in stored.postings.join(
+        spark.createDataFrame([(3, "word7")], "part INT, term STRING").filter("term = 'word7'"), ["part", "term"], "left_semi"
+    )._jdf.queryExecution().toString().lower()
+
+
 def vectors(spark, n=300, dims=8, seed=5):
     rng = np.random.default_rng(seed)
     rows = [(f"v{i:03d}", f"s{i % 3}", "m", [float(x) for x in rng.normal(size=dims)]) for i in range(n)]
