@@ -8,7 +8,7 @@ from ..functions.display import format_duration
 from ..operators import jobs as j, stats as s
 from ..operators.embedding import hashing_embedder
 from ..settings import scratch_path
-from ..streaming.feeds import read_job_state, write_job_logs, write_job_state
+from ..streaming.feeds import read_job_logs, read_job_state, write_job_logs, write_job_state
 from ..streaming.ingest import current_index, run_ingest
 from . import tables as t
 from .snippets import DOC_CHUNKS, JOBS, SOURCES, duration_text
@@ -114,7 +114,7 @@ def stream_job_log(spark, d):
     )
     path = scratch_path(spark, "job-log")
     write_job_logs(lines.unionByName(lines), path, path + "-checkpoint").awaitTermination()
-    return spark.read.schema(lines.schema).parquet(path)
+    return read_job_logs(spark.read.option("basePath", path).parquet(path))
 
 
 def stream_ingest(spark, d):

@@ -44,20 +44,22 @@ def read_job_state(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "batch")
 
 
-def job_logs(logs: DataFrame, job_id: str | None = None) -> DataFrame:
-    """Log lines (of one job), every id once."""
+def write_job_logs(logs: DataFrame, path: str, checkpoint: str, job_id: str | None = None) -> StreamingQuery:
+    """Store log lines (of one job) as they come; every micro-batch overwrites its own folder.
+
+    Nothing is remembered between batches: lines that arrive again are dropped by `read_job_logs`.
+    """
     if job_id is not None:
         logs = logs.filter(F.col("job_id") == job_id)
-    return logs.dropDuplicates(["id"])
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def write_job_logs(logs: DataFrame, path: str, checkpoint: str, job_id: str | None = None) -> StreamingQuery:
-    return (
-        job_logs(logs, job_id)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = logs.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).foreachBatch(save).start()
+
+
+def read_job_logs(stored: DataFrame) -> DataFrame:
+    """Every log line once, as it came first."""
+    first = W.partitionBy("id").orderBy("batch")
+    return stored.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "batch")

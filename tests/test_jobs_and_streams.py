@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import jobs as j, stats as s
 from corpusloom.operators.embedding import hashing_embedder
 from corpusloom.schema import CHUNKS, DOCS, EMBEDDINGS, JOBS, SOURCES
-from corpusloom.streaming.feeds import job_state, read_job_state, write_job_logs, write_job_state
+from corpusloom.streaming.feeds import job_state, read_job_logs, read_job_state, write_job_logs, write_job_state
 from corpusloom.streaming.ingest import current_index, run_ingest
 
 T0 = datetime(2024, 1, 1)
@@ -79,7 +79,8 @@ def test_job_log_stream(spark, tmp_path):
         spark.createDataFrame(rows, "id STRING, job_id STRING, message STRING").write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("id STRING, job_id STRING, message STRING").parquet(f"{tmp_path}/in")
         write_job_logs(stream, f"{tmp_path}/out", f"{tmp_path}/cp", "a").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["1", "2"]
+    stored = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out")
+    assert sorted(r.id for r in read_job_logs(stored).collect()) == ["1", "2"]
 
 
 def test_ingest_skips_unchanged_and_replaces_changed(spark, tmp_path):
