@@ -114,12 +114,32 @@ class Vocabulary:
         return math.log10(self.tokens + 0.1 * (self.distinct + 1))
 
 
+def _most_frequent(counts: DataFrame) -> pd.DataFrame:
+    """At most KNOWN short words from the most frequent down, the end token first.
+
+    A histogram of the counts, an eighth of a power of two wide, tells the least count that still
+    fits, so only words that are kept are sent.
+    """
+    short = counts.filter((F.octet_length("word") <= KNOWN_BYTES) & (F.col("word") != F.lit(END)))
+    level = F.floor(F.log2("n") * 8)
+    left, least = KNOWN - 1, None
+    for row in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row.level
+    end = counts.filter(F.col("word") == F.lit(END))
+    kept = end if least is None else short.filter(level >= least).unionByName(end)
+    top = kept.toPandas()
+    top["word"] = [bytes(w) for w in top["word"]]
+    top["_end"] = top["word"] != END
+    return top.sort_values(["_end", "n", "word"], ascending=[True, False, True], ignore_index=True)
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """At most KNOWN words and SUFFIXES suffixes reach the driver."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    short = counts.filter(F.octet_length("word") <= KNOWN_BYTES)
-    order = [F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word"]
-    top = short.orderBy(*order).limit(KNOWN).toPandas()
+    top = _most_frequent(counts)
     words = [bytes(w) for w in top["word"]]
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words[:FREQUENT]], "word binary")), "word", "left_anti")
     ends = rare.groupBy(F.substring("word", -2, 2).alias("suffix")).agg(F.sum(F.col("n") + 0.1).alias("mass"))
