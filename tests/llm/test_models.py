@@ -90,6 +90,19 @@ def test_clean_words_are_left(detector, text):
     assert detector.score(text) < 0.5
 
 
+def test_set_apart_words_beside_marks_are_found():
+    words = dict.fromkeys("pathetic moron idiot sod".split(), 7.0)
+    usual = [(w, 40.0) for w in "the and with harbour lamp rain story such reply".split()]
+    found = toxicity.Detector(words, {"losi": 6.0}, toxicity.CharModel.of(usual + [(w, 20.0) for w in [*words, "losing"]]))
+    for text in (
+        "such a p a t h e t i c, reply", "the m o r o n.", '"i d i o t"', "(m 0 r o n)!!", "what an i d i o t!", "the s o d, and",
+        "s o d", "i, d, i, o, t", "l o s i n g", "_m_ o r o n",
+    ):
+        assert found.hits(text), text
+    for text in ("a, b, c", "such a r a i n, story", '"l a m p"', "1. 2. 3. 4.", "- - -", "so d is here"):
+        assert not found.hits(text), text
+
+
 def test_viterbi_is_the_best_path(detector):
     """Against all paths of short lattices."""
 
