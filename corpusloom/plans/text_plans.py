@@ -44,9 +44,10 @@ from .snippets import (
 
 
 def src_markdown_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as text files, one folder per source, and read back as a tree."""
+    """Documents written as text files, one file each in the folder of its source, and read back as a tree."""
     root = scratch_path(spark, "tree")
-    t.table(spark, d, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(root)
+    docs = t.table(spark, d, "documents").select("source", "text")
+    docs.write.option("maxRecordsPerFile", 1).partitionBy("source").text(root)
     files = read_markdown_tree(spark, root, "*.txt")
     folder = F.regexp_extract("title", "^source=([^/]*)/", 1)
     return files.groupBy(folder.alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusloom.plans import text_plans
 from corpusloom.sources.registry import docs_of_kind, source_kinds
 from corpusloom.sources.files import read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
 from corpusloom.sources.listings import (
@@ -25,6 +26,15 @@ def test_markdown_tree(spark, tmp_path):
     assert rows["a.md"].text == "# A\nx" and rows["a.md"].url == f"file://{tmp_path}/a.md"
 
 
+def test_documents_are_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_plans, "scratch_path", lambda *_: str(tmp_path / "tree"))
+    docs = spark.createDataFrame([(f"s{i % 3 // 2}", "x" * i) for i in range(40)], "source STRING, text STRING").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sums = {r.source: r.n_chars for r in text_plans.src_markdown_tree(spark, str(tmp_path)).collect()}
+    assert sums == {s: sum(i + 1 for i in range(40) if i % 3 // 2 == n) for n, s in enumerate(("s0", "s1"))}
+    assert len(list((tmp_path / "tree").rglob("*.txt"))) == 40
+
+
 def test_url_list(spark):
     df = spark.createDataFrame([("s", "# head\n https://a \n\n#x\r\nhttps://b\r\n")], "source_id STRING, text STRING")
     assert [tuple(r) for r in parse_url_list(df).collect()] == [("s", 1, "https://a"), ("s", 4, "https://b")]
