@@ -3,16 +3,21 @@
 Words are counted over all training documents. The `FREQUENT` most frequent tokens are classes of
 their own, all other words fall into classes by their last two bytes. The model predicts the class
 of a token from the two tokens before it: the context vector is the sum of a linear map of each,
-and a class scores its product with the context plus a bias. A token's probability is that of its
-class, normalised over all classes, times its share (add 0.1) inside the class.
+and a class scores its product with the context plus a bias. Inside a class, a Huffman tree leads to
+every word that occurs at least sqrt(tokens) / `ROOT_PART` (and `LEAST`) times; each inner node has a
+vector and a bias, and the probability of a path is a product of logistic functions. Such a word is
+also a context of its own: its vector is added to that of its class. Their number grows with about
+the root of the corpus and has no limit. One leaf of a class is for all rarer words (and those of
+more than `KNOWN_BYTES` bytes), which share its probability by their counts (add 0.1).
 
 Training reads every training document once, in `ROUNDS` of growing size. In a round each task
 starts from the same parameters and takes noise-contrastive steps over its own documents; the
-parameters are then averaged by tokens. Biases start at the log frequencies, so the model starts as
+parameters are then averaged by tokens, those of words and nodes by the tokens that used them; a task
+sends only the words and nodes it used. Biases start at the log frequencies, so the model starts as
 the unigram model.
 
-Scoring keeps the `KNOWN` most frequent words in memory (a bound, not a cut: counts of all other
-words are joined exactly) and normalises each distinct context of a batch once.
+Scoring keeps the `KNOWN` most frequent words in memory, and more if more have vectors (a bound, not
+a cut: counts of all other words are joined exactly) and normalises each distinct context of a batch once.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and score each;
 an empty training set leaves uniform classes; an empty table gives no rows; extra columns are left
@@ -21,6 +26,7 @@ alone.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..settings import materialise
 
 FREQUENT, SUFFIXES = 448, 63  # classes of single tokens, and of suffixes besides the one for the rest
+LEAST, ROOT_PART = 8, 64  # occurrences of a word with vectors: at least LEAST and sqrt(tokens) / ROOT_PART
 KNOWN = 131_072  # words whose counts every task knows
 KNOWN_BYTES = 32  # longer words are joined
 WIDTH, NOISE, BATCH, RATE = 32, 24, 8192, 0.08
@@ -40,6 +47,7 @@ ROUNDS = ((0, 1), (1, 4), (4, 10))  # tenths of the training documents
 END = b""  # no word is empty
 _COUNTER = 500_000  # entries a task counts before it hands them on
 _TOKENS = 200_000  # tokens handled at a time
+_BLOCK = 1024  # rows of words and nodes sent together
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -72,6 +80,55 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+@dataclass
+class Tree:
+    """A Huffman tree for each suffix class.
+
+    Leaves are the words with vectors by rank, then one of each class for its other words.
+    """
+
+    starts: np.ndarray  # of the path of each leaf, and the end
+    nodes: np.ndarray
+    right: np.ndarray
+    bias: np.ndarray  # log odds of the right side
+
+    @staticmethod
+    def of(classes: list[int], mass: list[float], rest: list[float]) -> Tree:
+        """`classes` and `mass` of the words, `rest` of the other words of each class."""
+        n = len(classes)
+        heaps = [[(m, n + c)] for c, m in enumerate(rest)]
+        for i, (c, m) in enumerate(zip(classes, mass)):
+            heaps[c].append((m, i))
+        up: dict[int, tuple[int, int]] = {}
+        bias: list[float] = []
+        first = n + len(rest)  # number of the first inner node
+        for heap in heaps:
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                a, b = heapq.heappop(heap), heapq.heappop(heap)
+                up[a[1]], up[b[1]] = (len(bias), 0), (len(bias), 1)
+                heapq.heappush(heap, (a[0] + b[0], first + len(bias)))
+                bias.append(math.log(b[0] / a[0]))
+        starts, nodes, right = [0], [], []
+        for leaf in range(first):
+            at = leaf
+            while at in up:
+                node, side = up[at]
+                nodes.append(node)
+                right.append(side)
+                at = first + node
+            starts.append(len(nodes))
+        return Tree(np.array(starts), np.array(nodes, np.int32), np.array(right, np.int8), np.array(bias, np.float32))
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position in `leaves`, node, side) of each step, and where each leaf's steps start."""
+        sizes = self.starts[leaves + 1] - self.starts[leaves]
+        begins = np.cumsum(sizes) - sizes
+        where = np.repeat(np.arange(len(leaves)), sizes)
+        at = np.arange(len(where)) + np.repeat(self.starts[leaves] - begins, sizes)
+        return where, self.nodes[at], self.right[at], begins
+
+
 @dataclass
 class Vocabulary:
     """Counts of the known words, classes, and what the unigram base needs."""
@@ -82,6 +139,9 @@ class Vocabulary:
     totals: np.ndarray  # sum of (count + 0.1) by class, with the unseen word of each suffix class
     tokens: int
     distinct: int
+    own: int = 0  # words beyond the FREQUENT that have vectors
+    tree: Tree | None = None
+    rest: np.ndarray | None = None  # sum of (count + 0.1) of the other words of each suffix class
     index: dict[bytes, int] = field(default_factory=dict, repr=False)
     classes: np.ndarray | None = field(default=None, repr=False)
 
@@ -109,13 +169,30 @@ class Vocabulary:
             cls[i] = self.suffix(tokens[i])
         return at, cls
 
+    def leaves(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Leaf of each token; -1 where the class is a single token."""
+        own = (at >= FREQUENT) & (at < FREQUENT + self.own)
+        return np.where(own, at - FREQUENT, np.where(cls >= FREQUENT, self.own + cls - FREQUENT, -1))
+
+    def contexts(self, cls: np.ndarray, leaves: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both contexts of each token: a class, the opening, or beyond it a word with vectors."""
+        ids = np.where((leaves >= 0) & (leaves < self.own), self.n_classes + 1 + leaves, cls)
+        return contexts(ids, starts, self.n_classes)
+
+    def parted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class or opening, word with vectors or -1) of contexts."""
+        own = np.maximum(ids - self.n_classes - 1, -1)
+        if not self.own:
+            return ids, own
+        return np.where(own < 0, ids, self.classes[FREQUENT + np.maximum(own, 0)]), own
+
     @property
     def base_log(self) -> float:
         return math.log10(self.tokens + 0.1 * (self.distinct + 1))
 
 
-def _most_frequent(counts: DataFrame) -> pd.DataFrame:
-    """At most KNOWN short words from the most frequent down, the end token first.
+def _most_frequent(counts: DataFrame, needed: float = math.inf) -> pd.DataFrame:
+    """At most KNOWN short words from the most frequent down, the end token first; all of `needed` occurrences.
 
     A histogram of the counts, an eighth of a power of two wide, tells the least count that still
     fits, so only words that are kept are sent.
@@ -123,9 +200,10 @@ def _most_frequent(counts: DataFrame) -> pd.DataFrame:
     short = counts.filter((F.octet_length("word") <= KNOWN_BYTES) & (F.col("word") != F.lit(END)))
     level = F.floor(F.log2("n") * 8)
     left, least = KNOWN - 1, None
+    lowest = math.inf if math.isinf(needed) else math.floor(math.log2(needed) * 8)
     for row in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
         left -= row["count"]
-        if left < 0:
+        if left < 0 and row.level < lowest:
             break
         least = row.level
     end = counts.filter(F.col("word") == F.lit(END))
@@ -137,9 +215,10 @@ def _most_frequent(counts: DataFrame) -> pd.DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """At most KNOWN words and SUFFIXES suffixes reach the driver."""
+    """At most KNOWN words, or those with vectors, and SUFFIXES suffixes reach the driver."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = _most_frequent(counts)
+    needed = max(LEAST, math.sqrt(whole.n) / ROOT_PART)
+    top = _most_frequent(counts, needed)
     words = [bytes(w) for w in top["word"]]
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words[:FREQUENT]], "word binary")), "word", "left_anti")
     ends = rare.groupBy(F.substring("word", -2, 2).alias("suffix")).agg(F.sum(F.col("n") + 0.1).alias("mass"))
@@ -150,18 +229,29 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     totals[: len(single)] = single
     totals[FREQUENT : FREQUENT + len(best)] += best["mass"].to_numpy(np.float64)
     totals[-1] = max(0.1, whole.n + 0.1 * whole.v - single.sum() - best["mass"].sum() + 0.1)
-    return Vocabulary(words, top["n"].to_numpy(np.int64), suffixes, totals, int(whole.n), int(whole.v))
+    found = Vocabulary(words, top["n"].to_numpy(np.int64), suffixes, totals, int(whole.n), int(whole.v))
+    found.own = max(0, 1 + int((found.counts[1:] >= needed).sum()) - FREQUENT)
+    classes = [found.suffix(w) - FREQUENT for w in words[FREQUENT : FREQUENT + found.own]]
+    mass = found.counts[FREQUENT : FREQUENT + found.own] + 0.1
+    found.rest = np.maximum(0.1, totals[FREQUENT:] - np.bincount(classes, mass, SUFFIXES + 1))
+    found.tree = Tree.of(classes, mass.tolist(), found.rest.tolist())
+    return found
 
 
 @dataclass
 class LogBilinear:
-    """Context vectors, a map for each context position, class vectors and biases."""
+    """Context vectors, a map for each context position, class vectors and biases.
+
+    `rows` has the vectors of words as contexts, then vectors and biases (last column) of inner nodes.
+    """
 
     context: np.ndarray
     near: np.ndarray
     far: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    rows: np.ndarray
+    own: int = 0
 
     @staticmethod
     def start(vocabulary: Vocabulary) -> LogBilinear:
@@ -170,7 +260,12 @@ class LogBilinear:
         small = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
         eye = np.eye(WIDTH, dtype=np.float32)
         bias = np.log(vocabulary.totals / vocabulary.totals.sum()).astype(np.float32)
-        return LogBilinear(small(n + 1, WIDTH), eye.copy(), eye * 0.5, small(n, WIDTH), bias)
+        nodes = vocabulary.tree.bias if vocabulary.tree else np.empty(0, np.float32)
+        rows = np.zeros((vocabulary.own + len(nodes), WIDTH + 1), np.float32)
+        rows[vocabulary.own :, WIDTH] = nodes
+        context, target = small(n + 1, WIDTH), small(n, WIDTH)
+        rows[: vocabulary.own, :WIDTH] = small(vocabulary.own, WIDTH)  # nodes start at zero, so words must differ
+        return LogBilinear(context, eye.copy(), eye * 0.5, target, bias, rows, vocabulary.own)
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.near, self.far, self.target, self.bias]
@@ -180,13 +275,34 @@ class LogBilinear:
 
     def like(self, flat: np.ndarray) -> LogBilinear:
         cuts = np.cumsum([p.size for p in self.parts()])[:-1]
-        return LogBilinear(*(v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(flat, cuts), self.parts())))
+        parts = (v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(flat, cuts), self.parts()))
+        return LogBilinear(*parts, self.rows.copy(), self.own)
+
+    def vectors(self, one: np.ndarray, two: np.ndarray, ones: np.ndarray | None = None, twos: np.ndarray | None = None) -> np.ndarray:
+        """Context vectors from the classes just before and before that, and their words with vectors (-1: none)."""
+        r = (self.context @ self.near)[one] + (self.context @ self.far)[two]
+        for own, plan in ((ones, self.near), (twos, self.far)):
+            if own is not None:
+                at = np.flatnonzero(own >= 0)
+                r[at] += self.rows[own[at], :WIDTH] @ plan
+        return r
+
+    def log_classes(self, r: np.ndarray) -> np.ndarray:
+        """log p of every class after each context vector."""
+        scores = r @ self.target.T + self.bias
+        scores -= scores.max(axis=1, keepdims=True)
+        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+
+    def log_leaves(self, r: np.ndarray, leaves: np.ndarray, tree: Tree) -> np.ndarray:
+        """log p of each leaf inside its class after the context vector beside it."""
+        where, nodes, right, _ = tree.paths(leaves)
+        row = self.rows[self.own + nodes]
+        z = np.einsum("ij,ij->i", r[where], row[:, :WIDTH]) + row[:, WIDTH]
+        return np.bincount(where, -np.logaddexp(0, np.where(right == 1, -z, z)), len(leaves))
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log p of every class after each context (class just before, class before that)."""
-        scores = ((self.context @ self.near)[one] + (self.context @ self.far)[two]) @ self.target.T + self.bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        return self.log_classes(self.vectors(one, two))
 
 
 def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -202,16 +318,31 @@ def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive steps with one noise sample for a whole batch, scaled by AdaGrad."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int) -> None:
+    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, tree: Tree | None = None) -> None:
         self.m, self.noise = model.like(model.flat()), noise
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.draw = np.random.default_rng(seed)
         self.heat = [np.full(p.shape, 1e-3, np.float32) for p in self.m.parts()]
-
-    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
+        self.tree = tree
+        self.warm = np.ones(self.m.rows.shape, np.float32)
+        self.used = np.zeros(len(self.m.rows), np.float32)
+
+    def _rows_step(self, at: np.ndarray, slopes: np.ndarray) -> None:
+        """AdaGrad on the rows of words and nodes that a batch uses."""
+        order = np.argsort(at, kind="stable")
+        ordered = at[order]
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        rows = ordered[starts]
+        slope = np.add.reduceat(slopes[order], starts, axis=0)
+        self.warm[rows] += slope * slope
+        self.m.rows[rows] += RATE * slope / np.sqrt(self.warm[rows])
+        self.used[rows] += np.diff([*starts.tolist(), len(at)])
+
+    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, ones=None, twos=None, leaves=None) -> None:
+        """A batch of contexts and classes, with the words with vectors and the leaves if there are any."""
         m = self.m
         fake = self.draw.choice(len(self.noise), NOISE, p=self.noise)
-        r = (m.context @ m.near)[one] + (m.context @ m.far)[two]
+        r = m.vectors(one, two, ones, twos)
         shift = m.bias - self.log_noise
         own = np.einsum("ij,ij->i", r, m.target[word]) + shift[word]
         other = r @ m.target[fake].T + shift[fake]
@@ -222,13 +353,33 @@ class Trainer:
         d_target = _add_rows(n_classes, word, up[:, None] * r)
         np.add.at(d_target, fake, down.T @ r)
         d_bias = np.bincount(word, up, n_classes) + np.bincount(fake, down.sum(axis=0), n_classes)
+        used, slopes = [], []
+        if leaves is not None:
+            deep = np.flatnonzero((leaves >= 0) & (self.tree.starts[leaves + 1] > self.tree.starts[leaves]))
+            if len(deep):
+                where, nodes, right, begins = self.tree.paths(leaves[deep])
+                row, mine = m.rows[m.own + nodes], r[deep[where]]
+                z = np.einsum("ij,ij->i", mine, row[:, :WIDTH]) + row[:, WIDTH]
+                miss = (right - 1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)[:, None]
+                d_r[deep] += np.add.reduceat(miss * row[:, :WIDTH], begins, axis=0)
+                used.append(m.own + nodes)
+                slopes.append(np.hstack([miss * mine, miss]))
         d_one, d_two = (_add_rows(n_classes + 1, at, d_r) for at in (one, two))
         d_context = d_one @ m.near.T + d_two @ m.far.T
-        steps = [d_context, m.context.T @ d_one, m.context.T @ d_two, d_target, d_bias]
+        plans = [m.context.T @ d_one, m.context.T @ d_two]
+        for i, (own, plan) in enumerate(((ones, m.near), (twos, m.far))):
+            if own is not None:
+                at = np.flatnonzero(own >= 0)
+                plans[i] = plans[i] + m.rows[own[at], :WIDTH].T @ d_r[at]
+                used.append(own[at])
+                slopes.append(np.pad(d_r[at] @ plan.T, ((0, 0), (0, 1))))
+        steps = [d_context, *plans, d_target, d_bias]
         for part, heat, slope in zip(m.parts(), self.heat, steps):
             slope = (slope / len(word)).astype(np.float32)
             heat += slope * slope
             part += RATE * slope / np.sqrt(heat)
+        if sum(map(len, used)):
+            self._rows_step(np.concatenate(used), np.concatenate(slopes).astype(np.float32))
 
 
 def contexts(classes: np.ndarray, starts: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,43 +411,74 @@ def _train(shared):
 
         words, model = shared.value
         words.prepare()
-        trainer = Trainer(model, words.totals / words.totals.sum(), TaskContext.get().partitionId())
+        trainer = Trainer(model, words.totals / words.totals.sum(), TaskContext.get().partitionId(), words.tree)
         seen = 0
         for starts, tokens in _loads(text for batch in batches for text in batch["text"]):
-            _, cls = words.look_up(tokens)
-            one, two = contexts(cls, np.array(starts), words.n_classes)
+            known, cls = words.look_up(tokens)
+            leaves = words.leaves(known, cls)
+            (one, ones), (two, twos) = map(words.parted, words.contexts(cls, leaves, np.array(starts)))
             order = trainer.draw.permutation(len(cls))
             for first in range(0, len(order), BATCH):
                 at = order[first : first + BATCH]
-                trainer.step(one[at], two[at], cls[at])
+                trainer.step(one[at], two[at], cls[at], ones[at], twos[at], leaves[at])
             seen += len(cls)
         if seen:
-            yield pd.DataFrame({"n": [seen], "sum": [(trainer.m.flat().astype(np.float64) * seen).tobytes()]})
+            yield _sent(-1, seen, np.empty(0), np.empty(0), trainer.m.flat().astype(np.float64) * seen)
+            used = np.flatnonzero(trainer.used)
+            for rows in np.split(used, np.flatnonzero(np.diff(used // _BLOCK)) + 1) if len(used) else []:
+                n = trainer.used[rows]
+                yield _sent(int(rows[0]) // _BLOCK, 0, rows % _BLOCK, n, trainer.m.rows[rows] * n[:, None])
 
     return run
 
 
+_SENT = "block int, n long, at binary, used binary, sum binary"
+
+
+def _sent(block: int, n: int, at: np.ndarray, used: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    raw = [at.astype(np.int16).tobytes(), used.astype(np.float32).tobytes(), total.tobytes()]
+    return pd.DataFrame([(block, n, *raw)], columns=["block", "n", "at", "used", "sum"])
+
+
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of each block; block -1 has the parameters that every task uses."""
     seen, total = 0, None
+    blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for n, raw in zip(batch["n"], batch["sum"]):
-            part = np.frombuffer(raw)
-            total = part.copy() if total is None else total + part
-            seen += int(n)
+        for block, n, at, used, raw in batch.itertuples(index=False):
+            if block < 0:
+                part = np.frombuffer(raw)
+                total = part.copy() if total is None else total + part
+                seen += int(n)
+                continue
+            if block not in blocks:
+                blocks[block] = np.zeros(_BLOCK, np.float32), np.zeros((_BLOCK, WIDTH + 1), np.float32)
+            rows = np.frombuffer(at, np.int16)
+            blocks[block][0][rows] += np.frombuffer(used, np.float32)
+            blocks[block][1][rows] += np.frombuffer(raw, np.float32).reshape(-1, WIDTH + 1)
     if seen:
-        yield pd.DataFrame({"n": [seen], "sum": [total.tobytes()]})
+        yield _sent(-1, seen, np.empty(0), np.empty(0), total)
+    for block, (used, sums) in blocks.items():
+        rows = np.flatnonzero(used)
+        yield _sent(block, 0, rows, used[rows], sums[rows])
 
 
 def train(docs: DataFrame, words: Vocabulary, key: str = "doc_id") -> LogBilinear:
-    """Rounds of parallel steps; at most 16 sums of parameters reach the driver in a round."""
+    """Rounds of parallel steps; one sum of each parameter reaches the driver in a round."""
     model = LogBilinear.start(words)
     part = F.pmod(F.xxhash64(key, "text"), F.lit(10))
     for low, high in ROUNDS:
         shared = docs.sparkSession.sparkContext.broadcast((words, model))
         mine = docs.filter((part >= low) & (part < high)).select("text")
-        sums = mine.mapInPandas(_train(shared), "n long, sum binary").repartition(16).mapInPandas(_add, "n long, sum binary").collect()
-        if sums:
-            model = model.like(sum(np.frombuffer(row["sum"]) for row in sums) / sum(row.n for row in sums))
+        sums = mine.mapInPandas(_train(shared), _SENT).repartition(16, "block").mapInPandas(_add, _SENT).collect()
+        whole = [row for row in sums if row.block < 0]
+        if whole:
+            model = model.like(sum(np.frombuffer(row["sum"]) for row in whole) / sum(row.n for row in whole))
+            for row in sums:
+                if row.block >= 0:
+                    at = row.block * _BLOCK + np.frombuffer(row["at"], np.int16).astype(np.int64)
+                    used = np.frombuffer(row["used"], np.float32)[:, None]
+                    model.rows[at] = np.frombuffer(row["sum"], np.float32).reshape(-1, WIDTH + 1) / used
     return model
 
 
@@ -307,26 +489,32 @@ def _score(shared):
         words, model = shared.value
         words.prepare()
         log_count = np.log10(np.append(words.counts, 0) + 0.1)
-        log_total = np.log10(words.totals)
-        log_total[:FREQUENT] = 0
+        log_rest = np.log10(words.rest)
+        n_contexts = words.n_classes + 1 + words.own
         for batch in batches:
             found = []
             for starts, tokens in _loads(iter(batch.pop("text"))):
                 at, cls = words.look_up(tokens)
-                one, two = contexts(cls, np.array(starts), words.n_classes)
-                pairs, where = np.unique(one * (words.n_classes + 1) + two, return_inverse=True)
+                leaves = words.leaves(at, cls)
+                one, two = words.contexts(cls, leaves, np.array(starts))
+                pairs, where = np.unique(one * n_contexts + two, return_inverse=True)
                 logs = np.empty(len(cls))
                 order = np.argsort(where, kind="stable")
                 ordered = where[order]
                 for first in range(0, len(pairs), 8192):
                     some = pairs[first : first + 8192]
-                    table = model.log_probabilities(some // (words.n_classes + 1), some % (words.n_classes + 1))
+                    (a_one, a_own), (b_one, b_own) = words.parted(some // n_contexts), words.parted(some % n_contexts)
+                    r = model.vectors(a_one, b_one, a_own, b_own)
+                    table = model.log_classes(r)
                     a, b = np.searchsorted(ordered, (first, first + len(some)))
                     logs[order[a:b]] = table[ordered[a:b] - first, cls[order[a:b]]]
-                logs = logs / math.log(10) - log_total[cls]
+                    deep = a + np.flatnonzero(leaves[order[a:b]] >= 0)
+                    for i in range(0, len(deep), BATCH):
+                        mine = deep[i : i + BATCH]
+                        logs[order[mine]] += model.log_leaves(r[ordered[mine] - first], leaves[order[mine]], words.tree)
                 known = at >= 0
                 counted = np.where(known, log_count[at], 0)
-                logs += np.where(cls >= FREQUENT, counted, 0)
+                logs = logs / math.log(10) + np.where(leaves >= words.own, counted - log_rest[np.maximum(cls - FREQUENT, 0)], 0)
                 sums = (np.add.reduceat(v, starts) for v in (known.astype(np.int64), counted, logs))
                 sizes = np.diff([*starts, len(tokens)])
                 rest = np.flatnonzero(~known)

@@ -303,5 +303,36 @@ def test_probabilities_are_normalised():
     assert table[np.arange(50), (np.arange(50) * 7 + 3) % 50].mean() > np.log(0.2)
 
 
+def test_words_beyond_the_frequent_are_learned(spark):
+    draw = random.Random(7)
+    lines = [f"f{i} " * 120 for i in range(500)] + [f"w{i}ab v{i}cd" for i in range(40) for _ in range(60)] + ["once"]
+    draw.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
+    counts = language_model.count_words(docs)
+    words = language_model.vocabulary(counts)
+    assert words.own == 501 + 80 - language_model.FREQUENT  # with the end; "once" is too rare
+    words.prepare()
+    at = {w: i for i, w in enumerate(words.words)}
+    asked = np.array([words.n_classes + 1 + at[f"w{i}ab".encode()] - language_model.FREQUENT for i in range(40)])
+    cls, own = words.parted(asked)
+    opening = np.full(40, words.n_classes)
+    right = np.array([at[f"v{i}cd".encode()] - language_model.FREQUENT for i in range(40)])
+    target = np.full(40, words.suffix(b"cd"))
+    trainer = language_model.Trainer(language_model.LogBilinear.start(words), words.totals / words.totals.sum(), 1, words.tree)
+    for _ in range(200):
+        trainer.step(cls, opening, target, own, np.full(40, -1), right)
+    model = trainer.m
+    r = model.vectors(cls, opening, own, np.full(40, -1))
+    inside = np.zeros(language_model.SUFFIXES + 1)
+    leaves = np.arange(words.own + language_model.SUFFIXES + 1)
+    of = np.concatenate([words.classes[language_model.FREQUENT : language_model.FREQUENT + words.own] - language_model.FREQUENT, np.arange(len(inside))])
+    np.add.at(inside, of, np.exp(model.log_leaves(np.repeat(r[:1], len(leaves), axis=0), leaves, words.tree)))
+    assert np.allclose(inside, 1, atol=1e-4)  # every class is shared out whole
+    better = model.log_leaves(r, right, words.tree) - model.log_leaves(r, np.roll(right, 1), words.tree)
+    assert (better > 0).mean() > 0.9  # one suffix, equal counts: told apart by their own vectors
+    trained = language_model.train(docs, words)
+    assert np.isfinite(trained.rows).all() and (trained.rows[own] != language_model.LogBilinear.start(words).rows[own]).any(axis=1).all()
+
+
 def test_frames_are_plain():
     assert isinstance(next(toxicity._features(toxicity.Detector({}, {}, toxicity.CharModel()))(iter([pd.DataFrame({"label": [1], "text": [""]})]))), pd.DataFrame)
