@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash, spelling
+from . import alignment, simhash, spelling
 from .queries_native import documents
 
 
@@ -20,6 +20,20 @@ def op12_simhash_bk_trees(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_files() -> alignment.Tokenizers:
+    """The public byte-level vocabulary, in both of its forms, and the public piece model."""
+    import public_tokenizers as public
+
+    return alignment.Tokenizers(
+        public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    )
+
+
+def op13_diagonal_alignment(spark: SparkSession, d: str) -> DataFrame:
+    found = alignment.aligned_documents(documents(spark, d), tokenizer_files(), keep_groups=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 _RUN = f"[{spelling.LETTERS}]{{{spelling.MIN_LENGTH},}}"
 _TABLE = "list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)"
 _ASCII = "abcdefghijklmnopqrstuvwxyz"
@@ -69,5 +83,9 @@ FROM formed f JOIN walk USING (word) JOIN formed last ON last.word = walk.root
 WHERE last.form IS NULL
 """
 
-QUERIES = {"op11_spelling_groups": op11_spelling_groups, "op12_simhash_bk_trees": op12_simhash_bk_trees}
+QUERIES = {
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_simhash_bk_trees": op12_simhash_bk_trees,
+    "op13_diagonal_alignment": op13_diagonal_alignment,
+}
 ORACLES = {"op11_spelling_groups": OP11_SQL}
