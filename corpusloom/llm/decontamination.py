@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..settings import materialise
 from .jaccard_join import row_keys
+from .names import spare_names
 from .shingles import window_hashes
 
 MIN_MATCH = 4
@@ -170,6 +171,8 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
-    found = materialise(leaks(docs, benchmark, key=key, text=text).select("_k1", "_k2"), "leaks").distinct()
-    marked = docs.select("*", *row_keys(F.col(key), F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(found, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    names = spare_names(docs, "_k1", "_k2")
+    found = materialise(leaks(docs, benchmark, key=key, text=text).select("_k1", "_k2"), "leaks").distinct().toDF(*names)
+    keys = row_keys(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    marked = docs.select("*", *(k.alias(n) for k, n in zip(keys, names)))
+    return marked.join(found, names, "left_anti").drop(*names)

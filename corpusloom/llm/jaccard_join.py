@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import materialise
+from .names import spare_names
 from .shingles import mix, window_hashes, words_of
 
 WINDOW = 5
@@ -316,7 +317,8 @@ def linked_rows(
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of connected rows: its least row."""
-    kept = linked_rows(docs, key=key, text=text).filter(F.col("row") == F.col("root")).select("_k1", "_k2")
+    names = spare_names(docs, "_k1", "_k2")
+    kept = linked_rows(docs, key=key, text=text).filter(F.col("row") == F.col("root")).select("_k1", "_k2").toDF(*names)
     content = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.select("*", *row_keys(F.col(key), content))
-    return marked.join(materialise(kept, "kept"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    marked = docs.select("*", *(k.alias(n) for k, n in zip(row_keys(F.col(key), content), names)))
+    return marked.join(materialise(kept, "kept"), names, "left_semi").dropDuplicates(names).drop(*names)

@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 
 def with_score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the probability that a document is good."""
+    """`docs` with the probability that a document is good, in place of a column called `name`; all others are kept."""
 
     @F.pandas_udf("double")
     def scored(counts: pd.Series) -> pd.Series:

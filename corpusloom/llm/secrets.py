@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import array_rows, let
 from ..settings import materialise
+from .names import spare_names
 from .trigrams import trigram_query
 
 _CHUNK = 256  # elements summed in one go
@@ -151,18 +152,22 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
-    """`docs` with the secrets of every text: array of (start, order, end, kind), by start, then rule."""
+    """`docs` with the secrets of every text: array of (start, order, end, kind), by start, then rule.
+
+    A column called `name` is replaced; all others are kept.
+    """
     index = build_index(docs, vocabulary(rules), text)
-    found = candidates(index, rules).withColumnsRenamed({"key": "_key", "kinds": "_kinds"})
-    joined = docs.withColumn("_key", text_key(F.col(text))).join(found, "_key", "left").drop("_key")
+    key, kinds = spare_names(docs, "_key", "_kinds")
+    found = candidates(index, rules).withColumnsRenamed({"key": key, "kinds": kinds})
+    joined = docs.withColumn(key, text_key(F.col(text))).join(found, key, "left").drop(key)
     content = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = rule_spans(content, rule, order)
-        asked = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
+        asked = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         parts.append(spans if rule.query() is None else F.when(asked, spans).otherwise(none))
-    return joined.withColumn(name, F.sort_array(F.concat(*parts))).drop("_kinds")
+    return joined.withColumn(name, F.sort_array(F.concat(*parts))).drop(kinds)
 
 
 def told(spans: Column) -> Column:
@@ -180,9 +185,10 @@ def masked(
     hidden = F.col(text)
     for rule in rules:
         hidden = F.regexp_replace(hidden, rule.mask, F.lit(cover))
-    found = with_spans(docs, rules, text, "_spans")
-    some = F.size("_spans") > 0
+    (spans,) = spare_names(docs, "_spans")
+    found = with_spans(docs, rules, text, spans)
+    some = F.size(spans) > 0
     done = found.withColumn(text, F.when(some, hidden).otherwise(F.col(text)))
     if length:
         done = done.withColumn(length, F.when(some, F.length(text).cast("long")).otherwise(F.col(length)))
-    return done.drop("_spans")
+    return done.drop(spans)
