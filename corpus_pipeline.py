@@ -9,7 +9,11 @@ Stages, each over all that the one before it kept:
 4. secrets: found secrets are covered, documents stay;
 5. packing: the texts become pieces of sequences of at most 2048 tokens.
 
-All but the last return the columns of documents. A null text is kept as null until packing.
+All but the last return the columns of documents, whatever further columns there are and whatever
+their names. A null text counts as empty and is kept as null until packing. Texts of any length are
+worked on whole. Of repeated rows, and of rows with equal texts, stage 2 keeps one; its choice is the
+row read first. Ties in scores change nothing, as every stage judges by a limit. An empty table gives
+empty stages and no pieces.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import decontamination, jaccard_join, quality_model, secrets
+from corpusloom.llm.names import spare_names
 from corpusloom.llm.queries_models import packed, quality_trees
 from corpusloom.settings import materialise
 
@@ -25,8 +30,9 @@ MIN_QUALITY = 0.7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches MIN_QUALITY."""
-    scored = quality_model.with_score(docs, quality_trees(spark, docs, sf_dir), name="_quality")
-    return scored.filter(F.col("_quality") >= MIN_QUALITY).drop("_quality")
+    (quality,) = spare_names(docs, "_quality")
+    scored = quality_model.with_score(docs, quality_trees(spark, docs, sf_dir), name=quality)
+    return scored.filter(F.col(quality) >= MIN_QUALITY).drop(quality)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
