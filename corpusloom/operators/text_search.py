@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -11,24 +11,29 @@ from ..functions.stem import stem_words
 from ..functions.text import analyse
 from ..settings import materialise
 
+if TYPE_CHECKING:
+    from .text_store import TextStore
+
 # --- fixed values: BM25 parameters (Robertson et al.) ---------------------------------
 K1 = 1.2
 B = 0.75
 # --------------------------------------------------------------------------------------
 POSTINGS_PART = 65_536
 INDEX_PARTS = 64
+PUSHED_TERMS = 1000  # asked terms that are pushed to the scan by name
 RANK_DIGITS = 12  # scores that differ less are ties, so that the order of sums doesn't matter
 
 
-def _terms(text: str, stem: bool) -> Column:
+def search_terms(text: str, stem: bool) -> Column:
     return stem_words(analyse(F.col(text))) if stem else analyse(F.col(text))
 
 
 class TextIndex(NamedTuple):
     """An inverted index: postings (part, term, chunk_id, source_name, n_tokens, tf) and one row of totals (n, mean).
 
-    `part` is a hash of the term; a stored index is partitioned by it, so a search reads the files of
-    its terms only.
+    `part` is a hash of the term; a stored index is partitioned by it. A search names its parts and,
+    of a small batch, its terms before the scan, so other files are not listed. This is the plain
+    form for one corpus at once; `text_store` stops early and grows by imports.
     """
 
     postings: DataFrame
@@ -45,7 +50,7 @@ def text_index(chunks: DataFrame, stem: bool = False) -> TextIndex:
     With `stem`, English words are reduced to their stems; queries then need `stem` as well. The
     words of a chunk sit in one input row, so they are counted before anything is shuffled.
     """
-    tokens = chunks.select("chunk_id", "source_name", _terms("content", stem).alias("tokens"))
+    tokens = chunks.select("chunk_id", "source_name", search_terms("content", stem).alias("tokens"))
     sized = tokens.withColumn("n_tokens", F.size("tokens"))
     words = array_rows(sized, ["chunk_id", "source_name", "n_tokens"], F.col("tokens"), "term")
     counted = words.groupBy("term", "chunk_id", "source_name", "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
@@ -66,13 +71,20 @@ def read_text_index(spark: SparkSession, path: str) -> TextIndex:
 
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(query_id, term): the distinct terms of queries (query_id, text)."""
-    return array_rows(queries, ["query_id"], F.array_distinct(_terms("text", stem)), "term")
+    return array_rows(queries, ["query_id"], F.array_distinct(search_terms("text", stem)), "term")
 
 
 def postings(index: TextIndex, asked: DataFrame) -> DataFrame:
     """The postings of the terms that are asked for, written once because several joins read them."""
     wanted = asked.select(_part(), "term").distinct()
-    return materialise(index.postings.join(wanted, ["part", "term"], "left_semi").drop("part"), "postings")
+    parts = [r.part for r in wanted.select("part").distinct().collect()]  # at most INDEX_PARTS
+    few = wanted.select("term").limit(PUSHED_TERMS + 1).collect()
+    rows = index.postings.filter(F.col("part").isin(parts))
+    if len(few) <= PUSHED_TERMS:
+        rows = rows.filter(F.col("term").isin([r.term for r in few]))
+    else:
+        rows = rows.join(wanted, ["part", "term"], "left_semi")
+    return materialise(rows.drop("part"), "postings")
 
 
 def _parts(df: Column) -> Column:
@@ -109,20 +121,24 @@ def _matches(found: DataFrame, asked: DataFrame) -> DataFrame:
     return expected.join(found.select("chunk_id", "term", "tf", "n_tokens", "source_name"), ["chunk_id", "term"])
 
 
-def text_match(index: TextIndex, queries: DataFrame, stem: bool = False) -> DataFrame:
-    """(query_id, chunk_id) where the chunk contains every term of the query."""
+def text_match(index: TextIndex | TextStore, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, chunk_id) where the chunk contains every term of the query; a store knows about its stems itself."""
+    if not isinstance(index, TextIndex):
+        return index.match(queries)
     asked = query_terms(queries, stem)
     hits = _matches(postings(index, asked), asked).groupBy("query_id", "chunk_id", "n_terms")
     return hits.agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms").select("query_id", "chunk_id")
 
 
 def search_text(
-    index: TextIndex, queries: DataFrame, k: int, source: str | None = None, stem: bool = False
+    index: TextIndex | TextStore, queries: DataFrame, k: int, source: str | None = None, stem: bool = False
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): matching chunks by BM25, at most k per query.
 
     Document frequencies are those of the whole index; `source` only restricts the results.
     """
+    if not isinstance(index, TextIndex):
+        return index.search(queries, k, source)
     asked = query_terms(queries, stem)
     rows = _matches(postings(index, asked), asked)
     if source is not None:
