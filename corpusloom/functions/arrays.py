@@ -23,6 +23,7 @@ def array_rows(df: DataFrame, keep: list[str], array: Column, value: str, pos: s
     return rows.drop(pos) if pos == "_pos" else rows
 
 
-def struct_rows(df: DataFrame, keep: list[str], array: Column) -> DataFrame:
-    """One row per struct element, its fields as columns."""
-    return array_rows(df, keep, array, "_row").select(*keep, "_row.*")
+def struct_rows(df: DataFrame, keep: list[str], array: Column, pos: str = "_pos") -> DataFrame:
+    """One row per struct element, its fields as columns; `pos` as in `array_rows`."""
+    named = [] if pos == "_pos" else [pos]
+    return array_rows(df, keep, array, "_row", pos).select(*keep, *named, "_row.*")

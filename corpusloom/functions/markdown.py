@@ -51,6 +51,31 @@ def passages(text: str) -> Iterator[tuple[str, str | None, list[str | None]]]:
             yield content, heading, path
 
 
+def outline(text: str) -> Iterator[tuple[int, str, list[str | None]]]:
+    """(level, heading, path) of each heading line; a level that was skipped is an empty place in the path."""
+    path: list[str | None] = []
+    for match in _HEADING.finditer(text):
+        level = len(match[1])
+        path = (path + [None] * 6)[: level - 1] + [match[2]]
+        yield level, match[2], path
+
+
+OUTLINE = T.ArrayType(
+    T.StructType().add("level", T.IntegerType()).add("heading", T.StringType()).add("path", T.ArrayType(T.StringType()))
+)
+
+
+@F.arrow_udf(OUTLINE)
+def outline_rows(texts: pa.Array) -> pa.Array:
+    offsets, rows = [0], []
+    for text in texts:
+        rows += outline(text.as_py()) if text.is_valid else ()
+        offsets.append(len(rows))
+    levels, headings, paths = zip(*rows) if rows else ((), (), ())
+    fields = [pa.array(levels, pa.int32()), pa.array(headings, pa.string()), pa.array(paths, pa.list_(pa.string()))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["level", "heading", "path"]))
+
+
 @F.arrow_udf(PASSAGES)
 def split_passages(texts: pa.Array) -> pa.Array:
     offsets, contents, headings, paths = [0], [], [], []

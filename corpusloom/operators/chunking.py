@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import array_rows
-from ..functions.markdown import split_passages
+from ..functions.arrays import array_rows, struct_rows
+from ..functions.markdown import outline_rows, split_passages
 from ..functions.text import is_link_list, long_enough, strip_html_lines, word_count
-from ..settings import DOT_RE, LINE_WS_RE
 
 
-def chunk_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace `text` by `chunks` (kept passages in order) and `dropped` (link lists removed)."""
+def chunk_sets(docs: DataFrame, text: str = "text", noisy: bool = False) -> DataFrame:
+    """Replace `text` by `chunks` (kept passages in order) and `dropped` (link lists removed; none if `noisy` keeps them)."""
     split = docs.withColumn("_all", split_passages(strip_html_lines(F.col(text)))).drop(text)
+    if noisy:
+        return split.withColumnRenamed("_all", "chunks").withColumn("dropped", F.lit(0))
     kept = split.withColumn("chunks", F.filter("_all", lambda b: ~is_link_list(b["content"])))
     return kept.withColumn("dropped", F.size("_all") - F.size("chunks")).drop("_all")
 
@@ -53,30 +54,5 @@ def min_length(chunks: DataFrame) -> DataFrame:
 
 
 def heading_outline(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, pos, level, heading, path): headings with their ancestors.
-
-    Only heading lines are shuffled; one group holds the headings of one document row.
-    """
-    pattern = F.lit(f"(?md)^(#{{1,6}}{LINE_WS_RE}+{DOT_RE}+)")
-    lines = array_rows(docs, [doc_id], F.regexp_extract_all(text, pattern, F.lit(1)), "_line", "pos")
-    heads = lines.select(
-        doc_id,
-        "pos",
-        F.length(F.regexp_extract("_line", "^(#+)", 1)).alias("level"),
-        F.regexp_extract("_line", f"^#+{LINE_WS_RE}+({DOT_RE}+)", 1).alias("heading"),
-    )
-    before = W.partitionBy(doc_id).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-
-    def latest(condition: Column, value: Column) -> Column:
-        return F.last(F.when(condition, value), ignorenulls=True).over(before)
-
-    here = F.struct("pos", "heading")
-    for k in range(1, 6):
-        heads = heads.withColumn(f"_at{k}", latest(F.col("level") == k, here))
-        heads = heads.withColumn(f"_cut{k}", latest(F.col("level") < k, F.col("pos")))
-    # An ancestor counts while no heading of a smaller level has followed it.
-    slots = [
-        F.when(F.col(f"_at{k}.pos") > F.coalesce(f"_cut{k}", F.lit(-1)), F.col(f"_at{k}.heading")) for k in range(1, 6)
-    ]
-    path = F.concat(F.slice(F.array(*slots), F.lit(1), F.col("level") - 1), F.array("heading"))
-    return heads.select(doc_id, "pos", "level", "heading", path.alias("path"))
+    """(doc_id, pos, level, heading, path): headings in order with their ancestors, row by row."""
+    return struct_rows(docs, [doc_id], outline_rows(F.col(text)), pos="pos")

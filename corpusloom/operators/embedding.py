@@ -29,7 +29,11 @@ class Embedder:
 
 
 def hashing_embedder(dimensions: int = 64) -> Embedder:
-    """Feature hashing of words with unit length: needs no model files and is deterministic."""
+    """Feature hashing of words with unit length: needs no model files and is deterministic.
+
+    The first eight bytes of a word's MD5, as a little-endian number, give its dimension (remainder)
+    and its sign (top bit).
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions))
@@ -46,7 +50,7 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
 
 @lru_cache(maxsize=1 << 17)
 def _word_code(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
 
 
 def pending_chunks(chunks: DataFrame, embeddings: DataFrame, model: str, source_id: str | None = None) -> DataFrame:

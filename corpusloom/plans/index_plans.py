@@ -25,8 +25,9 @@ from ..operators.lifecycle import (
     update_sources,
     upsert_docs,
 )
+from ..settings import materialise
 from . import tables as t
-from .snippets import DOCS, DOC_CHUNKS, H1, ITEM, NAV, PAGE_LANG, SOURCES, link_list
+from .snippets import DOCS, DOC_CHUNKS, H1, ITEM, MARKED, NAV, PAGE_LANG, SOURCES, chunk_ctes, hashed, link_list
 
 NOW = 1_706_745_600
 
@@ -87,14 +88,14 @@ def save_outcome(spark, d):
     return import_outcome(_incoming_chunks(spark, d))
 
 
-def _snippet_index(spark, d):
-    chunks = t.page_snippets(spark, d)
+def _noisy_index(spark, d):
+    chunks = materialise(t.stored_chunks(spark, d), "chunks")
     embeddings = chunks.select(F.col("id").alias("chunk_id"), F.lit("m").alias("model"))
     return {"chunks": chunks, "embeddings": embeddings}
 
 
 def purge_noisy_q(spark, d):
-    index, purged = purge_noisy(_snippet_index(spark, d))
+    index, purged = purge_noisy(_noisy_index(spark, d))
     left = index["chunks"].groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks_left"))
     owner = index["chunks"].select(F.col("id").alias("chunk_id"), "source_id")
     vectors = index["embeddings"].join(owner, "chunk_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("embeddings_left"))
@@ -159,7 +160,12 @@ def count_pending_q(spark, d):
 
 
 def embed_pending_q(spark, d):
-    return embed_pending(_doc_level_chunks(spark, d), t.embeddings(spark, d), hashing_embedder()).select("chunk_id", "model", "dimensions")
+    """Documents whose stored vector is of another model get one; the vector shows as whole millionths."""
+    model = hashing_embedder()
+    stored = t.embeddings(spark, d).withColumn("model", F.when(F.col("model") == "small", model.model).otherwise(F.col("model")))
+    made = embed_pending(_doc_level_chunks(spark, d), stored, model)
+    shown = F.transform("vector", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
+    return made.select("chunk_id", "model", "dimensions", F.md5(F.array_join(shown, ",")).alias("vector_hash"))
 
 
 def normalise_vectors_q(spark, d):
@@ -233,9 +239,10 @@ SELECT source_id, count(*) + count(*) FILTER (chunk_index = 0) AS n, 0::BIGINT A
 FROM chunks JOIN docs USING (k) GROUP BY source_id""",
     "save_outcome": f"""{DOC_CHUNKS}
 SELECT source_id, count(DISTINCT k) AS doc_count, count(*) AS chunk_count FROM chunks JOIN docs USING (k) GROUP BY source_id""",
-    "purge_noisy": f"""
-WITH items AS (
-  SELECT {PAGE_LANG} AS source_id, regexp_replace({NAV}, {ITEM}, '- [\\2](\\1)' || chr(10), 'g') AS content FROM pages
+    "purge_noisy": f"""WITH RECURSIVE {MARKED}, {chunk_ctes('marked')},
+items AS (
+  SELECT source_id, content FROM judged JOIN marked USING (k)
+  UNION ALL SELECT {PAGE_LANG} AS source_id, regexp_replace({NAV}, {ITEM}, '- [\\2](\\1)' || chr(10), 'g') AS content FROM pages
   UNION ALL SELECT {PAGE_LANG}, {H1} FROM pages)
 SELECT source_id, count(*) FILTER (ll) AS purged, count(*) FILTER (NOT ll) AS chunks_left, count(*) FILTER (NOT ll) AS embeddings_left
 FROM (SELECT source_id, {link_list('content')} AS ll FROM items) GROUP BY source_id""",
@@ -269,7 +276,11 @@ WHERE 'doc://' || doc_id NOT IN (SELECT chunk_id FROM emb WHERE model = 'small')
     "count_pending": f"""WITH {EMBEDDINGS}
 SELECT source AS source_id, count(*) AS pending FROM documents
 WHERE 'doc://' || doc_id NOT IN (SELECT chunk_id FROM emb WHERE model = 'small') GROUP BY source""",
-    "embed_pending": "SELECT 'doc://' || doc_id AS chunk_id, 'hashing-64' AS model, 64 AS dimensions FROM documents",
+    "embed_pending": f"""WITH {EMBEDDINGS},
+todo AS (SELECT 'doc://' || doc_id AS id, text FROM documents WHERE 'doc://' || doc_id NOT IN (SELECT chunk_id FROM emb WHERE model = 'small')),
+{hashed('embedded', 'todo', 'id', 'text')}
+SELECT id AS chunk_id, 'hashing-64' AS model, 64 AS dimensions,
+       md5(array_to_string(list_transform(vector, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS vector_hash FROM embedded""",
     "normalise_vectors": f"""WITH {EMBEDDINGS},
 scaled AS (SELECT chunk_id, list_transform(vector, lambda x: CASE WHEN source_name = '4' THEN 0.0 ELSE x::DOUBLE * 3 END) AS v FROM emb),
 normed AS (SELECT chunk_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM scaled)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import analyse
+from ..functions.text import analyse, stable_id
 from ..operators.fusion import mmr_rerank, rrf_merge
 from ..operators.search import (
     eval_retrieval,
@@ -16,14 +16,17 @@ from ..operators.search import (
     search_docs,
     search_hybrid,
 )
+from ..operators.chunking import chunk_markdown
 from ..operators.text_search import search_text, text_match
+from ..operators.text_store import import_chunks
 from ..operators.vector_search import search_vector
-from ..settings import materialise
+from ..settings import scratch_path
 from . import tables as t
 from .index_plans import CENTROIDS
-from .snippets import DOC_CHUNKS, link_list, terms
+from .snippets import DOC_CHUNKS, DOCS, MARKED_LINE, chunk_ctes, hashed, link_list, lit, terms
 
 K = 10
+SECOND_EDITION = "\nThis is the second edition of the document."
 
 
 def result(hits):
@@ -55,7 +58,7 @@ def search_vector_q(spark, d):
 def search_vector_source(spark, d):
     vectors = t.chunk_vectors(spark, d)
     queries = t.query_vectors(spark, d).filter("vector is not null").select("query_id", "vector")
-    return result(search_vector(vectors, queries, K, source="src3", model="m"))
+    return result(search_vector(vectors, queries, K, source="src3", model=t.MODEL.model))
 
 
 def _both_lists(spark, d):
@@ -94,11 +97,10 @@ def _details(spark, d):
 
 
 def get_chunk(spark, d):
-    """Look up the first chunk of every document."""
+    """Look up the first chunk of every document by its id; a document without chunks has none."""
     docs = t.docs(spark, d)
-    chunks = materialise(t.chunks(spark, d).drop("heading_path", "created_at"), "chunks")
-    ids = chunks.filter("chunk_index = 0").select(F.col("id").alias("chunk_id"))
-    found = get_chunks(chunks, docs, t.sources(spark, d), ids)
+    ids = docs.select(stable_id(F.col("id"), F.lit(0)).alias("chunk_id"))
+    found = get_chunks(t.chunks(spark, d), docs, t.sources(spark, d), ids)
     return found.select("chunk_id", "heading", "doc_url", "doc_title", "source_name", F.md5("content").alias("content_hash"))
 
 
@@ -112,18 +114,54 @@ def context_pack(spark, d):
 
 
 def retrieval_eval(spark, d):
-    """Short queries judged by the chunks that hold the whole passage."""
+    """Whole passages and their short queries, judged by the chunks that hold the whole passage."""
     index = t.search_index(spark, d)
-    gold = text_match(index, t.passage_queries(spark, d))
+    whole = text_match(index, t.passage_queries(spark, d))
+    gold = whole.unionByName(whole.withColumn("query_id", F.concat("query_id", F.lit("s"))))
     return eval_retrieval(search_text(index, t.queries(spark, d), K), gold, K)
 
 
 def noise_hits_q(spark, d):
-    return noise_hits(_details(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    """Hits whose text, with its short lines turned into links, is a link list."""
+    shown = _details(spark, d).withColumn("content", t.marked_lines(F.col("content")))
+    return noise_hits(shown).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def build_text_index(spark, d):
+    """Build the stored index of all chunks; per length of a word: how many words, postings and occurrences."""
+    path = scratch_path(spark, "text-index")
+    store = import_chunks(spark, path, t.named_chunks(spark, d))
+    rows = spark.read.parquet(f"{path}/{store.segments[0].path}/blocks")
+    sums = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    terms = rows.groupBy("term").agg(F.sum(F.col("n").cast("long")).alias("n"), F.sum(sums).alias("tf"), F.max("max_tf").alias("top"))
+    return terms.groupBy(F.length("term").alias("length")).agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"), F.sum("tf").alias("occurrences"), F.max("top").alias("most_in_a_chunk")
+    )
+
+
+def index_segments(spark, d):
+    """Search an index after three imports: all but German documents; German ones, and French ones again with another
+    end; then only the removal of the Spanish ones. Two segments with tombstones answer like an index of what is left."""
+    path = scratch_path(spark, "text-index")
+    docs = t.documents(spark, d)
+    doc = stable_id(F.md5("source"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
+    named = docs.select(doc.alias("doc_id"), F.col("source").alias("source_name"), "lang", "text")
+    ended = named.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(SECOND_EDITION))).otherwise(F.col("text")))
+
+    def chunks(rows):
+        made = chunk_markdown(rows.drop("lang"))
+        return made.select(stable_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "source_name", "content")
+
+    import_chunks(spark, path, chunks(named.filter("lang <> 'de'")))
+    import_chunks(spark, path, chunks(ended.filter("lang IN ('de', 'fr')")))
+    store = import_chunks(spark, path, chunks(named).limit(0), gone=named.filter("lang = 'es'").select("doc_id"))
+    return result(search_text(store, t.queries(spark, d), K))
 
 
 QUERIES = {
     "text_analyse": text_analyse,
+    "build_text_index": build_text_index,
+    "index_segments": index_segments,
     "text_match": text_match_q,
     "search_text": search_text_q,
     "search_vector": search_vector_q,
@@ -139,19 +177,21 @@ QUERIES = {
     "noise_hits": noise_hits_q,
 }
 
+PICKED = """array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{5,}')),
+           lambda w: {'n': length(w), 'w': w}))[1:2], lambda p: p.w), ' ')"""
 INDEX = f"""
 terms AS MATERIALIZED (
   SELECT md5(c.k || '|' || chunk_index) AS chunk_id, source_name, {terms('content')} AS tokens FROM chunks c JOIN docs USING (k)),
 sizes AS MATERIALIZED (SELECT chunk_id, source_name, len(tokens) AS n_tokens FROM terms),
 totals AS (SELECT count(*) AS n, avg(n_tokens) AS mean FROM sizes),
-postings AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM terms) GROUP BY chunk_id, term),
-frequency AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term),
-passage_terms AS (SELECT item_id::VARCHAR AS query_id, unnest(list_distinct({terms('text')})) AS term FROM benchmark),
-queries AS (
-  SELECT item_id::VARCHAR AS query_id, list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{5,}}')),
-           lambda w: {{'n': length(w), 'w': w}}))[1:2] AS picked FROM benchmark),
-query_terms AS (
-  SELECT query_id, unnest(list_distinct({terms("array_to_string(list_transform(picked, lambda p: p.w), ' ')")})) AS term FROM queries)"""
+queries AS MATERIALIZED (
+  SELECT item_id::VARCHAR AS query_id, text FROM benchmark UNION ALL SELECT item_id || 's', {PICKED} FROM benchmark),
+query_terms AS MATERIALIZED (SELECT query_id, unnest(list_distinct({terms('text')})) AS term FROM queries),
+passage_terms AS (SELECT * FROM query_terms WHERE query_id NOT LIKE '%s'),
+postings AS MATERIALIZED (
+  SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM terms)
+  WHERE term IN (SELECT term FROM query_terms) GROUP BY chunk_id, term),
+frequency AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
 
 def matches(query_terms: str) -> str:
@@ -172,13 +212,14 @@ text_hits AS MATERIALIZED (
   FROM ({matches('query_terms')}) QUALIFY rank <= {k})"""
 
 
-COS = """round(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[])
-  / (sqrt(list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_dot_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))), {digits})"""
-VECTORS = """
-chunk_vectors AS MATERIALIZED (
-  SELECT md5(md5(md5(source) || '|doc://' || doc_id) || '|0') AS chunk_id, source AS source_name, embedding AS vector
-  FROM documents JOIN embeddings ON vec_id = doc_id),
-query_vectors AS MATERIALIZED (SELECT item_id::VARCHAR AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id WHERE label < 5)"""
+COS = """round(coalesce(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[])
+  / nullif(sqrt(list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_dot_product(b.vector::DOUBLE[], b.vector::DOUBLE[])), 0), 0), {digits})"""
+VECTORS = f"""
+named AS MATERIALIZED (SELECT md5(c.k || '|' || chunk_index) AS chunk_id, source_name, content FROM chunks c JOIN docs USING (k)),
+{hashed('embedded', 'named', 'chunk_id', 'content')},
+chunk_vectors AS MATERIALIZED (SELECT chunk_id, source_name, vector FROM embedded JOIN named USING (chunk_id)),
+passages_in AS (SELECT item_id::VARCHAR AS query_id, text FROM benchmark),
+{hashed('query_vectors', 'passages_in', 'query_id', 'text')}"""
 
 
 def vector_hits(k: int, where: str = "true") -> str:
@@ -234,7 +275,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITIO
 FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=12)} AS score
       FROM (SELECT vec_id, embedding AS vector FROM embeddings) a CROSS JOIN centroids b)
 QUALIFY rank <= {K}""",
-    "search_vector_source": f"WITH {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM vector_hits",
+    "search_vector_source": f"{DOC_CHUNKS}, {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM vector_hits",
     "rrf_merge": f"{fused(3 * K)} SELECT query_id, chunk_id, rank_v::INTEGER AS rank_v, rank_t::INTEGER AS rank_t, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
     "mmr_rerank": f"{fused(3 * K)}, {diversified(K)} SELECT query_id, chunk_id, score, rank FROM picked",
     "search_hybrid": f"""{fused(15)}, {diversified(5)}
@@ -258,9 +299,22 @@ SELECT query_id, md5(string_agg('--- Source: ' || source_name || ' | ' || coales
        floor(sum(length(content)) / 4 + 0.5)::BIGINT AS tokens
 FROM details GROUP BY query_id""",
     "retrieval_eval": f"""{DOC_CHUNKS}, {INDEX}, {text_hits(K)},
-gold AS (SELECT query_id, chunk_id FROM ({matches('passage_terms')})),
+whole AS (SELECT query_id, chunk_id FROM ({matches('passage_terms')})),
+gold AS (FROM whole UNION ALL SELECT query_id || 's', chunk_id FROM whole),
 best AS (SELECT g.query_id, min(h.rank) AS rank FROM gold g LEFT JOIN text_hits h USING (query_id, chunk_id) GROUP BY g.query_id)
 SELECT count(*) AS n_queries, count(rank) AS n_found, round(coalesce(avg((rank IS NOT NULL)::INT), 0), 6) AS recall,
        round(coalesce(avg(coalesce(1 / rank, 0)), 0), 6) AS mrr FROM best""",
-    "noise_hits": f"{DETAILS} SELECT query_id, count(*) AS n FROM details WHERE {link_list('content')} GROUP BY query_id",
+    "noise_hits": f"""{DETAILS}
+SELECT query_id, count(*) AS n
+FROM (SELECT query_id, array_to_string(list_transform(string_split(content, chr(10)), lambda l: {MARKED_LINE}), chr(10)) AS shown FROM details)
+WHERE {link_list('shown')} GROUP BY query_id""",
+    "build_text_index": f"""{DOC_CHUNKS},
+words AS (SELECT k, chunk_index, unnest({terms('content')}) AS term FROM chunks),
+counted AS (SELECT term, count(*) AS tf FROM words GROUP BY k, chunk_index, term),
+known AS (SELECT term, count(*) AS n, sum(tf) AS tf, max(tf) AS top FROM counted GROUP BY term)
+SELECT length(term)::INTEGER AS length, count(*) AS terms, sum(n)::BIGINT AS postings, sum(tf)::BIGINT AS occurrences, max(top) AS most_in_a_chunk
+FROM known GROUP BY length(term)""",
+    "index_segments": f"""WITH RECURSIVE {DOCS},
+edited AS (SELECT k, CASE WHEN lang = 'fr' THEN text || {lit(SECOND_EDITION)} ELSE text END AS text FROM docs WHERE lang <> 'es'),
+{chunk_ctes('edited')}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM text_hits""",
 }

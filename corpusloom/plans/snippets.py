@@ -49,6 +49,19 @@ def terms(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains([{stop}], w))"
 
 
+def hashed(name: str, relation: str, key: str, text: str) -> str:
+    """CTE `name` (key, vector): feature hashing of words into 64 dimensions, unit length, as FLOAT[]."""
+    return f"""
+{name}_sums AS (
+  SELECT {key}, ('0x' || code[1:2])::INTEGER % 64 AS dim, sum(CASE WHEN ('0x' || code[15:16])::INTEGER >= 128 THEN 1 ELSE -1 END)::DOUBLE AS x
+  FROM (SELECT {key}, md5(unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'))) AS code FROM {relation})
+  GROUP BY {key}, dim),
+{name} AS MATERIALIZED (
+  SELECT {key}, list_transform(v, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE sqrt(n) END)::FLOAT) AS vector
+  FROM (SELECT {key}, list(coalesce(x, 0) ORDER BY dim) AS v, sum(coalesce(x, 0) * coalesce(x, 0)) AS n
+        FROM (SELECT {key}, unnest(range(64))::INTEGER AS dim FROM {relation}) LEFT JOIN {name}_sums USING ({key}, dim) GROUP BY {key}))"""
+
+
 def chunk_ctes(docs: str) -> str:
     """CTEs `passages` and `chunks` (k, chunk_index, content, heading, path) of the relation `docs` (k, text)."""
     heading = f"^(#{{1,6}}){LINE_WS_RE}+({DOT_RE}+)"

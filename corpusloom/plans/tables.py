@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.html import page_title
 from ..functions.text import stable_id
 from ..functions.urls import normalize_url, url_origin, url_path
-from ..operators.chunking import chunk_markdown, chunk_sets
-from ..operators.text_search import TextIndex, read_text_index, text_index, write_text_index
+from ..operators.chunking import chunk_markdown, chunk_sets, explode_chunks
+from ..operators.embedding import embed_pending, hashing_embedder
+from ..operators.text_store import TextStore, import_chunks, open_text_store
 from ..settings import materialise, scratch_path
 
 STATUS = {"error": "failed", "purchase": "done", "view": "running", "signup": "pending", "click": "cancelled"}
@@ -81,8 +81,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
-    """documents with their short lines turned into markdown: (doc_id, source_id, text).
+def marked_lines(text: Column) -> Column:
+    """A text with its short lines turned into markdown.
 
     The length of a line decides what it becomes, so every construct the chunker knows occurs:
     headings of four levels, fences, lines that are one tag, link list items.
@@ -102,8 +102,12 @@ def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
             .otherwise(ln)
         )
 
-    text = F.array_join(F.transform(F.split("text", "\n"), marked), "\n")
-    return documents(spark, d).select("doc_id", F.md5("source").alias("source_id"), text.alias("text"))
+    return F.array_join(F.transform(F.split(text, "\n"), marked), "\n")
+
+
+def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
+    """documents with their short lines turned into markdown: (doc_id, source_id, text)."""
+    return documents(spark, d).select("doc_id", F.md5("source").alias("source_id"), marked_lines(F.col("text")).alias("text"))
 
 
 def noisy_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +149,13 @@ def page_snippets(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("source_id", F.inline(parts))
 
 
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as an index held them before link lists were dropped: those of all marked documents, and the page snippets."""
+    sets = chunk_sets(markdown_documents(spark, d), noisy=True)
+    rows = explode_chunks(sets).select(F.concat_ws("-", F.col("doc_id").cast("string"), "chunk_index").alias("id"), "source_id", "content")
+    return rows.unionByName(page_snippets(spark, d).select("id", "source_id", "content"))
+
+
 def page_links_text(spark: SparkSession, d: str) -> DataFrame:
     """A link index per page: title, two description lines, navigation, optional section."""
     raw = table(spark, d, "pages").select("page_id", "url", nav_list("https://docs.example").alias("nav"), "html")
@@ -336,33 +347,60 @@ def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
+MODEL = hashing_embedder()
+
+
+def _state(spark: SparkSession, d: str) -> str:
+    """A mark of the files of the documents: it changes when they are written again."""
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return str(table(spark, d, "documents").select(file.alias("f")).distinct().agg(F.sum(F.shiftright("f", 8))).first()[0])
 
 
-def search_index(spark: SparkSession, d: str) -> TextIndex:
-    """Stored text index of the document chunks; built once in a session, as every search reads it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key in _STORED:
-        try:
-            return read_text_index(spark, _STORED[key])
-        except AnalysisException:  # the folder was cleaned
-            del _STORED[key]
-    source = F.md5("source")
-    doc = stable_id(source, F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
+def named_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, doc_id, source_name, content) of all documents."""
+    doc = stable_id(F.md5("source"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
     named = documents(spark, d).select(doc.alias("doc_id"), F.col("source").alias("source_name"), "text")
     rows = chunk_markdown(named).withColumn("chunk_id", stable_id(F.col("doc_id"), F.col("chunk_index")))
-    path = scratch_path(spark, "text-index")
-    write_text_index(text_index(materialise(rows.select("chunk_id", "source_name", "content"), "chunks")), path)
+    return rows.select("chunk_id", "doc_id", "source_name", "content")
+
+
+def _search_folder(spark: SparkSession, d: str) -> str:
+    """Folder of the stored text index and vectors of all document chunks.
+
+    Built once for a state of the files in a session, as every search reads it.
+    """
+    key = (spark.sparkContext.applicationId, d, _state(spark, d))
+    if key in _STORED and open_text_store(spark, f"{_STORED[key]}/text").version:
+        return _STORED[key]
+    path = scratch_path(spark, "search")
+    chunks = materialise(named_chunks(spark, d), "chunks")
+    import_chunks(spark, f"{path}/text", chunks)
+    none = spark.createDataFrame([], "chunk_id STRING, model STRING")
+    made = embed_pending(chunks.select(F.col("chunk_id").alias("id"), "content"), none, MODEL)
+    owned = made.join(chunks.select("chunk_id", "source_name"), "chunk_id")
+    owned.select("chunk_id", "source_name", "model", "vector").write.parquet(f"{path}/vectors")
     _STORED[key] = path
-    return read_text_index(spark, path)
+    return path
+
+
+def search_index(spark: SparkSession, d: str) -> TextStore:
+    """Stored text index of the document chunks."""
+    return open_text_store(spark, f"{_search_folder(spark, d)}/text")
+
+
+def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, source_name, model, vector) of every chunk."""
+    return spark.read.parquet(f"{_search_folder(spark, d)}/vectors")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """A query per benchmark passage: its two shortest distinct words of five letters or more."""
+    """Two queries per benchmark passage: the whole passage, and ("s") its two shortest distinct words of five letters or more."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{5,})"), F.lit(1)))
     ranked = F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     text = F.array_join(F.transform(F.slice(ranked, 1, 2), lambda s: s["w"]), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), text.alias("text"))
+    short = table(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit("s")).alias("query_id"), text.alias("text"))
+    return passage_queries(spark, d).unionByName(short)
 
 
 def passage_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -370,21 +408,12 @@ def passage_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
 
 
-def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first chunk of a document carries the vector with the document's number."""
-    owner = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_name"))
-    doc = stable_id(F.md5("source_name"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))
-    keyed = owner.withColumn("chunk_id", stable_id(doc, F.lit(0)))
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return keyed.join(vectors, "doc_id").select("chunk_id", "source_name", F.lit("m").alias("model"), "vector")
-
-
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Queries with vectors: the vector of the passage's number; none where its label is 5 or more."""
-    vectors = table(spark, d, "embeddings").select(
-        F.col("vec_id").cast("string").alias("query_id"), F.when(F.col("label") < 5, F.col("embedding")).alias("vector")
-    )
-    return queries(spark, d).join(vectors, "query_id", "left")
+    """Queries with vectors: whole passages are embedded like chunks, short queries have none."""
+    passages = passage_queries(spark, d)
+    none = spark.createDataFrame([], "chunk_id STRING, model STRING")
+    made = embed_pending(passages.select(F.col("query_id").alias("id"), F.col("text").alias("content")), none, MODEL)
+    return queries(spark, d).join(made.select(F.col("chunk_id").alias("query_id"), "vector"), "query_id", "left")
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
