@@ -9,6 +9,7 @@ scores travel; the vectors of the final hits are joined at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text_search import RANK_DIGITS, top_k
 
+if TYPE_CHECKING:
+    from .vector_store import VectorStore
+
 QUERY_BLOCK, CHUNK_BLOCK, TILE = 1024, 32_768, 4096
 _HITS = "query_id STRING, chunk_id STRING, _key LONG, score DOUBLE"
 
@@ -83,7 +87,7 @@ def _for_each(n: int) -> Column:
 
 
 def search_vector(
-    vectors: DataFrame,
+    vectors: DataFrame | VectorStore,
     queries: DataFrame,
     k: int,
     source: str | None = None,
@@ -95,8 +99,10 @@ def search_vector(
     (query_id, vector); the vector of a hit comes back with unit length.
 
     The two block sizes bound what a task holds: about query_block x k hits, one tile of scores and
-    one block of each side.
+    one block of each side. A store of vectors reads only the blocks that can matter.
     """
+    if not isinstance(vectors, DataFrame):
+        return vectors.search(queries, k, source, model, query_block, chunk_block)
     if source is not None:
         vectors = vectors.filter(F.col("source_name") == source)
     if model is not None:

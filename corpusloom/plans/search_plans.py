@@ -20,6 +20,7 @@ from ..operators.chunking import chunk_markdown
 from ..operators.text_search import search_text, text_match
 from ..operators.text_store import import_chunks
 from ..operators.vector_search import search_vector
+from ..operators.vector_store import write_vectors
 from ..settings import scratch_path
 from . import tables as t
 from .index_plans import CENTROIDS
@@ -55,6 +56,12 @@ def search_vector_q(spark, d):
     return result(hits)
 
 
+def search_vector_store(spark, d):
+    """The same from a store of the vectors, which reads only the blocks that can matter."""
+    store = write_vectors(t.embeddings(spark, d), scratch_path(spark, "vectors"))
+    return result(search_vector(store, t.label_centroids(spark, d), K))
+
+
 def search_vector_source(spark, d):
     vectors = t.chunk_vectors(spark, d)
     queries = t.query_vectors(spark, d).filter("vector is not null").select("query_id", "vector")
@@ -165,6 +172,7 @@ QUERIES = {
     "text_match": text_match_q,
     "search_text": search_text_q,
     "search_vector": search_vector_q,
+    "search_vector_store": search_vector_store,
     "search_vector_source": search_vector_source,
     "rrf_merge": rrf_merge_q,
     "mmr_rerank": mmr_rerank_q,
@@ -266,15 +274,18 @@ details AS (
   FROM text_hits JOIN (SELECT md5(c.k || '|' || chunk_index) AS chunk_id, content, heading, url, title, source_name
                        FROM chunks c JOIN docs USING (k)) USING (chunk_id))"""
 
+NEAREST = f"""WITH {CENTROIDS}
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
+FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=12)} AS score
+      FROM (SELECT vec_id, embedding AS vector FROM embeddings) a CROSS JOIN centroids b)
+QUALIFY rank <= {K}"""
+
 ORACLES = {
     "text_analyse": f"SELECT doc_id, len({terms('text')})::INTEGER AS n_terms, md5(array_to_string({terms('text')}, ' ')) AS terms_hash FROM documents",
     "text_match": f"{DOC_CHUNKS}, {INDEX} SELECT query_id, chunk_id FROM ({matches('passage_terms')})",
     "search_text": f"{DOC_CHUNKS}, {INDEX}, {text_hits(K)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM text_hits",
-    "search_vector": f"""WITH {CENTROIDS}
-SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
-FROM (SELECT query_id, 'doc://' || vec_id AS chunk_id, {COS.format(digits=12)} AS score
-      FROM (SELECT vec_id, embedding AS vector FROM embeddings) a CROSS JOIN centroids b)
-QUALIFY rank <= {K}""",
+    "search_vector": NEAREST,
+    "search_vector_store": NEAREST,
     "search_vector_source": f"{DOC_CHUNKS}, {VECTORS}, {vector_hits(K, '''source_name = 'src3' ''')} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM vector_hits",
     "rrf_merge": f"{fused(3 * K)} SELECT query_id, chunk_id, rank_v::INTEGER AS rank_v, rank_t::INTEGER AS rank_t, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
     "mmr_rerank": f"{fused(3 * K)}, {diversified(K)} SELECT query_id, chunk_id, score, rank FROM picked",

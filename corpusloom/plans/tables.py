@@ -10,6 +10,7 @@ from ..functions.urls import normalize_url, url_origin, url_path
 from ..operators.chunking import chunk_markdown, chunk_sets, explode_chunks
 from ..operators.embedding import embed_pending, hashing_embedder
 from ..operators.text_store import TextStore, import_chunks, open_text_store
+from ..operators.vector_store import VectorStore, write_vectors
 from ..settings import materialise, scratch_path
 
 STATUS = {"error": "failed", "purchase": "done", "view": "running", "signup": "pending", "click": "cancelled"}
@@ -379,7 +380,7 @@ def _search_folder(spark: SparkSession, d: str) -> str:
     none = spark.createDataFrame([], "chunk_id STRING, model STRING")
     made = embed_pending(chunks.select(F.col("chunk_id").alias("id"), "content"), none, MODEL)
     owned = made.join(chunks.select("chunk_id", "source_name"), "chunk_id")
-    owned.select("chunk_id", "source_name", "model", "vector").write.parquet(f"{path}/vectors")
+    write_vectors(owned, f"{path}/vectors")
     _STORED[key] = path
     return path
 
@@ -389,9 +390,9 @@ def search_index(spark: SparkSession, d: str) -> TextStore:
     return open_text_store(spark, f"{_search_folder(spark, d)}/text")
 
 
-def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(chunk_id, source_name, model, vector) of every chunk."""
-    return spark.read.parquet(f"{_search_folder(spark, d)}/vectors")
+def chunk_vectors(spark: SparkSession, d: str) -> VectorStore:
+    """Stored vectors of all document chunks."""
+    return VectorStore(spark, f"{_search_folder(spark, d)}/vectors")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
