@@ -1,20 +1,25 @@
 """Log-bilinear language model with noise-contrastive training, and a unigram base beside it.
 
-Words are counted over all training documents. The `FREQUENT` most frequent tokens are classes of
-their own, all other words fall into classes by their last two bytes. The model predicts the class
-of a token from the two tokens before it: the context vector is the sum of a linear map of each,
-and a class scores its product with the context plus a bias. Inside a class, a Huffman tree leads to
-every word that occurs at least sqrt(tokens) / `ROOT_PART` (and `LEAST`) times; each inner node has a
-vector and a bias, and the probability of a path is a product of logistic functions. Such a word is
-also a context of its own: its vector is added to that of its class. Their number grows with about
-the root of the corpus and has no limit. One leaf of a class is for all rarer words (and those of
-more than `KNOWN_BYTES` bytes), which share its probability by their counts (add 0.1).
-
-Training reads every training document once, in `ROUNDS` of growing size. In a round each task
-starts from the same parameters and takes noise-contrastive steps over its own documents; the
-parameters are then averaged by tokens, those of words and nodes by the tokens that used them; a task
-sends only the words and nodes it used. Biases start at the log frequencies, so the model starts as
-the unigram model.
+Words are counted over all training documents. Every word that occurs at least sqrt(tokens) /
+`ROOT_PART` (and `LEAST`) times has a vector as a context and a vector and a bias as a target; their
+number grows with the corpus, to `MOST_VECTORS` words. The context vector of a token is the sum of a
+linear map of each of the two tokens before it, and a word scores its product with the context plus
+its bias.
+
+Probabilities are normalised over classes: the `FREQUENT` most frequent tokens are classes of their own, all
+other words fall into classes by their last two bytes. Classes of many words are split by the words' checksums,
+so that classes and the words in a class both number about the root of the words with vectors. The
+probability of a word is that of its class, by vectors and biases of the classes, times its share among the
+words of the class, by its own. One more target of each class stands for all rarer words (and those of
+more than `KNOWN_BYTES` bytes); they share its probability by their counts (add 0.1).
+
+Both levels are trained by noise-contrastive estimation: a batch shares one sample of classes and one
+of words, drawn by frequency. Training reads every training document once, in `ROUNDS` of growing size.
+In a round the documents are dealt by their hash to a number of trainers that grows with the root of
+the tokens, so that what they send grows in proportion to the corpus, and results do not depend on
+how the table is partitioned. Each trainer starts from the same parameters; these are then averaged
+by tokens, those of words by the tokens that used them; a trainer sends only the rows it used.
+Biases start at the log frequencies, so the model starts as the unigram model.
 
 Scoring keeps the `KNOWN` most frequent words in memory, and more if more have vectors (a bound, not
 a cut: counts of all other words are joined exactly) and normalises each distinct context of a batch once.
@@ -26,8 +31,8 @@ alone.
 
 from __future__ import annotations
 
-import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,16 +43,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import materialise
 
-FREQUENT, SUFFIXES = 448, 63  # classes of single tokens, and of suffixes besides the one for the rest
+FREQUENT, SUFFIXES = 192, 63  # classes of single tokens, and of suffixes besides the one for the rest
 LEAST, ROOT_PART = 8, 64  # occurrences of a word with vectors: at least LEAST and sqrt(tokens) / ROOT_PART
+MOST_VECTORS = 1 << 19  # words with vectors; with both vectors 138 MB
+SPLIT = 256  # words with vectors in a class before it is split, or the root of their number
+TRAINER_ROOT = 700  # trainers: one for each so many of the root of the tokens
 KNOWN = 131_072  # words whose counts every task knows
 KNOWN_BYTES = 32  # longer words are joined
-WIDTH, NOISE, BATCH, RATE = 32, 24, 8192, 0.08
+WIDTH, NOISE, WORD_NOISE, BATCH, RATE = 32, 24, 64, 8192, 0.08
 ROUNDS = ((0, 1), (1, 4), (4, 10))  # tenths of the training documents
 END = b""  # no word is empty
 _COUNTER = 500_000  # entries a task counts before it hands them on
 _TOKENS = 200_000  # tokens handled at a time
-_BLOCK = 1024  # rows of words and nodes sent together
+_BLOCK = 1024  # rows of contexts and leaves sent together
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -81,52 +89,28 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Tree:
-    """A Huffman tree for each suffix class.
+class Inside:
+    """The targets inside the classes that are not single tokens.
 
-    Leaves are the words with vectors by rank, then one of each class for its other words.
+    A leaf is a word with vectors, by rank, or one of each class for its other words. Leaves of a
+    class have neighbouring places.
     """
 
-    starts: np.ndarray  # of the path of each leaf, and the end
-    nodes: np.ndarray
-    right: np.ndarray
-    bias: np.ndarray  # log odds of the right side
+    place: np.ndarray  # of each leaf
+    cls: np.ndarray  # class of each leaf, from the first class that is no single token
+    starts: np.ndarray  # first place of each class, and the end
+    share: np.ndarray  # of each place in all leaves
 
     @staticmethod
-    def of(classes: list[int], mass: list[float], rest: list[float]) -> Tree:
+    def of(classes: np.ndarray, mass: np.ndarray, rest: np.ndarray) -> Inside:
         """`classes` and `mass` of the words, `rest` of the other words of each class."""
-        n = len(classes)
-        heaps = [[(m, n + c)] for c, m in enumerate(rest)]
-        for i, (c, m) in enumerate(zip(classes, mass)):
-            heaps[c].append((m, i))
-        up: dict[int, tuple[int, int]] = {}
-        bias: list[float] = []
-        first = n + len(rest)  # number of the first inner node
-        for heap in heaps:
-            heapq.heapify(heap)
-            while len(heap) > 1:
-                a, b = heapq.heappop(heap), heapq.heappop(heap)
-                up[a[1]], up[b[1]] = (len(bias), 0), (len(bias), 1)
-                heapq.heappush(heap, (a[0] + b[0], first + len(bias)))
-                bias.append(math.log(b[0] / a[0]))
-        starts, nodes, right = [0], [], []
-        for leaf in range(first):
-            at = leaf
-            while at in up:
-                node, side = up[at]
-                nodes.append(node)
-                right.append(side)
-                at = first + node
-            starts.append(len(nodes))
-        return Tree(np.array(starts), np.array(nodes, np.int32), np.array(right, np.int8), np.array(bias, np.float32))
-
-    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position in `leaves`, node, side) of each step, and where each leaf's steps start."""
-        sizes = self.starts[leaves + 1] - self.starts[leaves]
-        begins = np.cumsum(sizes) - sizes
-        where = np.repeat(np.arange(len(leaves)), sizes)
-        at = np.arange(len(where)) + np.repeat(self.starts[leaves] - begins, sizes)
-        return where, self.nodes[at], self.right[at], begins
+        cls = np.concatenate((classes, np.arange(len(rest)))).astype(np.int64)
+        order = np.argsort(cls, kind="stable")
+        place = np.empty(len(cls), np.int64)
+        place[order] = np.arange(len(cls))
+        starts = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(rest)))))
+        whole = np.concatenate((mass, rest))[order]
+        return Inside(place, cls, starts, whole / whole.sum())
 
 
 @dataclass
@@ -135,12 +119,13 @@ class Vocabulary:
 
     words: list[bytes]
     counts: np.ndarray
-    suffixes: dict[bytes, int]
+    suffixes: dict[bytes, tuple[int, int, int]]  # class, first of its further parts, number of parts
     totals: np.ndarray  # sum of (count + 0.1) by class, with the unseen word of each suffix class
     tokens: int
     distinct: int
     own: int = 0  # words beyond the FREQUENT that have vectors
-    tree: Tree | None = None
+    other: tuple[int, int, int] = (FREQUENT + SUFFIXES, 0, 1)  # the class of all other suffixes
+    inside: Inside | None = None
     rest: np.ndarray | None = None  # sum of (count + 0.1) of the other words of each suffix class
     index: dict[bytes, int] = field(default_factory=dict, repr=False)
     classes: np.ndarray | None = field(default=None, repr=False)
@@ -150,10 +135,12 @@ class Vocabulary:
 
     @property
     def n_classes(self) -> int:
-        return FREQUENT + SUFFIXES + 1
+        return len(self.totals)
 
     def suffix(self, word: bytes) -> int:
-        return self.suffixes.get(word[-2:], FREQUENT + SUFFIXES)
+        first, further, parts = self.suffixes.get(word[-2:], self.other)
+        part = zlib.crc32(word) % parts if parts > 1 else 0
+        return further + part - 1 if part else first
 
     def prepare(self) -> None:
         if not self.index:
@@ -215,26 +202,41 @@ def _most_frequent(counts: DataFrame, needed: float = math.inf) -> pd.DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """At most KNOWN words, or those with vectors, and SUFFIXES suffixes reach the driver."""
+    """At most KNOWN words, or those with vectors, SUFFIXES suffixes and the classes' masses reach the driver."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     needed = max(LEAST, math.sqrt(whole.n) / ROOT_PART)
     top = _most_frequent(counts, needed)
     words = [bytes(w) for w in top["word"]]
+    own = max(0, min(MOST_VECTORS, 1 + int((top["n"].to_numpy()[1:] >= needed).sum())) - FREQUENT)
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words[:FREQUENT]], "word binary")), "word", "left_anti")
-    ends = rare.groupBy(F.substring("word", -2, 2).alias("suffix")).agg(F.sum(F.col("n") + 0.1).alias("mass"))
-    best = ends.orderBy(F.desc("mass"), "suffix").limit(SUFFIXES).toPandas()
-    suffixes = {bytes(s): FREQUENT + i for i, s in enumerate(best["suffix"])}
-    totals = np.full(FREQUENT + SUFFIXES + 1, 0.1)
+    ending, mass = F.substring("word", -2, 2), F.sum(F.col("n") + 0.1).alias("mass")
+    best = rare.groupBy(ending.alias("suffix")).agg(mass).orderBy(F.desc("mass"), "suffix").limit(SUFFIXES).collect()
+    suffixes = {bytes(r.suffix): FREQUENT + i for i, r in enumerate(best)}
+    other = FREQUENT + SUFFIXES
+    of = np.array([suffixes.get(w[-2:], other) for w in words[FREQUENT : FREQUENT + own]], np.int64)
+    parts = -(-np.bincount(of, minlength=other + 1) // max(SPLIT, math.isqrt(own)))
+    layout, further = {}, other + 1
+    for first in range(FREQUENT, other + 1):
+        n = max(1, int(parts[first]))
+        layout[first] = first, further, n
+        further += n - 1
+    totals = np.full(further, 0.1)
     single = top["n"].to_numpy(np.float64)[:FREQUENT] + 0.1
     totals[: len(single)] = single
-    totals[FREQUENT : FREQUENT + len(best)] += best["mass"].to_numpy(np.float64)
-    totals[-1] = max(0.1, whole.n + 0.1 * whole.v - single.sum() - best["mass"].sum() + 0.1)
-    found = Vocabulary(words, top["n"].to_numpy(np.int64), suffixes, totals, int(whole.n), int(whole.v))
-    found.own = max(0, 1 + int((found.counts[1:] >= needed).sum()) - FREQUENT)
-    classes = [found.suffix(w) - FREQUENT for w in words[FREQUENT : FREQUENT + found.own]]
-    mass = found.counts[FREQUENT : FREQUENT + found.own] + 0.1
-    found.rest = np.maximum(0.1, totals[FREQUENT:] - np.bincount(classes, mass, SUFFIXES + 1))
-    found.tree = Tree.of(classes, mass.tolist(), found.rest.tolist())
+    # The mass of every class, split ones by the same checksum that `Vocabulary.suffix` takes.
+    named = F.create_map(*(F.lit(v) for s, first in suffixes.items() for v in (s, first))) if suffixes else None
+    first = F.coalesce(named[ending], F.lit(other)) if suffixes else F.lit(other)
+    pieces = F.create_map(*(F.lit(v) for first, (_, _, n) in layout.items() for v in (first, n)))
+    held = rare.select("n", first.alias("first"), F.crc32("word").alias("h"))
+    for r in held.groupBy("first", F.pmod("h", pieces[F.col("first")]).alias("part")).agg(mass).collect():
+        cls = layout[r.first][1] + r.part - 1 if r.part else r.first
+        totals[cls] += r.mass
+    found = Vocabulary(words, top["n"].to_numpy(np.int64), {s: layout[f] for s, f in suffixes.items()}, totals, int(whole.n), int(whole.v))
+    found.own, found.other = own, layout[other]
+    classes = np.array([found.suffix(w) for w in words[FREQUENT : FREQUENT + own]], np.int64) - FREQUENT
+    mine = found.counts[FREQUENT : FREQUENT + own] + 0.1
+    found.rest = np.maximum(0.1, totals[FREQUENT:] - np.bincount(classes, mine, len(totals) - FREQUENT))
+    found.inside = Inside.of(classes, mine, found.rest)
     return found
 
 
@@ -242,7 +244,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 class LogBilinear:
     """Context vectors, a map for each context position, class vectors and biases.
 
-    `rows` has the vectors of words as contexts, then vectors and biases (last column) of inner nodes.
+    `rows` has the vectors of words as contexts, then vectors and biases (last column) of the leaves by place.
     """
 
     context: np.ndarray
@@ -260,11 +262,11 @@ class LogBilinear:
         small = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
         eye = np.eye(WIDTH, dtype=np.float32)
         bias = np.log(vocabulary.totals / vocabulary.totals.sum()).astype(np.float32)
-        nodes = vocabulary.tree.bias if vocabulary.tree else np.empty(0, np.float32)
-        rows = np.zeros((vocabulary.own + len(nodes), WIDTH + 1), np.float32)
-        rows[vocabulary.own :, WIDTH] = nodes
+        share = vocabulary.inside.share if vocabulary.inside else np.empty(0)
+        rows = np.zeros((vocabulary.own + len(share), WIDTH + 1), np.float32)
+        rows[vocabulary.own :, WIDTH] = np.log(share)
         context, target = small(n + 1, WIDTH), small(n, WIDTH)
-        rows[: vocabulary.own, :WIDTH] = small(vocabulary.own, WIDTH)  # nodes start at zero, so words must differ
+        rows[: vocabulary.own, :WIDTH] = small(vocabulary.own, WIDTH)  # leaves start at zero, so contexts must differ
         return LogBilinear(context, eye.copy(), eye * 0.5, target, bias, rows, vocabulary.own)
 
     def parts(self) -> list[np.ndarray]:
@@ -293,12 +295,38 @@ class LogBilinear:
         scores -= scores.max(axis=1, keepdims=True)
         return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
-    def log_leaves(self, r: np.ndarray, leaves: np.ndarray, tree: Tree) -> np.ndarray:
+    def log_leaves(self, r: np.ndarray, leaves: np.ndarray, inside: Inside) -> np.ndarray:
         """log p of each leaf inside its class after the context vector beside it."""
-        where, nodes, right, _ = tree.paths(leaves)
-        row = self.rows[self.own + nodes]
-        z = np.einsum("ij,ij->i", r[where], row[:, :WIDTH]) + row[:, WIDTH]
-        return np.bincount(where, -np.logaddexp(0, np.where(right == 1, -z, z)), len(leaves))
+        out = np.empty(len(leaves))
+        cls = inside.cls[leaves]
+        order = np.argsort(cls, kind="stable")
+        cuts = np.flatnonzero(np.diff(cls[order])) + 1
+        for at in np.split(order, cuts) if len(order) else []:
+            a, b = inside.starts[cls[at[0]]], inside.starts[cls[at[0]] + 1]
+            row = self.rows[self.own + a : self.own + b]
+            for i in range(0, len(at), 4096):
+                some = at[i : i + 4096]
+                z = r[some] @ row[:, :WIDTH].T
+                z += row[:, WIDTH]
+                mine = z[np.arange(len(some)), inside.place[leaves[some]] - a]
+                top = z.max(axis=1)
+                z -= top[:, None]
+                out[some] = mine - top - np.log(np.exp(z, out=z).sum(axis=1))
+        return out
+
+    def log_of(self, r: np.ndarray, cls: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """log p of the classes `cls` after the context vectors r[where]; `where` is in order."""
+        out = np.empty(len(cls))
+        for first in range(0, len(r), 4096):
+            z = r[first : first + 4096] @ self.target.T
+            z += self.bias
+            a, b = np.searchsorted(where, (first, first + len(z)))
+            mine = z[where[a:b] - first, cls[a:b]]
+            top = z.max(axis=1)
+            z -= top[:, None]
+            whole = top + np.log(np.exp(z, out=z).sum(axis=1))
+            out[a:b] = mine - whole[where[a:b] - first]
+        return out
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log p of every class after each context (class just before, class before that)."""
@@ -316,19 +344,22 @@ def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive steps with one noise sample for a whole batch, scaled by AdaGrad."""
+    """Noise-contrastive steps with one sample of classes and one of words for a whole batch, scaled by AdaGrad."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, tree: Tree | None = None) -> None:
+    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, inside: Inside | None = None) -> None:
         self.m, self.noise = model.like(model.flat()), noise
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.draw = np.random.default_rng(seed)
         self.heat = [np.full(p.shape, 1e-3, np.float32) for p in self.m.parts()]
-        self.tree = tree
+        self.inside = inside
+        if inside is not None:
+            self.reach = np.cumsum(inside.share)
+            self.log_words = np.log(WORD_NOISE * inside.share).astype(np.float32)
         self.warm = np.ones(self.m.rows.shape, np.float32)
         self.used = np.zeros(len(self.m.rows), np.float32)
 
     def _rows_step(self, at: np.ndarray, slopes: np.ndarray) -> None:
-        """AdaGrad on the rows of words and nodes that a batch uses."""
+        """AdaGrad on the rows of contexts and leaves that a batch uses."""
         order = np.argsort(at, kind="stable")
         ordered = at[order]
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -355,15 +386,18 @@ class Trainer:
         d_bias = np.bincount(word, up, n_classes) + np.bincount(fake, down.sum(axis=0), n_classes)
         used, slopes = [], []
         if leaves is not None:
-            deep = np.flatnonzero((leaves >= 0) & (self.tree.starts[leaves + 1] > self.tree.starts[leaves]))
+            deep = np.flatnonzero(leaves >= 0)
             if len(deep):
-                where, nodes, right, begins = self.tree.paths(leaves[deep])
-                row, mine = m.rows[m.own + nodes], r[deep[where]]
-                z = np.einsum("ij,ij->i", mine, row[:, :WIDTH]) + row[:, WIDTH]
-                miss = (right - 1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)[:, None]
-                d_r[deep] += np.add.reduceat(miss * row[:, :WIDTH], begins, axis=0)
-                used.append(m.own + nodes)
-                slopes.append(np.hstack([miss * mine, miss]))
+                mine, place = r[deep], self.inside.place[leaves[deep]]
+                drawn = np.searchsorted(self.reach, self.draw.random(WORD_NOISE) * self.reach[-1], "right")
+                row, noise = m.rows[m.own + place], m.rows[m.own + drawn]
+                z = np.einsum("ij,ij->i", mine, row[:, :WIDTH]) + row[:, WIDTH] - self.log_words[place]
+                z_noise = mine @ noise[:, :WIDTH].T + (noise[:, WIDTH] - self.log_words[drawn])
+                up = (1 / (1 + np.exp(np.clip(z, -30, 30))))[:, None]
+                down = -1 / (1 + np.exp(-np.clip(z_noise, -30, 30)))
+                d_r[deep] += up * row[:, :WIDTH] + down @ noise[:, :WIDTH]
+                used += [m.own + place, m.own + drawn]
+                slopes += [np.hstack([up * mine, up]), np.hstack([down.T @ mine, down.sum(axis=0)[:, None]])]
         d_one, d_two = (_add_rows(n_classes + 1, at, d_r) for at in (one, two))
         d_context = d_one @ m.near.T + d_two @ m.far.T
         plans = [m.context.T @ d_one, m.context.T @ d_two]
@@ -411,7 +445,7 @@ def _train(shared):
 
         words, model = shared.value
         words.prepare()
-        trainer = Trainer(model, words.totals / words.totals.sum(), TaskContext.get().partitionId(), words.tree)
+        trainer = Trainer(model, words.totals / words.totals.sum(), TaskContext.get().partitionId(), words.inside)
         seen = 0
         for starts, tokens in _loads(text for batch in batches for text in batch["text"]):
             known, cls = words.look_up(tokens)
@@ -466,10 +500,12 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, words: Vocabulary, key: str = "doc_id") -> LogBilinear:
     """Rounds of parallel steps; one sum of each parameter reaches the driver in a round."""
     model = LogBilinear.start(words)
-    part = F.pmod(F.xxhash64(key, "text"), F.lit(10))
+    dealt = docs.select("text", F.xxhash64(key, "text").alias("h"))
+    part = F.pmod("h", F.lit(10))
+    trainers = max(1, round(math.sqrt(words.tokens) / TRAINER_ROOT))
     for low, high in ROUNDS:
         shared = docs.sparkSession.sparkContext.broadcast((words, model))
-        mine = docs.filter((part >= low) & (part < high)).select("text")
+        mine = dealt.filter((part >= low) & (part < high)).repartition(trainers, "h").sortWithinPartitions("h").select("text")
         sums = mine.mapInPandas(_train(shared), _SENT).repartition(16, "block").mapInPandas(_add, _SENT).collect()
         whole = [row for row in sums if row.block < 0]
         if whole:
@@ -498,20 +534,13 @@ def _score(shared):
                 leaves = words.leaves(at, cls)
                 one, two = words.contexts(cls, leaves, np.array(starts))
                 pairs, where = np.unique(one * n_contexts + two, return_inverse=True)
-                logs = np.empty(len(cls))
+                (a_one, a_own), (b_one, b_own) = words.parted(pairs // n_contexts), words.parted(pairs % n_contexts)
+                r = model.vectors(a_one, b_one, a_own, b_own)
                 order = np.argsort(where, kind="stable")
-                ordered = where[order]
-                for first in range(0, len(pairs), 8192):
-                    some = pairs[first : first + 8192]
-                    (a_one, a_own), (b_one, b_own) = words.parted(some // n_contexts), words.parted(some % n_contexts)
-                    r = model.vectors(a_one, b_one, a_own, b_own)
-                    table = model.log_classes(r)
-                    a, b = np.searchsorted(ordered, (first, first + len(some)))
-                    logs[order[a:b]] = table[ordered[a:b] - first, cls[order[a:b]]]
-                    deep = a + np.flatnonzero(leaves[order[a:b]] >= 0)
-                    for i in range(0, len(deep), BATCH):
-                        mine = deep[i : i + BATCH]
-                        logs[order[mine]] += model.log_leaves(r[ordered[mine] - first], leaves[order[mine]], words.tree)
+                logs = np.empty(len(cls))
+                logs[order] = model.log_of(r, cls[order], where[order])
+                deep = np.flatnonzero(leaves >= 0)
+                logs[deep] += model.log_leaves(r[where[deep]], leaves[deep], words.inside)
                 known = at >= 0
                 counted = np.where(known, log_count[at], 0)
                 logs = logs / math.log(10) + np.where(leaves >= words.own, counted - log_rest[np.maximum(cls - FREQUENT, 0)], 0)

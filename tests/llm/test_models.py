@@ -318,7 +318,7 @@ def test_words_beyond_the_frequent_are_learned(spark):
     opening = np.full(40, words.n_classes)
     right = np.array([at[f"v{i}cd".encode()] - language_model.FREQUENT for i in range(40)])
     target = np.full(40, words.suffix(b"cd"))
-    trainer = language_model.Trainer(language_model.LogBilinear.start(words), words.totals / words.totals.sum(), 1, words.tree)
+    trainer = language_model.Trainer(language_model.LogBilinear.start(words), words.totals / words.totals.sum(), 1, words.inside)
     for _ in range(200):
         trainer.step(cls, opening, target, own, np.full(40, -1), right)
     model = trainer.m
@@ -326,9 +326,9 @@ def test_words_beyond_the_frequent_are_learned(spark):
     inside = np.zeros(language_model.SUFFIXES + 1)
     leaves = np.arange(words.own + language_model.SUFFIXES + 1)
     of = np.concatenate([words.classes[language_model.FREQUENT : language_model.FREQUENT + words.own] - language_model.FREQUENT, np.arange(len(inside))])
-    np.add.at(inside, of, np.exp(model.log_leaves(np.repeat(r[:1], len(leaves), axis=0), leaves, words.tree)))
+    np.add.at(inside, of, np.exp(model.log_leaves(np.repeat(r[:1], len(leaves), axis=0), leaves, words.inside)))
     assert np.allclose(inside, 1, atol=1e-4)  # every class is shared out whole
-    better = model.log_leaves(r, right, words.tree) - model.log_leaves(r, np.roll(right, 1), words.tree)
+    better = model.log_leaves(r, right, words.inside) - model.log_leaves(r, np.roll(right, 1), words.inside)
     assert (better > 0).mean() > 0.9  # one suffix, equal counts: told apart by their own vectors
     trained = language_model.train(docs, words)
     assert np.isfinite(trained.rows).all() and (trained.rows[own] != language_model.LogBilinear.start(words).rows[own]).any(axis=1).all()
