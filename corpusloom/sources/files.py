@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS
+from .versions import Entry, commit_version, fresh_folder, read_version
 
 # --- fixed values: wording of a repository digest ----------------------------------------
 DIGEST_TITLE = "# Repository Documentation\n\n**Source:** "
@@ -137,19 +138,64 @@ def _with_source(name: str, tables: dict[str, DataFrame]) -> DataFrame:
     return df.join(owners, key, "left")
 
 
-def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Write index tables below `path`.
+def write_index(tables: dict[str, DataFrame], path: str, sources: DataFrame | None = None) -> int:
+    """Write index tables below `path` as one batch and return the new version.
 
-    Every table is partitioned by source and only the partitions present in the frame are
-    replaced, so an import of some sources leaves all rows of the others alone, their embeddings and
-    logs included; these get the source of their chunk or job. Rows are clustered by source before
-    the write to avoid many small files; AQE splits a large source over several tasks.
+    The batch replaces the rows of its sources in the tables it brings: of `sources` (source_id), or
+    else of all sources that occur in its frames. A source of the batch without rows in a table
+    loses its rows there; all rows of other sources stay, their embeddings and logs included, which get the
+    source of their chunk or job. Every table goes to a folder of its own, partitioned by source; the
+    version that names the folders comes last, so readers see the whole batch or nothing of it. Rows
+    are clustered by source before the write to avoid many small files; AQE splits a large source.
     """
-    for name in tables:
-        clustered = _with_source(name, tables).hint("rebalance", "source_id")
-        writer = clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("source_id").parquet(f"{path}/{name}")
-
-
-def read_index(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    spark = next(iter(tables.values())).sparkSession
+    number, entries = read_version(spark, path)
+    owned = {name: _with_source(name, tables) for name in tables}
+    written = []
+    for name, df in owned.items():
+        folder = fresh_folder(name)
+        df.hint("rebalance", "source_id").write.partitionBy("source_id").parquet(f"{path}/{folder}")
+        written.append((name, folder, df.schema))
+    covers = fresh_folder("sources")
+    if sources is None:
+        stored = [spark.read.schema(schema).parquet(f"{path}/{folder}").select("source_id") for _, folder, schema in written]
+        sources = reduce(DataFrame.unionByName, stored)
+    sources.select(F.col("source_id").cast("string").alias("source_id")).distinct().write.parquet(f"{path}/{covers}")
+    entries += [Entry(n, f, {"order": number + 1, "covers": covers, "schema": schema.jsonValue()}) for n, f, schema in written]
+    commit_version(spark, path, number + 1, entries)
+    return number + 1
+
+
+def _current(spark: SparkSession, path: str, batches: list[Entry]) -> DataFrame:
+    """The rows of a table: of each batch those whose source no later batch has replaced."""
+    parts, later = [], None
+    for batch in sorted(batches, key=lambda e: -e.info["order"]):
+        rows = spark.read.schema(T.StructType.fromJson(batch.info["schema"])).parquet(f"{path}/{batch.path}")
+        parts.append(rows if later is None else rows.join(later, "source_id", "left_anti").select(*rows.columns))
+        covered = spark.read.schema("source_id STRING").parquet(f"{path}/{batch.info['covers']}")
+        later = covered if later is None else later.unionByName(covered)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_index(spark: SparkSession, path: str, *names: str, version: int | None = None) -> dict[str, DataFrame]:
+    """Tables of the newest version of an index, or of an older one; they all belong to the same version."""
+    _, entries = read_version(spark, path, version)
+    found = {name: [e for e in entries if e.name == name] for name in names}
+    if missing := [name for name, batches in found.items() if not batches]:
+        raise ValueError(f"no table {', '.join(missing)} in {path}")
+    return {name: _current(spark, path, batches) for name, batches in found.items()}
+
+
+def merge_index(spark: SparkSession, path: str) -> int:
+    """One folder for each table in place of one for each batch; older versions stay readable."""
+    number, entries = read_version(spark, path)
+    names = sorted({e.name for e in entries})
+    merged = []
+    everything = fresh_folder("sources")
+    for name, df in read_index(spark, path, *names).items():
+        folder = fresh_folder(name)
+        df.hint("rebalance", "source_id").write.partitionBy("source_id").parquet(f"{path}/{folder}")
+        merged.append(Entry(name, folder, {"order": number + 1, "covers": everything, "schema": df.schema.jsonValue()}))
+    spark.createDataFrame([], "source_id STRING").write.parquet(f"{path}/{everything}")  # nothing is older
+    commit_version(spark, path, number + 1, merged)
+    return number + 1

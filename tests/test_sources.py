@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans import text_plans
 from corpusloom.sources.registry import docs_of_kind, source_kinds
-from corpusloom.sources.files import read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
+from corpusloom.sources import files as index_files
+from corpusloom.sources.files import merge_index, read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
 from corpusloom.sources.listings import (
     discover_sources,
     llms_full_to_docs,
@@ -205,3 +206,55 @@ def test_index_round_trip_keeps_other_sources(spark, tmp_path):
     assert sorted(r.id for r in found["sources"].collect()) == ["s", "t"]
     with pytest.raises(ValueError):
         write_index({"embeddings": tables(("s", "c"))["embeddings"]}, path)
+
+
+def small_tables(spark, *rows, schema="source_id STRING, url STRING"):
+    docs = spark.createDataFrame(list(rows), schema)
+    return {"docs": docs, "chunks": docs.selectExpr("url AS id", "source_id"), "embeddings": docs.selectExpr("url AS chunk_id", "'m' AS model")}
+
+
+def shown(spark, path, version=None):
+    found = read_index(spark, path, "docs", "chunks", "embeddings", version=version)
+    return {name: sorted(r[c] for r in df.collect()) for (name, df), c in zip(found.items(), ("url", "id", "chunk_id"))}
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/index"
+    write_index(small_tables(spark, ("1", "a"), ("1", "b"), ("2", "c")), path)
+    before = shown(spark, path)
+    broken = small_tables(spark, ("1", "x"))
+    broken["embeddings"] = broken["embeddings"].selectExpr("chunk_id", "raise_error('lost') AS model")
+    with pytest.raises(Exception, match="lost"):  # docs and chunks were written, embeddings were not
+        write_index(broken, path)
+    assert shown(spark, path) == before
+
+    def fail(*_):
+        raise OSError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(index_files, "commit_version", fail)
+        with pytest.raises(OSError):
+            write_index(small_tables(spark, ("1", "x")), path)
+    assert shown(spark, path) == before
+    write_index(small_tables(spark, ("1", "x")), path)
+    assert shown(spark, path) == {name: ["c", "x"] for name in before}
+    assert shown(spark, path, version=1) == before  # a reader that holds the older version
+
+
+def test_sources_that_are_empty_now_vanish(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    write_index(small_tables(spark, ("1", "a"), ("2", "b"), ("3", "c")), path)
+    covered = spark.createDataFrame([("1",), ("2",)], "source_id STRING")
+    write_index(small_tables(spark, ("1", "d")), path, covered)
+    assert shown(spark, path)["chunks"] == ["c", "d"] and shown(spark, path)["embeddings"] == ["c", "d"]
+    nothing = {name: df.limit(0) for name, df in small_tables(spark, ("1", "a")).items()}
+    write_index(nothing, path, covered)
+    assert shown(spark, path)["docs"] == ["c"]
+    write_index({"docs": small_tables(spark, ("3", "z"))["docs"]}, path)  # other tables are left alone
+    assert shown(spark, path) == {"docs": ["z"], "chunks": ["c"], "embeddings": ["c"]}
+    version = merge_index(spark, path)
+    assert shown(spark, path) == {"docs": ["z"], "chunks": ["c"], "embeddings": ["c"]} and version == 5
+    write_index(small_tables(spark, ("3", "y"), ("4", "v")), path)
+    assert shown(spark, path)["docs"] == ["v", "y"]
+    with pytest.raises(ValueError, match="jobs"):
+        read_index(spark, path, "jobs")
