@@ -23,7 +23,7 @@ from ..settings import (
     materialise,
     scratch_path,
 )
-from .running import running
+from .running import numbered, running
 
 
 def canonicalize(pages: DataFrame) -> DataFrame:
@@ -120,26 +120,19 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add `allowed` to urls (…, url): the longest matching prefix decides, disallow wins ties.
 
-    The rules of an origin are folded into one row each (one robots.txt), so the join is on the
-    origin alone, keeps one row per url and needs no cross product.
+    A path is cut to the lengths that rules of its origin have; the prefixes are then joined with the
+    rules by value, so a url meets only rules that match it, however many its origin has.
     """
-    folded = (
-        rules.filter(F.col("kind").isin("allow", "disallow"))
-        .groupBy("origin")
-        .agg(
-            F.collect_set(F.when(F.col("kind") == "allow", F.col("value"))).alias("_allow"),
-            F.collect_set(F.when(F.col("kind") == "disallow", F.col("value"))).alias("_deny"),
-        )
-    )
-
-    def longest(prefixes: str) -> Column:
-        hits = F.filter(prefixes, lambda p: F.startswith(F.col("_path"), p))
-        return F.coalesce(F.array_max(F.transform(hits, F.length)), F.lit(0))
-
+    kinds = rules.filter(F.col("kind").isin("allow", "disallow")).select("origin", F.col("value").alias("_prefix"), (F.col("kind") == "disallow").alias("_deny"))
+    named = kinds.groupBy("origin", "_prefix").agg(F.max("_deny").alias("_deny"))
+    lengths = named.groupBy("origin").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # as many as the longest rule has characters
     located = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("_path", url_path(F.col("url")))
-    joined = located.join(folded, "origin", "left")
-    allowed = (longest("_deny") == 0) | (longest("_allow") > longest("_deny"))
-    return joined.withColumn("allowed", allowed).drop("_path", "_allow", "_deny", "origin")
+    paths = located.select("origin", "_path").distinct().join(lengths, "origin")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    cut = array_rows(paths, ["origin", "_path"], fitting, "_n").withColumn("_prefix", F.expr("substring(_path, 1, _n)"))
+    best = cut.join(named, ["origin", "_prefix"]).groupBy("origin", "_path").agg(F.max_by("_deny", "_n").alias("_deny"))
+    judged = located.join(best, ["origin", "_path"], "left")
+    return judged.withColumn("allowed", ~F.coalesce("_deny", F.lit(False))).drop("_path", "_deny", "origin")
 
 
 def sitemap_locs(maps: DataFrame) -> DataFrame:
@@ -223,6 +216,99 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = MAX_DE
     return visited
 
 
+def crawl_plan(
+    links: DataFrame,
+    pages: DataFrame,
+    seeds: DataFrame,
+    rules: DataFrame | None = None,
+    max_depth: int = MAX_DEPTH,
+    max_pages: int = MAX_PAGES,
+    max_chunks: int | None = None,
+    max_bytes: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The pages a crawl of each source visits, in the order of its queue, and why it stopped.
+
+    links (src, dst, link_pos), pages (url, chunk_count, byte_count), seeds (source_id, url, depth,
+    seq), rules as `robots_rules` gives them ->
+    (source_id, url, depth, pos, chunk_count, byte_count), (source_id, stop_reason, visited, chunks, bytes).
+
+    The queue is first in, first out: a level holds the seeds of its depth, by `seq`, then the links of
+    the level before by the place of their page and their place on it; the first mention of a url counts.
+    Robots rules are tested on what a level reaches, and budgets act inside the walk: pages beyond
+    `max_pages` are not visited, and a page that reaches a chunk or byte cap is the last one. Links are
+    followed only from pages that have chunks; a url without a page is a failed visit and takes its place
+    in the budget. Places come from ranges of the order, so no source is ordered in one task, and each
+    level is written to the shared folder.
+    """
+    spark = links.sparkSession
+    stored = materialise(links.select("src", "dst", "link_pos").filter("src <> dst"), "links")
+    known = materialise(pages.groupBy("url").agg(F.max("chunk_count").alias("chunk_count"), F.max("byte_count").alias("byte_count")), "pages")
+    begun = materialise(seeds.select("source_id", "url", F.col("depth").cast("int").alias("depth"), F.col("seq").cast("long").alias("seq")), "seeds")
+    empty = "source_id STRING, url STRING, depth INT, pos LONG, chunk_count LONG, byte_count LONG"
+    seen = frontier = spark.createDataFrame([], empty)
+    state = materialise(
+        begun.select("source_id").distinct().select(
+            "source_id", F.lit(None).cast("string").alias("stop_reason"), *(F.lit(0).cast("long").alias(c) for c in ("visited", "chunks", "bytes"))
+        ),
+        "crawls",
+    )
+    last = begun.agg(F.max("depth").alias("d")).first().d
+    for depth in range(max_depth + 1):
+        first = begun.filter(F.col("depth") == depth).select("source_id", "url", F.lit(-1).cast("long").alias("_page"), F.col("seq").alias("_link"))
+        reached = frontier.join(stored, F.col("url") == F.col("src")).select(
+            "source_id", F.col("dst").alias("url"), F.col("pos").alias("_page"), F.col("link_pos").cast("long").alias("_link")
+        )
+        if rules is not None:
+            reached = robots_filter(reached, rules).filter("allowed").drop("allowed")
+        named = first.unionByName(reached).groupBy("source_id", "url").agg(F.min(F.struct("_page", "_link")).alias("_at"))
+        fresh = named.join(seen.select("source_id", "url"), ["source_id", "url"], "left_anti")
+        fresh = fresh.join(state.filter("stop_reason IS NULL").select("source_id"), "source_id")
+        placed = numbered(fresh.select("source_id", "url", "_at._page", "_at._link"), "source_id", ["_page", "_link", "url"], "_nth")
+        before = state.select("source_id", *(F.col(c).alias(f"_{c}") for c in ("visited", "chunks", "bytes")))
+        level = placed.join(known, "url", "left").join(before, "source_id").select(
+            "source_id", "url", F.lit(depth).alias("depth"), (F.col("_visited") + F.col("_nth")).alias("pos"),
+            F.col("chunk_count").cast("long").alias("chunk_count"), F.col("byte_count").cast("long").alias("byte_count"), "_chunks", "_bytes",
+        )
+        sized = {
+            f"_sum_{c}": ("sum", F.when(F.col("chunk_count") > 0, F.col(f"{c}_count")).otherwise(0)) for c in ("chunk", "byte")
+        }
+        totals = running(level, "source_id", "pos", sized)
+        totals = materialise(
+            totals.withColumn("_sum_chunk", F.col("_sum_chunk") + F.col("_chunks")).withColumn("_sum_byte", F.col("_sum_byte") + F.col("_bytes")), "level"
+        )
+
+        def crossing(total: str, cap: int | None) -> Column:
+            if cap is None:
+                return F.lit(None).cast("long")
+            return F.min(F.when((F.col("chunk_count") > 0) & (F.col(total) >= cap), F.col("pos")))
+
+        never = F.lit(2**62)
+        cuts = totals.groupBy("source_id").agg(
+            F.coalesce(crossing("_sum_chunk", max_chunks), never).alias("_c"), F.coalesce(crossing("_sum_byte", max_bytes), never).alias("_b"),
+            F.when(F.max("pos") > max_pages, F.lit(max_pages)).otherwise(never).alias("_p"),
+        )
+        cut = F.least("_c", "_b", "_p")
+        reason = F.when(F.col("_c") == cut, "maxChunks").when(F.col("_b") == cut, "maxBytes").otherwise("maxPages")
+        cuts = materialise(cuts.select("source_id", cut.alias("_cut"), F.when(cut < never, reason).alias("_reason")), "cuts")
+        visited = materialise(totals.join(cuts, "source_id").filter(F.col("pos") <= F.col("_cut")).drop("_cut"), "visited")
+        told = visited.groupBy("source_id").agg(
+            F.max("pos").alias("_pos"), F.max("_sum_chunk").alias("_chunk"), F.max("_sum_byte").alias("_byte")
+        )
+        state = state.join(told, "source_id", "left").join(cuts.select("source_id", "_reason"), "source_id", "left")
+        state = materialise(
+            state.select(
+                "source_id", F.coalesce("stop_reason", "_reason").alias("stop_reason"), F.coalesce("_pos", "visited").alias("visited"),
+                F.coalesce("_chunk", "chunks").alias("chunks"), F.coalesce("_byte", "bytes").alias("bytes"),
+            ),
+            "crawls",
+        )
+        seen = seen.unionByName(visited.select(*seen.columns))
+        frontier = visited.filter("_reason IS NULL AND chunk_count > 0").select(*seen.columns)
+        if frontier.isEmpty() and (last is None or depth >= last):
+            break
+    return seen, state
+
+
 def apply_budget(
     pages: DataFrame,
     max_pages: int = MAX_PAGES,

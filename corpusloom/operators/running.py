@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..settings import RUNNING_BLOCK
+from ..settings import RUNNING_BLOCK, materialise
 
 _MERGE = {"sum": lambda a, b: a + b, "max": F.greatest}
 _AGG = {"sum": F.sum, "max": F.max}
@@ -49,3 +49,19 @@ def running(
     }
     helper = ["_block", *inputs.values(), *[f"_before_{name}" for name in columns]]
     return local.withColumns(merged).drop(*helper)
+
+
+def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """`df`, written once, with `name`: the place of each row from 1 in the total order of its key's rows.
+
+    Rows are dealt by ranges of the order; each range numbers its own rows, and the few counts of the
+    ranges before it are added. So no key is ordered in one task.
+    """
+    ranged = df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    stored = materialise(ranged, "numbered")
+    counts = stored.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = W.partitionBy(key, "_range").orderBy(*order)
+    placed = stored.withColumn("_in_range", F.row_number().over(within)).join(starts, [key, "_range"])
+    return placed.withColumn(name, F.col("_before") + F.col("_in_range")).drop("_range", "_in_range", "_before")

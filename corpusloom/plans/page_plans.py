@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.html import html_to_markdown, main_html, page_title
 from ..functions.text import content_hash, norm_key, strip_crawler_noise
@@ -12,6 +12,7 @@ from ..operators.crawl import (
     apply_budget,
     crawl_seeds,
     canonicalize,
+    crawl_plan,
     cut_on_failures,
     expand_sitemaps,
     extract_links,
@@ -117,6 +118,49 @@ def crawl_reach(spark, d):
     return reachable(edges.distinct(), seeds)
 
 
+def _catalogue(spark, d):
+    """Links of a shop: supplier pages list their parts and part pages their suppliers, in the order of the first sale."""
+    lines = t.table(spark, d, "lineitem")
+    part = F.concat(F.lit("https://shop.example/part/"), F.col("l_partkey").cast("string"))
+    supplier = F.concat(F.lit("https://shop.example/supplier/"), F.col("l_suppkey").cast("string"))
+    sold = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    both = F.explode(F.array(F.struct(supplier.alias("src"), part.alias("dst")), F.struct(part.alias("src"), supplier.alias("dst"))))
+    return lines.select(both.alias("e"), sold.alias("sold")).groupBy("e.src", "e.dst").agg(F.min("sold").alias("link_pos"))
+
+
+def _catalogue_pages(spark, d):
+    part = t.table(spark, d, "part").select(
+        F.concat(F.lit("https://shop.example/part/"), F.col("p_partkey").cast("string")).alias("url"),
+        (F.col("p_partkey") % 4).alias("chunk_count"), (F.col("p_size") * 10).alias("byte_count"),
+    )
+    supplier = t.table(spark, d, "supplier").select(
+        F.concat(F.lit("https://shop.example/supplier/"), F.col("s_suppkey").cast("string")).alias("url"),
+        (F.col("s_suppkey") % 3 + 1).alias("chunk_count"), F.lit(700).alias("byte_count"),
+    )
+    return part.filter(F.col("chunk_count") + F.col("byte_count") > 130).unionByName(supplier)
+
+
+CRAWL = {"max_depth": 4, "max_pages": 690, "max_chunks": 870, "max_bytes": 165_000}
+
+
+def crawl_plan_q(spark, d):
+    """A crawl for every nation: it starts at the nation's first supplier, the next two are in its sitemap."""
+    order = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    ranked = t.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", order.alias("n")).filter("n <= 3")
+    seeds = ranked.select(
+        F.col("s_nationkey").cast("string").alias("source_id"), F.concat(F.lit("https://shop.example/supplier/"), F.col("s_suppkey").cast("string")).alias("url"),
+        (F.col("n") > 1).cast("int").alias("depth"), F.col("n").alias("seq"),
+    )
+    rules = spark.createDataFrame(
+        [("https://shop.example", kind, value) for kind, value in CRAWL_RULES], "origin STRING, kind STRING, value STRING"
+    )
+    plan, stops = crawl_plan(_catalogue(spark, d), _catalogue_pages(spark, d), seeds, rules, **CRAWL)
+    return plan.join(stops, "source_id").select("source_id", "url", "depth", "pos", "chunk_count", "byte_count", "stop_reason", "visited", "chunks", "bytes")
+
+
+CRAWL_RULES = (("disallow", "/part/1"), ("allow", "/part/12"), ("disallow", "/part/129"), ("allow", "/part/129"), ("disallow", "/supplier/7"))
+
+
 def _budget_pages(spark, d):
     sets = t.doc_chunk_sets(spark, d)
     size = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c["content"]))
@@ -189,6 +233,7 @@ QUERIES = {
     "robots_rules": robots_rules_q,
     "robots_filter": robots_filter_q,
     "crawl_reach": crawl_reach,
+    "crawl_plan": crawl_plan_q,
     "crawl_budget": crawl_budget,
     "sitemap_locs": sitemap_locs_q,
     "sitemap_tree": sitemap_tree,
@@ -198,6 +243,63 @@ QUERIES = {
     "content_hash": content_hash_q,
 }
 
+
+
+def _crawl_sql():
+    """The walk of `crawl_plan`, one CTE for each step of a level."""
+    longest = lambda kind: "greatest(0, " + ", ".join(
+        f"CASE WHEN starts_with(path, '{value}') THEN {len(value)} ELSE 0 END" for k, value in CRAWL_RULES if k == kind
+    ) + ")"
+    steps = f"""
+WITH pairs AS (
+  SELECT 'https://shop.example/supplier/' || l_suppkey AS s, 'https://shop.example/part/' || l_partkey AS p, l_orderkey * 8 + l_linenumber AS sold FROM lineitem),
+edges AS MATERIALIZED (
+  SELECT src, dst, min(sold)::BIGINT AS link_pos FROM (SELECT s AS src, p AS dst, sold FROM pairs UNION ALL SELECT p, s, sold FROM pairs)
+  GROUP BY src, dst),
+allowed AS MATERIALIZED (
+  SELECT src, dst, link_pos FROM (SELECT *, dst[21:] AS path FROM edges)
+  WHERE {longest('disallow')} = 0 OR {longest('allow')} > {longest('disallow')}),
+pages_in AS (
+  SELECT 'https://shop.example/part/' || p_partkey AS url, (p_partkey % 4)::BIGINT AS chunk_count, (p_size * 10)::BIGINT AS byte_count FROM part
+  WHERE p_partkey % 4 + p_size * 10 > 130
+  UNION ALL SELECT 'https://shop.example/supplier/' || s_suppkey, (s_suppkey % 3 + 1)::BIGINT, 700::BIGINT FROM supplier),
+seeds AS (
+  SELECT s_nationkey::VARCHAR AS source_id, 'https://shop.example/supplier/' || s_suppkey AS url, (n > 1)::INTEGER AS depth, n AS seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) WHERE n <= 3),
+state0 AS (SELECT DISTINCT source_id, NULL::VARCHAR AS stop_reason, 0::BIGINT AS visited, 0::BIGINT AS chunks, 0::BIGINT AS bytes FROM seeds),
+seen0 AS (SELECT '' AS source_id, '' AS url, 0 AS depth, 0::BIGINT AS pos, 0::BIGINT AS chunk_count, 0::BIGINT AS byte_count WHERE false),
+front0 AS (SELECT * FROM seen0)"""
+    chunks, size, pages = CRAWL["max_chunks"], CRAWL["max_bytes"], CRAWL["max_pages"]
+    for i in range(CRAWL["max_depth"] + 1):
+        steps += f""",
+named{i} AS (
+  SELECT source_id, url, min({{'p': p, 'l': l}}) AS spot FROM (
+    SELECT source_id, url, -1::BIGINT AS p, seq::BIGINT AS l FROM seeds WHERE depth = {i}
+    UNION ALL SELECT f.source_id, a.dst, f.pos, a.link_pos FROM front{i} f JOIN allowed a ON a.src = f.url)
+  WHERE source_id IN (SELECT source_id FROM state{i} WHERE stop_reason IS NULL)
+    AND (source_id, url) NOT IN (SELECT (source_id, url) FROM seen{i}) GROUP BY source_id, url),
+sized{i} AS (
+  SELECT n.source_id, n.url, {i} AS depth, s.visited + row_number() OVER w AS pos, chunk_count, byte_count,
+         s.chunks + sum(CASE WHEN chunk_count > 0 THEN chunk_count ELSE 0 END) OVER w AS tc,
+         s.bytes + sum(CASE WHEN chunk_count > 0 THEN byte_count ELSE 0 END) OVER w AS tb
+  FROM named{i} n JOIN state{i} s USING (source_id) LEFT JOIN pages_in p ON p.url = n.url
+  WINDOW w AS (PARTITION BY n.source_id ORDER BY spot, n.url ROWS UNBOUNDED PRECEDING)),
+cuts{i} AS MATERIALIZED (
+  SELECT source_id, min(pos) FILTER (chunk_count > 0 AND tc >= {chunks}) AS c, min(pos) FILTER (chunk_count > 0 AND tb >= {size}) AS b,
+         CASE WHEN max(pos) > {pages} THEN {pages} END AS p FROM sized{i} GROUP BY source_id),
+visited{i} AS MATERIALIZED (
+  SELECT z.*, CASE WHEN c <= least(c, b, p) THEN 'maxChunks' WHEN b <= least(c, b, p) THEN 'maxBytes' WHEN p IS NOT NULL THEN 'maxPages' END AS reason
+  FROM sized{i} z JOIN cuts{i} USING (source_id) WHERE pos <= coalesce(least(c, b, p), pos)),
+state{i + 1} AS MATERIALIZED (
+  SELECT s.source_id, coalesce(s.stop_reason, v.reason) AS stop_reason, coalesce(v.pos, s.visited) AS visited,
+         coalesce(v.tc, s.chunks)::BIGINT AS chunks, coalesce(v.tb, s.bytes)::BIGINT AS bytes
+  FROM state{i} s LEFT JOIN (SELECT source_id, any_value(reason) AS reason, max(pos) AS pos, max(tc) AS tc, max(tb) AS tb FROM visited{i} GROUP BY source_id) v
+    USING (source_id)),
+seen{i + 1} AS MATERIALIZED (FROM seen{i} UNION ALL SELECT source_id, url, depth, pos, chunk_count, byte_count FROM visited{i}),
+front{i + 1} AS (SELECT source_id, url, depth, pos, chunk_count, byte_count FROM visited{i} WHERE reason IS NULL AND chunk_count > 0)"""
+    return f"{steps} SELECT * FROM seen{i + 1} JOIN state{i + 1} USING (source_id)"
+
+
 LINKS = f"""
 links AS (
   SELECT DISTINCT page_url, {normalized("o || h")} AS link
@@ -262,6 +364,7 @@ reach AS (
   SELECT '/supplier/' || min(s_suppkey) AS url, 0 AS depth FROM supplier
   UNION SELECT dst, depth + 1 FROM reach JOIN edges ON src = url WHERE depth < 5)
 SELECT url, min(depth) AS depth FROM reach GROUP BY url""",
+    "crawl_plan": _crawl_sql(),
     "crawl_budget": f"""{DOC_CHUNKS},
 sized AS (
   SELECT source_id, seq, count(c.k) AS chunk_count, coalesce(sum(length(content)), 0) AS byte_count

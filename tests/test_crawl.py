@@ -1,9 +1,20 @@
 import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.crawl import apply_budget, crawl_seeds, cut_on_failures, expand_sitemaps, failure_drops, reachable
-from corpusloom.operators.running import running
+from corpusloom.operators.crawl import (
+    apply_budget,
+    crawl_plan,
+    crawl_seeds,
+    cut_on_failures,
+    expand_sitemaps,
+    failure_drops,
+    reachable,
+    robots_filter,
+)
+from corpusloom.operators.running import numbered, running
 
 
 def test_reach_smallest_depth(spark):
@@ -103,3 +114,75 @@ def test_failures(spark):
     for source, oks in runs.items():
         done, wanted = brute_failures(oks)
         assert kept[source] == done and drops.get(source, {}) == wanted, source
+
+
+def plain_walk(links, pages, seeds, allowed, max_depth, max_pages, max_chunks, max_bytes):
+    """The crawl of one source with a queue, page by page."""
+    queue = [(url, depth) for url, depth in seeds if depth == 0]
+    queue += [(url, depth) for url, depth in seeds if depth == 1 and max_depth > 0]
+    queued, visited, chunks, size, reason = {u for u, _ in queue}, [], 0, 0, None
+    while queue and reason is None:
+        url, depth = queue.pop(0)
+        if len(visited) == max_pages:
+            reason = "maxPages"
+            break
+        visited.append((url, depth))
+        if url not in pages or not pages[url][0]:
+            continue
+        chunks, size = chunks + pages[url][0], size + pages[url][1]
+        if max_chunks is not None and chunks >= max_chunks:
+            reason = "maxChunks"
+        elif max_bytes is not None and size >= max_bytes:
+            reason = "maxBytes"
+        elif depth < max_depth:
+            for link in links.get(url, []):
+                if link != url and allowed(link) and link not in queued:
+                    queued.add(link)
+                    queue.append((link, depth + 1))
+    return visited, reason, chunks, size
+
+
+@pytest.mark.parametrize("caps", [(3, 1000, None, None), (2, 17, None, None), (0, 10, None, None), (3, 25, 41, 1500)])
+def test_crawl_plan_walks_like_a_queue(spark, caps):
+    rng = random.Random(sum(c or 0 for c in caps))
+    urls = [f"https://a.example/{rng.choice(('x', 'y', 'no'))}/{i}" for i in range(60)]
+    links = {u: rng.sample(urls, rng.randint(0, 5)) for u in urls}
+    pages = {u: (rng.choice((0, 1, 2, 3)), rng.randint(10, 90)) for u in urls if rng.random() < 0.9}
+    starts = {f"s{i}": [(urls[i], 0), (urls[i + 20], 1), (urls[i + 30], 1)] for i in range(4)}
+    starts["lost"] = [("https://a.example/missing", 0)]
+    link_df = spark.createDataFrame([(u, v, i) for u, vs in links.items() for i, v in enumerate(vs)], "src STRING, dst STRING, link_pos LONG")
+    page_df = spark.createDataFrame([(u, *c) for u, c in pages.items()], "url STRING, chunk_count INT, byte_count INT")
+    seed_df = spark.createDataFrame([(s, u, d, i) for s, us in starts.items() for i, (u, d) in enumerate(us)], "source_id STRING, url STRING, depth INT, seq INT")
+    rules = spark.createDataFrame([("https://a.example", "disallow", "/no")], "origin STRING, kind STRING, value STRING")
+    plan, stops = crawl_plan(link_df, page_df, seed_df, rules, *caps)
+    found = defaultdict(list)
+    for r in plan.orderBy("pos").collect():
+        found[r.source_id].append((r.url, r.depth))
+    told = {r.source_id: r for r in stops.collect()}
+    for source, begun in starts.items():
+        visited, reason, chunks, size = plain_walk(links, pages, begun, lambda u: "/no/" not in u, *caps)
+        assert found[source] == visited
+        r = told[source]
+        assert (r.stop_reason, r.visited, r.chunks, r.bytes) == (reason, len(visited), chunks, size)
+
+
+def test_ten_thousand_rules_of_one_origin(spark):
+    rng = random.Random(3)
+    paths = ["/" + "/".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(1, 7))) for _ in range(12_000)]
+    rules = {(rng.choice(("allow", "disallow")), p) for p in paths[:10_000]}
+    urls = [f"https://o.example{p}" for p in {*rng.sample(paths, 600), "/", "/zz"}]
+    rule_df = spark.createDataFrame([("https://o.example", k, v) for k, v in rules], "origin STRING, kind STRING, value STRING")
+    longest = lambda kind, path: max((len(v) for k, v in rules if k == kind and path.startswith(v)), default=0)
+    got = {r.url: r.allowed for r in robots_filter(spark.createDataFrame([(u,) for u in urls], "url STRING"), rule_df).collect()}
+    for url in urls:
+        path = url.removeprefix("https://o.example")
+        deny = longest("disallow", path)
+        assert got[url] == (deny == 0 or longest("allow", path) > deny), path
+
+
+def test_numbered(spark):
+    rows = [(k, i % 7, i) for k, n in (("a", 100), ("b", 3)) for i in range(n)]
+    got = numbered(spark.createDataFrame(rows, "k STRING, x INT, y INT").repartition(5), "k", ["x", "y"], "pos").collect()
+    for key in "ab":
+        mine = sorted((r.pos, r.x, r.y) for r in got if r.k == key)
+        assert [p for p, _, _ in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
