@@ -90,9 +90,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/corpusloom-{context.applicationId}"
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `release_scratch` removes it."""
+    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders of any file system Spark reads; missing ones are passed over."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what this session wrote below the shared folder; frames that read it are of no use afterwards."""
+    remove_paths(spark, _SCRATCH.pop(spark.sparkContext.applicationId, []))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

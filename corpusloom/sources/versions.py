@@ -14,6 +14,8 @@ from typing import Any, NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession, functions as F
 
+from ..settings import remove_paths
+
 _ENTRY = "version LONG, name STRING, path STRING, info STRING"
 
 
@@ -48,3 +50,13 @@ def commit_version(spark: SparkSession, root: str, number: int, entries: list[En
     """Make `entries` the folders of version `number`; an empty list is a version too."""
     rows = [(number, e.name, e.path, json.dumps(e.info, sort_keys=True)) for e in entries] or [(number, None, None, None)]
     spark.createDataFrame(rows, _ENTRY).coalesce(1).write.mode("overwrite").json(f"{root}/versions/{number:09d}")
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Forget all versions before number `keep`; their folders stay."""
+    try:
+        log = spark.read.schema(_ENTRY).option("recursiveFileLookup", True).json(f"{root}/versions")
+    except AnalysisException:
+        return
+    old = [r.version for r in log.filter(F.col("version") < keep).select("version").distinct().collect()]
+    remove_paths(spark, [f"{root}/versions/{n:09d}" for n in old])

@@ -1,5 +1,7 @@
 import pytest
 
+from corpusloom.settings import release_scratch
+
 from .oracle import session
 
 
@@ -7,7 +9,8 @@ from .oracle import session
 def spark():
     built = session()
     built.sparkContext.setLogLevel("ERROR")
-    return built
+    yield built
+    release_scratch(built)
 
 
 @pytest.fixture

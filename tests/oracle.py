@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -14,6 +15,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as contract
+from corpusloom.settings import release_scratch
 
 
 def session() -> SparkSession:
@@ -23,6 +25,7 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
 
@@ -87,3 +90,4 @@ if __name__ == "__main__":
             bad.append(query)
         print("OK  " if ok else "FAIL", query, note[:3000], flush=True)
     print(len(bad), "failed:", *bad)
+    release_scratch(spark_)

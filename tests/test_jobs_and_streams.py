@@ -7,6 +7,8 @@ from corpusloom.operators import jobs as j, stats as s
 from corpusloom.operators.embedding import hashing_embedder
 from corpusloom.schema import CHUNKS, DOCS, EMBEDDINGS, JOBS, SOURCES
 from corpusloom.streaming.feeds import job_state, read_job_logs, read_job_state, write_job_logs, write_job_state
+from corpusloom.sources.versions import read_version
+from corpusloom.streaming import ingest as ingesting
 from corpusloom.streaming.ingest import current_index, run_ingest
 
 T0 = datetime(2024, 1, 1)
@@ -123,3 +125,27 @@ def test_ingest_loses_no_passage_across_batches(spark, tmp_path):
         return sorted((r.doc_url, r.content[-2]) for r in chunks.collect())
 
     assert ingest("three", batches) == ingest("one", [sum(batches, [])]) == [("https://a/1", "7"), ("https://a/2", "1")]
+
+
+def test_folded_history_equals_one_batch(spark, tmp_path, monkeypatch):
+    """Bases replace old batch folders; a repeated batch changes nothing."""
+    monkeypatch.setattr(ingesting, "FOLD", 2)
+    path = str(tmp_path / "index")
+    page = lambda i, words: ("s", f"https://a/{i}", f"<html><body><h1>T{i}</h1><p>{words * 12}</p></body></html>")
+    batches = [[page(i, f"first {i} "), page(9, f"shared text {n} ")] for n, i in enumerate((1, 2, 3, 1, 4))]
+    batches.append([page(1, "another body "), page(9, "shared text 4 ")])
+    frames = [spark.createDataFrame(rows, "source_id STRING, url STRING, html STRING") for rows in batches]
+    for n, frame in enumerate(frames):
+        ingesting.ingest_batch(frame, path, hashing_embedder(8), n)
+    read = lambda where: {name: sorted(map(str, df.drop("batch").collect())) for name, df in current_index(spark, where).items()}
+    found = read(path)
+    last = {row[1]: row for rows in batches for row in rows}
+    whole = spark.createDataFrame(list(last.values()), "source_id STRING, url STRING, html STRING")
+    ingesting.ingest_batch(whole, f"{path}-one", hashing_embedder(8), 0)
+    assert found == read(f"{path}-one") and len(found["docs"]) == 5
+    number, entries = read_version(spark, path)
+    assert sum(e.name == "batch" for e in entries) <= 2 and sum(e.name == "base" for e in entries) == 1
+    ingesting.ingest_batch(frames[-1], path, hashing_embedder(8), len(frames) - 1)
+    assert read(path) == found and read_version(spark, path)[0] > number
+    kept = {p.name for p in (tmp_path / "index" / "docs").iterdir()}
+    assert not {"batch=0", "batch=1"} & kept and len(kept) <= 6
