@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, format_vector, parse_vector
 from ..operators.dedup import diff_docs, skipped_docs
 from ..operators.embedding import (
+    Embedder,
+    back_fill,
     count_pending,
     embed_pending,
     embedding_stats,
+    filled,
     hashing_embedder,
     normalise_vectors,
     pending_chunks,
+    unfilled,
 )
 from ..operators.lifecycle import (
     cascade_delete,
@@ -25,7 +29,7 @@ from ..operators.lifecycle import (
     update_sources,
     upsert_docs,
 )
-from ..settings import materialise
+from ..settings import materialise, scratch_path
 from . import tables as t
 from .snippets import DOCS, DOC_CHUNKS, H1, ITEM, MARKED, NAV, PAGE_LANG, SOURCES, chunk_ctes, hashed, link_list
 
@@ -168,6 +172,25 @@ def embed_pending_q(spark, d):
     return made.select("chunk_id", "model", "dimensions", F.md5(F.array_join(shown, ",")).alias("vector_hash"))
 
 
+def embed_back_fill(spark, d):
+    """A back-fill whose model fails on texts of certain lengths, and a second one with a sound model for what is left."""
+    path = scratch_path(spark, "back-fill")
+    sound = hashing_embedder()
+
+    def fails(texts):
+        if any(len(text) % 7 == 0 for text in texts):
+            raise ValueError("length")
+        return sound.embed(texts)
+
+    chunks = _doc_level_chunks(spark, d)
+    back_fill(chunks, Embedder(sound.model, sound.dimensions, fails), path, slices=2)
+    left = unfilled(spark, path).select("chunk_id", "tries", "error")
+    back_fill(chunks, sound, path, slices=1)
+    shown = F.transform("vector", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
+    made = filled(spark, path, sound).select("chunk_id", "run", F.md5(F.array_join(shown, ",")).alias("vector_hash"))
+    return made.join(materialise(left, "left"), "chunk_id", "left")
+
+
 def normalise_vectors_q(spark, d):
     doubled = t.embeddings(spark, d).withColumn(
         "vector", F.transform("vector", lambda x: F.when(F.col("source_name") == "4", F.lit(0.0)).otherwise(x.cast("double") * 3))
@@ -208,6 +231,7 @@ QUERIES = {
     "pending_chunks": pending_chunks_q,
     "count_pending": count_pending_q,
     "embed_pending": embed_pending_q,
+    "embed_back_fill": embed_back_fill,
     "normalise_vectors": normalise_vectors_q,
     "vector_parse": vector_parse,
     "cosine_pairs": cosine_pairs,
@@ -281,6 +305,11 @@ todo AS (SELECT 'doc://' || doc_id AS id, text FROM documents WHERE 'doc://' ||
 {hashed('embedded', 'todo', 'id', 'text')}
 SELECT id AS chunk_id, 'hashing-64' AS model, 64 AS dimensions,
        md5(array_to_string(list_transform(vector, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS vector_hash FROM embedded""",
+    "embed_back_fill": f"""WITH all_docs AS (SELECT 'doc://' || doc_id AS id, text FROM documents), {hashed('embedded', 'all_docs', 'id', 'text')}
+SELECT id AS chunk_id, CASE WHEN length(text) % 7 = 0 THEN 2 ELSE 1 END AS run,
+       md5(array_to_string(list_transform(vector, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS vector_hash,
+       CASE WHEN length(text) % 7 = 0 THEN 1 END AS tries, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: length' END AS error
+FROM embedded JOIN all_docs USING (id)""",
     "normalise_vectors": f"""WITH {EMBEDDINGS},
 scaled AS (SELECT chunk_id, list_transform(vector, lambda x: CASE WHEN source_name = '4' THEN 0.0 ELSE x::DOUBLE * 3 END) AS v FROM emb),
 normed AS (SELECT chunk_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM scaled)

@@ -1,8 +1,19 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine, format_vector, normalise, parse_vector
 from corpusloom.operators.dedup import dedup_counts, diff_docs
-from corpusloom.operators.embedding import Embedder, embed_pending, embedding_stats, hashing_embedder, pending_chunks
+from corpusloom.operators import embedding
+from corpusloom.operators.embedding import (
+    Embedder,
+    back_fill,
+    embed_pending,
+    embedding_stats,
+    filled,
+    hashing_embedder,
+    pending_chunks,
+    unfilled,
+)
 from corpusloom.operators.lifecycle import (
     cascade_delete,
     import_outcome,
@@ -141,3 +152,42 @@ def test_vector_functions(spark):
     assert row.p == [1.0, 2.5] and row.f == "[3.0,4.0]"
     stats = embedding_stats(df.select(F.lit("m").alias("model"), F.lit(3).alias("dimensions"), F.col("a").alias("vector")))
     assert tuple(stats.first()) == ("m", 3, 1, 1)
+
+
+def test_back_fill_goes_on_after_failures(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    rows = [(f"c{i:03d}", f"text {i}" + (" poison" if i % 10 == 3 else "")) for i in range(250)] + [("null", None), ("hollow", "hollow")]
+    chunks = spark.createDataFrame(rows, "id STRING, content STRING")
+
+    def weak(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError("overloaded")
+        return [[] if t == "hollow" else [float(len(t)), 1.0] for t in texts]
+
+    assert back_fill(chunks, Embedder("m", 2, weak), path, slices=3) == 1
+    left = {r.chunk_id: (r.tries, r.error) for r in unfilled(spark, path).collect()}
+    assert left == {**{f"c{i:03d}": (1, "RuntimeError: overloaded") for i in range(3, 250, 10)}, "hollow": (1, "empty vector")}
+    sound = Embedder("m", 2, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert back_fill(chunks, sound, path, slices=1) == 2
+    made = filled(spark, path, sound).collect()
+    assert len(made) == len({r.chunk_id for r in made}) == 252 and {r.chunk_id for r in made if r.run == 2} == set(left)
+    assert unfilled(spark, path).isEmpty()
+
+    # A job that dies between two slices keeps the first.
+    other, calls = f"{path}/other", []
+    commit = embedding.commit_version
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("driver lost")
+        commit(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(embedding, "commit_version", dies)
+        with pytest.raises(OSError):
+            back_fill(chunks, sound, other, slices=4)
+    half = filled(spark, other, sound).count()
+    assert 0 < half < 252 and back_fill(chunks, sound, other, slices=4) == 2
+    made = filled(spark, other, sound).collect()
+    assert len(made) == len({r.chunk_id for r in made}) == 252 and sum(r.run == 1 for r in made) == half
