@@ -55,6 +55,7 @@ ROUNDS = ((0, 1), (1, 4), (4, 10))  # tenths of the training documents
 END = b""  # no word is empty
 _COUNTER = 500_000  # entries a task counts before it hands them on
 _TOKENS = 200_000  # tokens handled at a time
+_ROWS = 1024  # contexts normalised at a time, so that their scores stay in the cache
 _BLOCK = 1024  # rows of contexts and leaves sent together
 
 
@@ -303,29 +304,23 @@ class LogBilinear:
         cuts = np.flatnonzero(np.diff(cls[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:
             a, b = inside.starts[cls[at[0]]], inside.starts[cls[at[0]] + 1]
-            row = self.rows[self.own + a : self.own + b]
-            for i in range(0, len(at), 4096):
-                some = at[i : i + 4096]
-                z = r[some] @ row[:, :WIDTH].T
-                z += row[:, WIDTH]
+            row = np.ascontiguousarray(self.rows[self.own + a : self.own + b].T)
+            for i in range(0, len(at), _ROWS):
+                some = at[i : i + _ROWS]
+                z = _with_one(r[some]) @ row
                 mine = z[np.arange(len(some)), inside.place[leaves[some]] - a]
-                top = z.max(axis=1)
-                z -= top[:, None]
-                out[some] = mine - top - np.log(np.exp(z, out=z).sum(axis=1))
+                out[some] = mine - _log_sums(z)
         return out
 
     def log_of(self, r: np.ndarray, cls: np.ndarray, where: np.ndarray) -> np.ndarray:
         """log p of the classes `cls` after the context vectors r[where]; `where` is in order."""
         out = np.empty(len(cls))
-        for first in range(0, len(r), 4096):
-            z = r[first : first + 4096] @ self.target.T
-            z += self.bias
-            a, b = np.searchsorted(where, (first, first + len(z)))
+        target = np.ascontiguousarray(np.hstack([self.target, self.bias[:, None]]).T.astype(np.float32))
+        cuts = np.searchsorted(where, np.arange(0, len(r) + _ROWS, _ROWS))
+        for first, a, b in zip(range(0, len(r), _ROWS), cuts, cuts[1:]):
+            z = _with_one(r[first : first + _ROWS]) @ target
             mine = z[where[a:b] - first, cls[a:b]]
-            top = z.max(axis=1)
-            z -= top[:, None]
-            whole = top + np.log(np.exp(z, out=z).sum(axis=1))
-            out[a:b] = mine - whole[where[a:b] - first]
+            out[a:b] = mine - _log_sums(z)[where[a:b] - first]
         return out
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -343,6 +338,25 @@ def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_one(r: np.ndarray) -> np.ndarray:
+    """Context vectors with a last column of ones, which meets the biases."""
+    out = np.ones((len(r), r.shape[1] + 1), np.float32)
+    out[:, :-1] = r
+    return out
+
+
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row; `z` is overwritten."""
+    top = z.max()
+    if top > 60:  # far from where float32 overflows, nothing has to be taken off
+        top = z.max(axis=1)
+        z -= top[:, None]
+    else:
+        top = 0
+    np.exp(z, out=z)
+    return top + np.log(np.maximum(z @ np.ones(z.shape[1], np.float32), 1e-37))
+
+
 class Trainer:
     """Noise-contrastive steps with one sample of classes and one of words for a whole batch, scaled by AdaGrad."""
 
