@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS
+from .summaries import SUMMARY, read_summaries, summarise
 from .versions import Entry, commit_version, fresh_folder, read_version
 
 # --- fixed values: wording of a repository digest ----------------------------------------
@@ -155,13 +156,17 @@ def write_index(tables: dict[str, DataFrame], path: str, sources: DataFrame | No
     for name, df in owned.items():
         folder = fresh_folder(name)
         df.hint("rebalance", "source_id").write.partitionBy("source_id").parquet(f"{path}/{folder}")
-        written.append((name, folder, df.schema))
-    covers = fresh_folder("sources")
+        stored = spark.read.schema(df.schema).parquet(f"{path}/{folder}")
+        figures = fresh_folder("summary")
+        summarise(name, stored).write.parquet(f"{path}/{figures}")
+        written.append((name, folder, df.schema, figures))
+    covers = fresh_folder("covers")
     if sources is None:
-        stored = [spark.read.schema(schema).parquet(f"{path}/{folder}").select("source_id") for _, folder, schema in written]
-        sources = reduce(DataFrame.unionByName, stored)
+        noted = [spark.read.schema(SUMMARY).parquet(f"{path}/{figures}").select("source_id") for *_, figures in written]
+        sources = reduce(DataFrame.unionByName, noted)
     sources.select(F.col("source_id").cast("string").alias("source_id")).distinct().write.parquet(f"{path}/{covers}")
-    entries += [Entry(n, f, {"order": number + 1, "covers": covers, "schema": schema.jsonValue()}) for n, f, schema in written]
+    for name, folder, schema, figures in written:
+        entries.append(Entry(name, folder, {"order": number + 1, "covers": covers, "schema": schema.jsonValue(), "summary": figures}))
     commit_version(spark, path, number + 1, entries)
     return number + 1
 
@@ -186,16 +191,27 @@ def read_index(spark: SparkSession, path: str, *names: str, version: int | None
     return {name: _current(spark, path, batches) for name, batches in found.items()}
 
 
+def index_summary(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(table, source_id, n, tokens, chars, timed, duration, newest, name): figures of a stored index.
+
+    They were noted by the imports, so neither chunks nor documents are read; see `summaries`.
+    """
+    _, entries = read_version(spark, path, version)
+    return read_summaries(spark, path, {name: [e for e in entries if e.name == name] for name in {e.name for e in entries}})
+
+
 def merge_index(spark: SparkSession, path: str) -> int:
     """One folder for each table in place of one for each batch; older versions stay readable."""
     number, entries = read_version(spark, path)
     names = sorted({e.name for e in entries})
     merged = []
-    everything = fresh_folder("sources")
+    everything = fresh_folder("covers")
     for name, df in read_index(spark, path, *names).items():
         folder = fresh_folder(name)
         df.hint("rebalance", "source_id").write.partitionBy("source_id").parquet(f"{path}/{folder}")
-        merged.append(Entry(name, folder, {"order": number + 1, "covers": everything, "schema": df.schema.jsonValue()}))
+        figures = fresh_folder("summary")
+        summarise(name, spark.read.schema(df.schema).parquet(f"{path}/{folder}")).write.parquet(f"{path}/{figures}")
+        merged.append(Entry(name, folder, {"order": number + 1, "covers": everything, "schema": df.schema.jsonValue(), "summary": figures}))
     spark.createDataFrame([], "source_id STRING").write.parquet(f"{path}/{everything}")  # nothing is older
     commit_version(spark, path, number + 1, merged)
     return number + 1

@@ -1,6 +1,7 @@
 """Source kinds: how the raw rows of a kind become documents.
 
-A kind is a function DataFrame -> docs DataFrame (source_id, url, title, text); users add their own.
+A kind is a function DataFrame -> docs DataFrame (source_id, url, title, text); users add their own. A kind
+whose rows name further sources (an index of sources) also has a function that finds them.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ from ..functions.text import strip_crawler_noise
 from ..functions.urls import normalize_url
 from .files import select_repo_docs
 from .openapi import openapi_chunks
-from .listings import llms_full_to_docs, packages_to_docs
+from .listings import discover_sources, llms_full_to_docs, packages_to_docs
 
 SourceKind = Callable[[DataFrame], DataFrame]
+SourceFinder = Callable[[DataFrame, DataFrame], DataFrame]
 _KINDS: dict[str, SourceKind] = {}
+_FINDERS: dict[str, SourceFinder] = {}
 
 
-def register_source_kind(name: str, to_docs: SourceKind) -> None:
+def register_source_kind(name: str, to_docs: SourceKind, find_sources: SourceFinder | None = None) -> None:
     _KINDS[name] = to_docs
+    _FINDERS.pop(name, None)
+    if find_sources is not None:
+        _FINDERS[name] = find_sources
 
 
 def source_kinds() -> list[str]:
@@ -35,6 +41,15 @@ def docs_of_kind(name: str, raw: DataFrame) -> DataFrame:
     return raw.transform(_KINDS[name])
 
 
+def sources_of_kind(name: str, raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """New sources (name, url, importer_type) that a kind's raw rows name and `sources` (url, …) lacks."""
+    if name not in _KINDS:
+        raise ValueError(f"unknown source kind: {name}")
+    if name not in _FINDERS:
+        return raw.sparkSession.createDataFrame([], "name STRING, url STRING, importer_type STRING")
+    return _FINDERS[name](raw, sources)
+
+
 def _with_source(df: DataFrame, raw: DataFrame) -> DataFrame:
     return df if "source_id" in df.columns else df.join(raw.select("url", "source_id").distinct(), "url")
 
@@ -54,8 +69,14 @@ def _plain_docs(files: DataFrame) -> DataFrame:
 
 
 def _spec_docs(specs: DataFrame) -> DataFrame:
-    """Interface descriptions (source_id, url, name, json): one document per chunk, already cut."""
-    return openapi_chunks(specs).select("source_id", F.col("doc_url").alias("url"), F.col("doc_title").alias("title"), F.col("content").alias("text"))
+    """Interface descriptions (source_id, url, name, json): one document per chunk, already cut, each with a url of its own."""
+    own = F.concat("doc_url", F.lit("#"), F.col("chunk_index").cast("string"))
+    return openapi_chunks(specs).select("source_id", own.alias("url"), F.col("doc_title").alias("title"), F.col("content").alias("text"))
+
+
+def _no_docs(files: DataFrame) -> DataFrame:
+    """An index of sources has no documents; its links become sources, whose own imports bring theirs."""
+    return files.sparkSession.createDataFrame([], "source_id STRING, url STRING, title STRING, text STRING")
 
 
 def _url_list_docs(fetched: DataFrame) -> DataFrame:
@@ -74,5 +95,5 @@ register_source_kind("github", _repo_docs)
 register_source_kind("azuredevops", _repo_docs)
 register_source_kind("crawler", pages_to_docs)
 register_source_kind("llmstxt-crawl", pages_to_docs)
-register_source_kind("llmstxt-meta", _plain_docs)
+register_source_kind("llmstxt-meta", _no_docs, discover_sources)
 register_source_kind("openapi", _spec_docs)

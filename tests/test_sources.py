@@ -4,9 +4,12 @@ import json
 from pyspark.sql import functions as F
 
 from corpusloom.plans import text_plans
-from corpusloom.sources.registry import docs_of_kind, source_kinds
+from corpusloom.operators.lifecycle import upsert_docs
+from corpusloom.operators.stats import chunks_by_source, platform_stats, source_stats
+from corpusloom.sources.summaries import stored_chunks_by_source, stored_platform_stats, stored_source_stats
+from corpusloom.sources.registry import docs_of_kind, source_kinds, sources_of_kind
 from corpusloom.sources import files as index_files
-from corpusloom.sources.files import merge_index, read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
+from corpusloom.sources.files import index_summary, merge_index, read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
 from corpusloom.sources.listings import (
     discover_sources,
     llms_full_to_docs,
@@ -258,3 +261,59 @@ def test_sources_that_are_empty_now_vanish(spark, tmp_path):
     assert shown(spark, path)["docs"] == ["v", "y"]
     with pytest.raises(ValueError, match="jobs"):
         read_index(spark, path, "jobs")
+
+
+def test_specification_documents_survive_an_upsert(spark):
+    spec = {"info": {"title": "n", "description": "what it does"}, "components": {"schemas": {"A": {"type": "object"}, "B": {"type": "string"}}},
+            "paths": {"/a": {"get": {}, "put": {}}, "/b": {"get": {}}}}
+    df = spark.createDataFrame([(s, "u", "n", json.dumps(spec)) for s in "st"], "source_id STRING, url STRING, name STRING, json STRING")
+    docs = docs_of_kind("openapi", df)
+    assert docs.count() == docs.select("source_id", "url").distinct().count() == 12
+    stored = spark.createDataFrame([], "id STRING, source_id STRING, url STRING, title STRING, content_md STRING, content_hash STRING")
+    incoming = docs.select("source_id", "url", "title", F.col("text").alias("content_md"), F.lit(1).alias("seq"))
+    assert upsert_docs(stored, incoming).count() == 12
+
+
+def test_index_of_sources_finds_sources(spark):
+    text = "# Index\n> all of them\n- [One](https://one.example)\n- [Two](https://two.example/spec.json)\n- [Three](https://three.example/)\n"
+    raw = spark.createDataFrame([("m", "https://index.example/llms.txt", "index", text)], "source_id STRING, url STRING, title STRING, text STRING")
+    known = spark.createDataFrame([("https://three.example/llms.txt",)], "url STRING")
+    found = {tuple(r) for r in sources_of_kind("llmstxt-meta", raw, known).collect()}
+    assert found == {("One", "https://one.example", "llmstxt-crawl"), ("Two", "https://two.example/spec.json", "openapi")}
+    assert docs_of_kind("llmstxt-meta", raw).count() == 0
+    assert sources_of_kind("local", raw, known).count() == 0
+    with pytest.raises(ValueError):
+        sources_of_kind("nothing", raw, known)
+
+
+def test_figures_of_a_stored_index_read_no_chunk(spark, tmp_path):
+    """After each import the noted figures are those of the tables; no file of a table is read."""
+    path = f"{tmp_path}/index"
+
+    def tables(*sources):
+        rows = [(s, f"{s}{i}", f"text {i} of {s}", i + 1) for s, n in sources for i in range(n)]
+        docs = spark.createDataFrame([(s, u) for s, u, _, _ in rows], "source_id STRING, id STRING")
+        chunks = spark.createDataFrame(rows, "source_id STRING, id STRING, content STRING, token_count INT")
+        jobs = [(s, f"j{s}{i}", ("done", "failed")[i % 2], 100 * i if i else None, f"2024-01-0{i + 1}") for s, n in sources for i in range(n)]
+        return {
+            "sources": spark.createDataFrame([(s, f"name {s}") for s, _ in sources], "id STRING, name STRING"), "docs": docs, "chunks": chunks,
+            "embeddings": chunks.selectExpr("id AS chunk_id", "'m' AS model"),
+            "jobs": spark.createDataFrame(jobs, "source_id STRING, id STRING, status STRING, duration_ms INT, created_at STRING"),
+        }
+
+    def equal():
+        index, summary = read_index(spark, path, "sources", "docs", "chunks", "embeddings", "jobs"), index_summary(spark, path)
+        for stored, plain in ((stored_source_stats, source_stats), (stored_platform_stats, platform_stats), (stored_chunks_by_source, chunks_by_source)):
+            a, b = stored(summary), plain(index)
+            assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert all("/summary-" in file or "/covers-" in file for file in summary.inputFiles())
+
+    write_index(tables(("1", 3), ("2", 2), ("3", 1)), path)
+    equal()
+    write_index(tables(("2", 5), ("4", 2)), path)
+    equal()
+    nothing = {name: df for name, df in tables(("9", 1)).items() if name in ("docs", "chunks", "embeddings")}
+    write_index({name: df.limit(0) for name, df in nothing.items()}, path, spark.createDataFrame([("1",)], "source_id STRING"))
+    equal()
+    merge_index(spark, path)
+    equal()
