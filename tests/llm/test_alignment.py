@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -71,9 +72,11 @@ def plain_rows(rows, tokens):
         if found:
             (ids_a, a), (ids_b, b) = found
             ends_a, ends_b = np.cumsum([*map(len, a)]).tolist(), np.cumsum([*map(len, b)]).tolist()
-            for cut in sorted(set(ends_a) & set(ends_b)):
-                low = groups[-1][2] if groups else 0
-                groups.append(([i for i, e in zip(ids_a, ends_a) if low < e <= cut], [i for i, e in zip(ids_b, ends_b) if low < e <= cut], cut))
+            cuts = sorted(set(ends_a) & set(ends_b))
+            groups = [([], []) for _ in cuts]
+            for side, ids, ends in ((0, ids_a, ends_a), (1, ids_b, ends_b)):
+                for i, end in zip(ids, ends):
+                    groups[bisect_left(cuts, end)][side].append(i)
         groups_of.append(groups)
         held.update({(x, y) for g in groups for x in g[0] for y in g[1]})
     highest = defaultdict(int)
