@@ -65,20 +65,20 @@ def upsert_docs_q(spark, d):
     return merged.select("id", "source_id", "url", "title", "content_hash", F.md5("content_md").alias("body_hash"))
 
 
-def _incoming_chunks(spark, d):
+def _incoming_chunks(spark, d, chunks):
     docs = t.docs(spark, d).select(F.col("id").alias("doc_id"), F.col("url").alias("doc_url"))
-    return t.chunks(spark, d).join(docs, "doc_id").select(
+    return chunks.join(docs, "doc_id").select(
         "source_id", "doc_url", "chunk_index", "content", "heading", "heading_path"
     )
 
 
 def insert_chunks_q(spark, d):
     """Chunks of all documents on top of stored ones that carry an outdated text and a former tail, beside a kept document."""
-    chunks = t.chunks(spark, d)
+    chunks = materialise(t.chunks(spark, d), "chunks")
     stale = chunks.withColumn("content", F.lit("stale"))
     stray = chunks.withColumn("id", F.concat("id", F.lit("-x"))).filter("chunk_index = 0")
     other = stray.withColumn("id", F.concat("id", F.lit("-y"))).withColumn("doc_id", F.concat("doc_id", F.lit("-y")))
-    merged = insert_chunks(stale.unionByName(stray).unionByName(other).drop("seq", "created_at"), _incoming_chunks(spark, d))
+    merged = insert_chunks(stale.unionByName(stray).unionByName(other).drop("seq", "created_at"), _incoming_chunks(spark, d, chunks))
     return merged.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("content") == "stale").alias("stale"),
@@ -89,7 +89,7 @@ def insert_chunks_q(spark, d):
 
 
 def save_outcome(spark, d):
-    return import_outcome(_incoming_chunks(spark, d))
+    return import_outcome(_incoming_chunks(spark, d, t.chunks(spark, d)))
 
 
 def _noisy_index(spark, d):
@@ -109,6 +109,7 @@ def purge_noisy_q(spark, d):
 def _linked_index(spark, d):
     """The corpus index with embeddings on document level chunk ids and logs on the jobs."""
     index = t.index(spark, d)
+    index["chunks"] = materialise(index["chunks"].select("id", "doc_id", "source_id", "chunk_index"), "chunks")
     first = index["chunks"].filter("chunk_index = 0").select(F.col("id").alias("chunk_id"), F.lit("m").alias("model"))
     logs = index["jobs"].select(F.col("id").alias("job_id"), F.lit("started").alias("message"))
     return {**index, "embeddings": first, "job_logs": logs}

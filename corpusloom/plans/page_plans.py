@@ -164,7 +164,7 @@ CRAWL_RULES = (("disallow", "/part/1"), ("allow", "/part/12"), ("disallow", "/pa
 def _budget_pages(spark, d):
     sets = t.doc_chunk_sets(spark, d)
     size = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c["content"]))
-    return sets.select("source_id", "seq", F.size("chunks").alias("chunk_count"), size.alias("byte_count"))
+    return materialise(sets.select("source_id", "seq", F.size("chunks").alias("chunk_count"), size.alias("byte_count")), "pages")
 
 
 BUDGET = {"max_pages": 40, "max_chunks": 60, "max_bytes": 100_000}

@@ -82,7 +82,7 @@ def sink_index(spark, d):
     """All sources are written, then one of them again with new titles; every row is read back."""
     path_ = scratch_path(spark, "index")
     docs = t.docs(spark, d).drop("seq", "lang")
-    chunks = t.chunks(spark, d).drop("created_at")
+    chunks = materialise(t.chunks(spark, d).drop("created_at"), "chunks")
     vectors = chunks.select(F.col("id").alias("chunk_id"), F.md5("content").alias("model"))
     write_index({"docs": docs, "chunks": chunks, "embeddings": vectors}, path_)
     one = F.col("source_id") == F.md5(F.lit("src3"))
