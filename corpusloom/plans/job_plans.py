@@ -94,8 +94,7 @@ def overlap_guard(spark, d):
 
 def stream_job_state(spark, d):
     """The events file as a stream of partial job events, folded to the latest state."""
-    schema = t.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = t.table_stream(spark, d, "events")
     path = scratch_path(spark, "job-state")
     write_job_state(t.job_events(stream), path, path + "-checkpoint").awaitTermination()
     state = read_job_state(spark.read.option("basePath", path).parquet(path))
@@ -104,8 +103,7 @@ def stream_job_state(spark, d):
 
 def stream_job_log(spark, d):
     """Conversations as a log stream in which every line arrives twice."""
-    schema = t.table(spark, d, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    stream = t.table_stream(spark, d, "conversations")
     lines = stream.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("conv_id").alias("job_id"),
@@ -119,8 +117,7 @@ def stream_job_log(spark, d):
 
 def stream_ingest(spark, d):
     """The pages file streamed into a stored index: current chunks with their embedding."""
-    schema = t.table(spark, d, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    stream = t.table_stream(spark, d, "pages")
     pages = stream.select(F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("source_id"), "url", "html")
     path = scratch_path(spark, "ingest")
     run_ingest(pages, path, path + "-checkpoint", hashing_embedder()).awaitTermination()

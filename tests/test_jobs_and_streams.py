@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import jobs as j, stats as s
 from corpusloom.operators.embedding import hashing_embedder
+from corpusloom.plans.job_plans import stream_ingest, stream_job_log, stream_job_state
 from corpusloom.schema import CHUNKS, DOCS, EMBEDDINGS, JOBS, SOURCES
 from corpusloom.streaming.feeds import job_state, read_job_logs, read_job_state, write_job_logs, write_job_state
 from corpusloom.sources.versions import read_version
@@ -149,3 +150,11 @@ def test_folded_history_equals_one_batch(spark, tmp_path, monkeypatch):
     assert read(path) == found and read_version(spark, path)[0] > number
     kept = {p.name for p in (tmp_path / "index" / "docs").iterdir()}
     assert not {"batch=0", "batch=1"} & kept and len(kept) <= 6
+
+
+@pytest.mark.parametrize(("name", "query"), [("conversations", stream_job_log), ("events", stream_job_state), ("pages", stream_ingest)])
+def test_streamed_tables_may_be_folders(spark, tmp_path, name, query):
+    file = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{file}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    from_folder, from_file = (sorted(map(str, query(spark, d).collect())) for d in (str(tmp_path), file))
+    assert from_folder == from_file and from_file
