@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import text_store
-from corpusloom.operators.text_search import search_text, text_index, text_match
+from corpusloom.operators.text_search import exact_score, search_text, text_index, text_match
 from corpusloom.operators.text_store import import_chunks, merge_segments, open_text_store
 from corpusloom.sources.versions import Entry, commit_version, read_version
 
@@ -118,6 +118,27 @@ def test_an_import_reads_no_text(spark, tmp_path):
     assert "content" not in store.forward().columns
 
 
+def test_copies_tie_exactly(spark, tmp_path):
+    """Equal chunks of many terms have equal scores, so their ranks follow their ids."""
+    rng = random.Random(5)
+    texts = [" ".join(f"t{rng.randrange(3000)}" for _ in range(150)) for _ in range(60)]
+    rows = [(f"c{rng.randrange(10**9)}", f"d{i}{j}", "s", text) for i, text in enumerate(texts) for j in range(8)]
+    given = spark.createDataFrame(rows, CHUNKS)
+    asked = spark.createDataFrame([(f"q{i}", text) for i, text in enumerate(texts)], "query_id STRING, text STRING")
+    for index in (import_chunks(spark, str(tmp_path), given), text_index(given)):
+        found = search_text(index, asked, 10).orderBy("query_id", "rank").collect()
+        assert len(found) == len(rows) and len({(r.query_id, r.score) for r in found}) == len(texts)
+        assert [(r.query_id, r.chunk_id) for r in found] == sorted((r.query_id, r.chunk_id) for r in found)
+
+
+def test_scores_do_not_depend_on_the_order_of_terms(spark):
+    """Sums in two orders that doubles tell apart at 12 digits."""
+    rng = random.Random(2)
+    shares = next(x for x in iter(lambda: [rng.uniform(0, 9) for _ in range(90)], None) if round(sum(x), 12) != round(sum(x[::-1]), 12))
+    total = lambda values: spark.createDataFrame([(v,) for v in values], "x DOUBLE").coalesce(1).agg(exact_score(F.col("x"))).first()[0]
+    assert total(shares) == total(shares[::-1]) == pytest.approx(sum(shares), abs=1e-11)
+
+
 def test_failed_import_changes_nothing(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     rows = corpus(9, 60)
