@@ -21,6 +21,7 @@ if TYPE_CHECKING:
     from .vector_store import VectorStore
 
 QUERY_BLOCK, CHUNK_BLOCK, TILE = 1024, 32_768, 4096
+_SLACK = 1e-11  # more than a matrix product and rounding move a score
 _HITS = "query_id STRING, chunk_id STRING, _key LONG, score DOUBLE"
 
 
@@ -46,16 +47,23 @@ def _cut(rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int) -> t
     return rows[place < k], columns[place < k], scores[place < k]
 
 
+def _scores(queries: np.ndarray, chunks: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The scores of some pairs, each summed by itself: a matrix product may differ in the last bit with the place of a
+    vector, which tells copies apart."""
+    parts = [slice(i, i + TILE) for i in range(0, len(rows), TILE)]
+    return np.concatenate([np.zeros(0), *((queries[rows[p]] * chunks[columns[p]]).sum(axis=1) for p in parts)]).round(RANK_DIGITS)
+
+
 def best_entries(queries: np.ndarray, chunks: np.ndarray, k: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, chunk row, score) of the k best chunks of each query, holding one tile of scores at a time."""
     found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for start in range(0, len(chunks), tile):
-        scores = np.round(queries @ chunks[start : start + tile].T, RANK_DIGITS)
+        scores = queries @ chunks[start : start + tile].T
         least = np.full(len(queries), -np.inf)
         if scores.shape[1] > k:
             least = np.partition(scores, -k, axis=1)[:, -k]
-        rows, columns = np.nonzero(scores >= least[:, None])
-        new = rows, columns + start, scores[rows, columns]
+        rows, columns = np.nonzero(scores >= least[:, None] - _SLACK)
+        new = rows, columns + start, _scores(queries, chunks, rows, columns + start)
         found = _cut(*(np.concatenate(pair) for pair in zip(found, new)), k)
     return found
 

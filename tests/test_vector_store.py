@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import vector_store
+from corpusloom.operators import vector_search, vector_store
 from corpusloom.operators.vector_search import search_vector
 from corpusloom.operators.vector_store import fit_pivots, write_vectors
 
@@ -86,3 +86,17 @@ def test_fit():
     points = np.repeat(np.eye(4), 50, axis=0) + draw.normal(0, 0.01, (200, 4))
     centres = fit_pivots(points / np.linalg.norm(points, axis=1, keepdims=True), 4)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1)
+
+
+def test_copies_tie_exactly(monkeypatch):
+    """The score of a pair doesn't depend on where its vectors stand in their blocks."""
+    monkeypatch.setattr(vector_search, "RANK_DIGITS", 17)
+    draw = np.random.default_rng(3)
+    asked = vector_search._unit(draw.normal(size=(9, 64)))
+    kinds = vector_search._unit(draw.normal(size=(50, 64)))
+    owner = draw.integers(0, 50, 5003)
+    rows, columns, scores = vector_search.best_entries(asked, kinds[owner], 5003)
+    assert len(rows) == 9 * 5003 and len(set(zip(rows, owner[columns], scores))) == 9 * 50
+    few = vector_search.best_entries(asked, kinds[owner], 150)
+    want = vector_search._cut(rows, columns, scores, 150)
+    assert all((a == b).all() for a, b in zip(few, want))
