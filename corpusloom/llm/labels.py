@@ -1,4 +1,4 @@
-"""Folds and bounded samples of labelled documents."""
+"""Folds, and all or bounded samples of labelled documents."""
 
 from __future__ import annotations
 
@@ -10,6 +10,16 @@ def fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
 
 
+def _marks(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """(key, label): one label of 0 or 1 a document."""
+    return labels.groupBy(key).agg(F.max(label).alias("label")).filter(F.col("label").isin(0, 1) & F.col(key).isNotNull())
+
+
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label) of every labelled document."""
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(_marks(labels, label, key), key)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label) of at most `most` labelled documents of each class.
 
@@ -17,7 +27,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str
     first, so that only about as many keys as are taken get ordered. The sample's size is bounded
     by the parameter, so its keys are broadcast and no text is shuffled.
     """
-    marks = labels.groupBy(key).agg(F.max(label).alias("label")).filter(F.col("label").isin(0, 1) & F.col(key).isNotNull())
+    marks = _marks(labels, label, key)
     sizes = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
 
     def lowest(label: int) -> DataFrame:

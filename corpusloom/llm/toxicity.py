@@ -6,9 +6,9 @@ picks the likeliest path. The restored words are looked up in a lexicon of words
 beginnings that the labelled toxic documents use more often than the clean ones, and a logistic
 function of a document's strongest hits is its score.
 
-Everything is learned from at most `MAX_LABELLED` documents of each class: two thirds give the
-lexicon, the rest calibrates the score. The character model knows the `MAX_WORDS` most frequent
-words of the sample.
+Everything is learned from all labelled documents: two thirds give the lexicon, the rest calibrates
+the score. Counts and the sums of the calibration are Spark aggregates. The character model knows
+the `MAX_WORDS` most frequent words.
 
 Defined cases: a null or empty text has no hits; without labels or hits every score is the same;
 repeated rows get equal scores; an empty table gives no rows; extra columns are kept.
@@ -27,9 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import materialise
-from .labels import labelled
+from .labels import all_labelled
 
-MAX_LABELLED = 10_000  # documents of each class
 MAX_WORDS = 50_000  # words in the character model
 MAX_TERMS = 4_000  # entries of the lexicon
 SPREAD = 1.64  # standard deviations by which counts are held back
@@ -212,19 +211,32 @@ class Detector:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[float, ...]:
-    """Weights of a logistic regression with intercept by Newton's method; evidence never counts against."""
-    full = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(full.shape[1])
-    if len(np.unique(y)) < 2:
-        return tuple(w)
-    penalty = ridge * np.eye(len(w))
-    penalty[0, 0] = 1e-6
+def logistic(rows: DataFrame, ridge: float = 1.0, steps: int = 30) -> tuple[float, ...]:
+    """Weights of a logistic regression with intercept on (label, first, next) by Newton's method; evidence never counts
+    against. Each step is one aggregate, whose sums are decimals, so that the order of rows doesn't matter."""
+    full = [F.lit(1.0), F.col("first"), F.col("next")]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    w = np.zeros(3)
+    if rows.select("label").distinct().count() < 2:
+        return tuple(w.tolist())
+    penalty = np.diag([1e-6, ridge, ridge])
+
+    def total(x: Column) -> Column:
+        return F.sum(x.cast("decimal(28,18)")).cast("double")
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        slope = full.T @ (p - y) + penalty @ w
-        w -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + penalty, slope)
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(v)) * x for v, x in zip(w, full)), F.lit(0.0))))
+        known = rows.withColumn("p", 1 / (1 + F.exp(-z)))
+        p = F.col("p")
+        found = known.agg(*[total((p - F.col("label")) * x) for x in full], *[total(p * (1 - p) * full[i] * full[j]) for i, j in pairs]).first()
+        curve = np.zeros((3, 3))
+        for (i, j), value in zip(pairs, found[3:]):
+            curve[i, j] = curve[j, i] = value
+        before = w.copy()
+        w -= np.linalg.solve(curve + penalty, np.array(found[:3]) + penalty @ w)
         w[1:] = np.maximum(w[1:], 0)
+        if np.abs(w - before).max() < 1e-10:
+            break
     return tuple(w.tolist())
 
 
@@ -247,10 +259,10 @@ def _beginnings(size: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Detector:
-    """Learn from at most MAX_LABELLED documents of each class; aggregates alone reach the driver."""
-    rows = labelled(docs, labels, label, MAX_LABELLED, key, text)
-    sample = materialise(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3))), "toxic_sample")
-    fitting = sample.filter("part > 0")
+    """Learn from all labelled documents; aggregates alone reach the driver."""
+    rows = all_labelled(docs, labels, label, key, text)
+    known = materialise(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3))), "toxic_labelled")
+    fitting = known.filter("part > 0")
     sizes = {r.label: r["count"] for r in fitting.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -264,9 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     frequent = [(r.word, float(r["count"])) for r in usual.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
     weight = 0.02 * sum(n for _, n in frequent) / max(1, len(words))
     detector = Detector(words, prefixes, CharModel.of(frequent + [(w, weight) for w in words]))
-    checked = sample.filter("part = 0").mapInPandas(_features(detector), "label double, first double, next double").toPandas()
-    checked = checked.sort_values(list(checked.columns))
-    detector.weights = logistic(checked[["first", "next"]].to_numpy(), checked["label"].to_numpy())
+    checked = known.filter("part = 0").mapInPandas(_features(detector), "label double, first double, next double")
+    detector.weights = logistic(materialise(checked, "toxic_features"))
     return detector
 
 

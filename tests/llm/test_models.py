@@ -123,6 +123,17 @@ def test_viterbi_is_the_best_path(detector):
         assert math.isclose(min(c + price(o) for o, c in paths if o == found), least)
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """A word that only many documents together tell apart, with a former limit set low."""
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 3, raising=False)
+    rows = [(i, f"tree river n{'abcdefghij'[i % 10]}{'klmnop'[i // 10]} " + ("vilest" if i % 2 else "kindly"), i % 2) for i in range(60)]
+    given = spark.createDataFrame(rows, "doc_id LONG, text STRING, toxic INT")
+    detector = toxicity.train(given.drop("toxic"), given.drop("text"))
+    assert set(detector.words) == {"vilest"}
+    scores = {(r.toxic, round(r.score, 9)) for r in toxicity.with_score(given, detector).collect()}
+    assert len(scores) == 2 and min(scores)[1] < 0.5 < max(scores)[1]
+
+
 def test_toxicity_query(spark, odd, none):
     rows = queries_models.op7_noisy_toxicity(spark, LARGER).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
