@@ -120,6 +120,18 @@ def test_an_import_reads_no_text(spark, tmp_path):
     assert "content" not in store.forward().columns
 
 
+def test_postings_hold_numbers_that_names_resolve(spark, tmp_path):
+    """Ids are stored once a chunk and not with every posting."""
+    rows = corpus(11, 80)
+    store = import_chunks(spark, str(tmp_path), spark.createDataFrame(rows, CHUNKS))
+    folder = f"{tmp_path}/{store.segments[0].path}"
+    names = spark.read.parquet(f"{folder}/names")
+    assert sorted((r.chunk_id, r.source_name) for r in names.collect()) == sorted((r[0], r[2]) for r in rows)
+    assert names.select("bucket", "no").distinct().count() == len(rows)
+    kinds = dict(spark.read.parquet(f"{folder}/blocks").drop("term").dtypes)
+    assert not [name for name, kind in kinds.items() if "string" in kind]
+
+
 def test_copies_tie_exactly(spark, tmp_path):
     """Equal chunks of many terms have equal scores, so their ranks follow their ids."""
     rng = random.Random(5)
