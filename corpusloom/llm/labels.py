@@ -16,8 +16,13 @@ def _marks(labels: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def all_labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, label) of every labelled document."""
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(_marks(labels, label, key), key)
+    """(key, text, label) of every labelled document.
+
+    The labels grow with the documents, so a broadcast of them holds for small tables only: texts are moved once at every
+    size, and meet a table of the labels of their partition, so that no text is sorted.
+    """
+    given = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return given.join(_marks(labels, label, key).hint("shuffle_hash"), key)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:

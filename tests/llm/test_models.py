@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, jaccard_join, language_model, quality_model, queries_models, shingles, toxicity
-from corpusloom.llm.labels import fold, labelled
+from corpusloom.llm.labels import all_labelled, fold, labelled
 
 from .conftest import FOLDER
 
@@ -31,6 +31,16 @@ def test_samples_are_bounded(spark, odd):
     assert Counter(r.label for r in rows) == {1: 2, 0: 1} and all(r.text is not None for r in rows)
 
 
+def test_labels_meet_texts_alike_at_every_size(spark, odd):
+    """A few labels take the same road as many: they aren't broadcast, and no text is sorted."""
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (4, None), (None, 1), (1, 0), (6, 7)], "doc_id long, toxic int")
+    rows = all_labelled(odd, labels, "toxic")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "Sort " not in plan
+    held = {r.doc_id for r in odd.collect()}
+    assert {(r.doc_id, r.label) for r in rows.collect()} == {(i, y) for i, y in ((0, 1), (1, 1), (2, 0)) if i in held}
+
+
 # --- quality trees ----------------------------------------------------------------------
 def test_flat_trees_separate():
     draw = np.random.default_rng(1)
