@@ -54,29 +54,37 @@ def _scores(queries: np.ndarray, chunks: np.ndarray, rows: np.ndarray, columns:
     return np.concatenate([np.zeros(0), *((queries[rows[p]] * chunks[columns[p]]).sum(axis=1) for p in parts)]).round(RANK_DIGITS)
 
 
-def best_entries(queries: np.ndarray, chunks: np.ndarray, k: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, chunk row, score) of the k best chunks of each query, holding one tile of scores at a time."""
+def best_entries(
+    queries: np.ndarray, chunks: np.ndarray, k: int, tile: int = TILE, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, chunk row, score) of the k best chunks of each query, holding one tile of scores at a time. Scores
+    below a query's `floor` are left out."""
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
     found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for start in range(0, len(chunks), tile):
         scores = queries @ chunks[start : start + tile].T
         least = np.full(len(queries), -np.inf)
         if scores.shape[1] > k:
             least = np.partition(scores, -k, axis=1)[:, -k]
-        rows, columns = np.nonzero(scores >= least[:, None] - _SLACK)
+        rows, columns = np.nonzero(scores >= np.maximum(least, floor)[:, None] - _SLACK)
         new = rows, columns + start, _scores(queries, chunks, rows, columns + start)
+        new = tuple(part[new[2] >= floor[rows]] for part in new)
         found = _cut(*(np.concatenate(pair) for pair in zip(found, new)), k)
     return found
 
 
 def _compare(k: int):
+    """Hits of a block of queries (query_id, vector) in a block of chunks; of queries with a `least`, those that reach it."""
+
     def run(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         chunks = chunks.sort_values(["chunk_id", "_key"], ignore_index=True)
         asked = {width: (at, matrix) for width, at, matrix in _by_width(queries["vector"])}
+        least = queries["least"].fillna(-np.inf).to_numpy("float64") if "least" in queries else np.full(len(queries), -np.inf)
         parts = []
         for width, at, matrix in _by_width(chunks["vector"]):
             if width in asked:
                 names, wanted = asked[width]
-                rows, columns, scores = best_entries(wanted, matrix, k)
+                rows, columns, scores = best_entries(wanted, matrix, k, floor=least[names])
                 at_query, at_chunk = names[rows], at[columns]
                 parts.append((queries["query_id"].array[at_query], chunks["chunk_id"].array[at_chunk], chunks["_key"].array[at_chunk], scores))
         whole = [np.concatenate([np.asarray(part) for part in column]) for column in zip(*parts)] if parts else [[]] * 4

@@ -5,7 +5,10 @@ pivot, ordered by their angle to it. A block is a shell of a cluster: the vector
 range of angles. A query at angle f to a pivot is at least max(a - f, f - b) away from every vector
 of the shell (a, b), because angles obey the triangle inequality, so the shell's best score is known
 before it is read. A search reads the most promising blocks of each query, takes its k-th score, and then
-reads only blocks that can still reach it. Results are those of comparing everything.
+reads only blocks that can still reach it. Results are those of comparing everything. A query meets all
+blocks of a pivot at once, so its vector travels once for each pivot, and only hits that reach the
+score to beat leave the comparison: where bounds spare little, vectors still move once and hits stay few. A
+search of one source counts and bounds its blocks by the vectors of that source.
 
 Pivots are fitted on a bounded sample; they only decide how much is read. Vectors without length
 have a cluster of their own, whose score is 0 for every query.
@@ -55,13 +58,14 @@ class VectorStore(NamedTuple):
         """(pivot, model, width, centre); a pivot without centre has the vectors without length."""
         return self.spark.read.parquet(f"{self.path}/pivots")
 
-    def bounds(self, queries: DataFrame, k: int, model: str | None = None) -> DataFrame:
+    def bounds(self, queries: DataFrame, k: int, model: str | None = None, source: str | None = None) -> DataFrame:
         """(query_id, pivot, shell, n, best, first): the best score each block of its width can hold for each query.
 
         `first` marks the blocks a query starts with.
         """
         pivots = self.pivots if model is None else self.pivots.filter(F.col("model") == model)
-        known = self.blocks.join(F.broadcast(pivots.select("pivot")), "pivot").toPandas()  # SHELLS of each pivot at most
+        blocks = self.blocks if source is None else _sizes(self.vectors.filter(F.col("source_name") == source))
+        known = blocks.join(F.broadcast(pivots.select("pivot")), "pivot").toPandas()  # SHELLS of each pivot at most
         rows = pivots.collect()
         lengthless = {r.pivot for r in rows if not r.centre}
         widths: dict[int, tuple[np.ndarray, ...]] = {}
@@ -95,32 +99,35 @@ class VectorStore(NamedTuple):
         return queries.mapInPandas(run, "query_id STRING, pivot INT, shell INT, n LONG, best DOUBLE, first BOOLEAN")
 
     def _near(self, needed: DataFrame, queries: DataFrame, k: int, source: str | None, query_block: int, chunk_block: int) -> DataFrame:
-        """(query_id, chunk_id, _key, pivot, score): the k best of each query in each group of a block it needs."""
-        sizes = needed.groupBy("pivot", "shell").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("asked"))
-        cells = materialise(
-            sizes.select("pivot", "shell", F.ceil(F.col("n") / chunk_block).cast("int").alias("cells"), F.ceil(F.col("asked") / query_block).cast("int").alias("groups")),
-            "blocks",
-        )
-        wanted = [r.pivot for r in cells.select("pivot").distinct().collect()]  # as many as there are pivots
+        """(query_id, chunk_id, _key, pivot, score): the k best of each query in each group of a pivot it needs.
+
+        Of a pivot, the blocks that any query needs are read. Queries are (query_id, vector) with the score to beat, `least`, if known.
+        """
+        blocks = materialise(needed.groupBy("pivot", "shell").agg(F.first("n").alias("n")), "blocks")
+        pairs = needed.select("query_id", "pivot").distinct()
+        sizes = blocks.groupBy("pivot").agg(F.ceil(F.sum("n") / chunk_block).cast("int").alias("cells"))
+        groups = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("groups"))
+        cells = materialise(sizes.join(groups, "pivot"), "cells")
+        wanted = [r.pivot for r in cells.select("pivot").collect()]  # as many as there are pivots
         stored = self.vectors.filter(F.col("pivot").isin(wanted))
         if source is not None:
             stored = stored.filter(F.col("source_name") == source)
         key = F.xxhash64("vector").alias("_key")
-        key_of = ["pivot", "shell"]
-        rows = stored.select(*key_of, "chunk_id", "vector", key).join(cells, key_of)
+        read = stored.join(blocks.select("pivot", "shell"), ["pivot", "shell"], "left_semi")
+        rows = read.select("pivot", "chunk_id", "vector", key).join(cells, "pivot")
         right = rows.withColumn("_cell", F.pmod(F.xxhash64("chunk_id", "_key"), F.col("cells")).cast("int")).select(
-            *key_of, "_cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("_group"), "chunk_id", "vector", "_key"
+            "pivot", "_cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("_group"), "chunk_id", "vector", "_key"
         )
-        asked = needed.select("query_id", *key_of).join(cells, key_of).join(queries, "query_id")
+        asked = pairs.join(cells, "pivot").join(queries, "query_id")
         left = asked.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).select(
-            *key_of, "_group", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("_cell"), "query_id", "vector"
+            "pivot", "_group", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("_cell"), *queries.columns
         )
         compare = _compare(k)
 
         def run(block: tuple, some: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
             return compare(some, chunks).assign(pivot=block[0])
 
-        by = [*key_of, "_group", "_cell"]
+        by = ["pivot", "_group", "_cell"]
         schema = "query_id STRING, chunk_id STRING, _key LONG, score DOUBLE, pivot INT"
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
 
@@ -130,15 +137,14 @@ class VectorStore(NamedTuple):
     ) -> DataFrame:
         """(query_id, chunk_id, score, vector, rank) as `search_vector` gives them."""
         asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
-        bounds = materialise(self.bounds(asked, k, model), "bounds")
-        near = [asked, k, source, query_block, chunk_block]
-        start = materialise(top_k(self._near(bounds.filter("first"), *near), k), "nearest")
-        beat = start.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = bounds.filter("not first").join(beat, "query_id", "left")
-        rest = materialise(rest.filter(F.col("least").isNull() | (F.col("best") >= F.col("least"))).drop("least"), "bounds")
-        ranked = start
-        if not rest.isEmpty():
-            ranked = materialise(top_k(start.drop("rank").unionByName(self._near(rest, *near)), k), "nearest")
+        bounds = materialise(self.bounds(asked, k, model, source), "bounds")
+        near = [k, source, query_block, chunk_block]
+        ranked = materialise(top_k(self._near(bounds.filter("first"), asked, *near), k), "nearest")
+        beat = ranked.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        known = bounds.join(beat, "query_id", "left")
+        needed = known.filter(F.col("first") | F.col("least").isNull() | (F.col("best") >= F.col("least"))).drop("least")
+        if not needed.filter("not first").isEmpty():  # the first blocks are met again, with the others of their pivots
+            ranked = materialise(top_k(self._near(needed, asked.join(beat, "query_id", "left"), *near), k), "nearest")
         pivots = [r.pivot for r in ranked.select("pivot").distinct().collect()]
         held = self.vectors.filter(F.col("pivot").isin(pivots)).select("chunk_id", "vector", F.xxhash64("vector").alias("_key"), "pivot")
         held = held.join(ranked.select("pivot", "chunk_id", "_key").distinct(), ["pivot", "chunk_id", "_key"], "left_semi").dropDuplicates(["chunk_id", "_key"])
@@ -149,6 +155,10 @@ class VectorStore(NamedTuple):
         return ranked.drop("pivot").join(units, ["chunk_id", "_key"]).select("query_id", "chunk_id", "score", "vector", "rank")
 
 
+def _sizes(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+
+
 def fit_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """n unit vectors that the sample's unit vectors lie near to: farthest points first, then moved to the means."""
     if len(sample) <= n:
@@ -213,8 +223,7 @@ def write_vectors(vectors: DataFrame, path: str) -> VectorStore:
     ordered = placed.hint("rebalance", "pivot").sortWithinPartitions("pivot", "angle")
     ordered.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("pivot").parquet(f"{path}/vectors")
     store = VectorStore(spark, path)
-    sizes = store.vectors.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    sizes.write.mode("overwrite").parquet(f"{path}/blocks")
+    _sizes(store.vectors).write.mode("overwrite").parquet(f"{path}/blocks")
     made = spark.createDataFrame(pivots, "pivot INT, model STRING, width INT, centre ARRAY<DOUBLE>")
     made.write.mode("overwrite").parquet(f"{path}/pivots")
     return store

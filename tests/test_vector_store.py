@@ -100,3 +100,16 @@ def test_copies_tie_exactly(monkeypatch):
     few = vector_search.best_entries(asked, kinds[owner], 150)
     want = vector_search._cut(rows, columns, scores, 150)
     assert all((a == b).all() for a, b in zip(few, want))
+
+
+def test_hits_below_the_score_to_beat_stay_where_they_are(spark, tmp_path):
+    """In noise bounds spare nothing: a rare source is bounded by its own vectors, and only hits that can count travel."""
+    draw = np.random.default_rng(4)
+    rows = [(f"v{i:04d}", "rare" if i % 40 == 0 else "s", "m", draw.normal(size=16).tolist()) for i in range(1200)]
+    store = write_vectors(spark.createDataFrame(rows, VECTORS), str(tmp_path))
+    asked = spark.createDataFrame([("q", draw.normal(size=16).tolist())], QUERIES)
+    bounds = store.bounds(asked, 5, source="rare")
+    assert bounds.agg(F.sum("n")).first()[0] == 30 and bounds.filter("first").agg(F.sum("n")).first()[0] >= 5
+    least = sorted((r.score for r in search_vector(store, asked, 5).collect()), reverse=True)[-1]
+    near = store._near(store.bounds(asked, 5), asked.withColumn("least", F.lit(least)), 5, None, 1024, 32_768)
+    assert near.count() == 5
