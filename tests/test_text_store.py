@@ -187,3 +187,15 @@ def test_versions(spark, tmp_path):
     commit_version(spark, root, 2, [])
     assert read_version(spark, root) == (2, [])
     assert read_version(spark, root, 1) == (1, [Entry("a", "x", {"n": 1}), Entry("b", "y", {})])
+
+
+def test_only_hits_that_can_count_leave_a_bucket(spark, tmp_path, monkeypatch):
+    """Two words that all chunks hold: a bucket sends its k best and no posting, copies included."""
+    monkeypatch.setattr(text_store, "BUCKET_CHUNKS", 64)
+    rows = [(f"c{i:03d}", f"d{i}", "s", "left right " + "left " * (i % 3)) for i in range(200)]
+    store = import_chunks(spark, str(tmp_path), spark.createDataFrame(rows, CHUNKS))
+    asked = spark.createDataFrame([("q", "left"), ("q", "right")], "query_id STRING, term STRING")
+    cells = store._cells(asked)
+    assert store._hits(asked, cells).count() == 200
+    assert store._hits(asked, cells, 3).groupBy("segment", "bucket").count().agg(F.max("count")).first()[0] == 3
+    assert store._hits(asked, cells.withColumn("least", F.lit(1e9)), 3).count() == 0
