@@ -12,7 +12,7 @@ from ..operators.chunking import (
     link_list_counts,
 )
 from ..settings import HTML_TAG_LINE, materialise, scratch_path
-from ..sources.files import read_index, read_markdown_tree, read_pages, repo_digest, select_repo_docs, write_index
+from ..sources.files import read_index, read_markdown_tree, read_pages, repo_digest, select_repo_docs, write_index, write_tree
 from ..sources.listings import (
     discover_sources,
     llms_full_to_docs,
@@ -44,13 +44,16 @@ from .snippets import (
 
 
 def src_markdown_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as text files, one file each in the folder of its source, and read back as a tree."""
+    """Documents written as text files, one file each in the folder of its source, and read back as a tree.
+
+    The folders of the sources lie below 64 numbered ones, so that tasks list them.
+    """
     root = scratch_path(spark, "tree")
-    docs = t.table(spark, d, "documents").select("source", "text")
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("source").text(root)
+    docs = t.spread(t.table(spark, d, "documents").select("source", "text"))
+    write_tree(docs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64))), root, "part", "source")
     files = read_markdown_tree(spark, root, "*.txt")
-    folder = F.regexp_extract("title", "^source=([^/]*)/", 1)
-    return files.groupBy(folder.alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))
+    folder = F.regexp_replace(F.regexp_extract("title", "(?:^|/)source=([^/]*)/", 1), r"\+", "%2B")
+    return files.groupBy(F.url_decode(folder).alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
 def src_url_list(spark, d):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS
@@ -15,15 +20,20 @@ DIGEST_TITLE = "# Repository Documentation\n\n**Source:** "
 DIGEST_OVERVIEW = "## Overview\n\n"
 DIGEST_STRUCTURE = "Repository Structure:\n```"
 DIGEST_FILES = "## Documentation Files\n"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # folder of rows without a value
 DIRECTORY_MARK, FILE_MARK = "📁 ", "📄 "
 # -----------------------------------------------------------------------------------------
 
 
 def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(url, title, text) of every markdown file below `root`; the title is the path relative to it."""
+    """(url, title, text) of every markdown file below `root`; the title is the path relative to it.
+
+    Files are read as bytes: the text reader copies the whole Hadoop configuration for each file. A root
+    with more than 32 folders is listed by tasks.
+    """
     files = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-        .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text"))
+        spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root)
+        .select(F.col("_metadata.file_path").alias("_path"), F.col("content").cast("string").alias("text"))
     )
     decoded = F.url_decode(F.regexp_replace("_path", r"\+", "%2B"))
     plain = F.regexp_replace(decoded, "^file:/+", "/")
@@ -34,6 +44,35 @@ def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") ->
     return files.filter(~skipped).select(url.alias("url"), relative.alias("title"), "text")
 
 
+def write_tree(files: DataFrame, root: str, *by: str) -> None:
+    """`text` of each row as a file of its own, below the new folder `root` in folders of the columns `by`, as Spark names them.
+
+    On a mounted file system tasks write the files themselves: Spark's writer would start processes to
+    set the mode of each file, and move them one by one when the job ends. Elsewhere it writes them, and
+    each task moves its own.
+    """
+    if not root.startswith(("/", "file:")):
+        own = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+        return files.select(*by, "text").write.options(**own).partitionBy(*by).text(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        task, written, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            values = zip(*(batch[c].to_pylist() for c in by))
+            for value, text in zip(values, batch["text"]):
+                folder = "/".join([base, *(f"{c}={quote(v, safe='') if v else NO_VALUE}" for c, v in zip(by, value))])
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/part-{task:05d}-{written}.txt") as file:
+                    file.write((text.as_py() or "").encode() + b"\n")
+                written += 1
+        yield pa.RecordBatch.from_pydict({"n": [written]})
+
+    files.select(*(F.col(c).cast("string") for c in by), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, html) of crawled pages."""
     return spark.read.parquet(path).select("page_id", "url", "html")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 import json
 
@@ -9,7 +11,7 @@ from corpusloom.operators.stats import chunks_by_source, platform_stats, source_
 from corpusloom.sources.summaries import stored_chunks_by_source, stored_platform_stats, stored_source_stats
 from corpusloom.sources.registry import docs_of_kind, source_kinds, sources_of_kind
 from corpusloom.sources import files as index_files
-from corpusloom.sources.files import index_summary, merge_index, read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index
+from corpusloom.sources.files import index_summary, merge_index, read_index, read_markdown_tree, repo_digest, select_repo_docs, write_digest, write_index, write_tree
 from corpusloom.sources.listings import (
     discover_sources,
     llms_full_to_docs,
@@ -39,6 +41,27 @@ def test_documents_are_files_of_their_own(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "tree").rglob("*.txt"))) == 40
 
 
+def test_tree_is_written_by_tasks(spark, tmp_path):
+    rows = [("a/b +%", "é\n"), ("a/b +%", "é\n"), (None, "x"), ("s", None), ("s", "")]
+    files = spark.createDataFrame(rows, "source STRING, text STRING").repartition(3)
+    write_tree(files, str(tmp_path / "tree"), "source")
+    found = [p for p in (tmp_path / "tree").rglob("*") if p.is_file()]
+    assert len(found) == 5 and {p.suffix for p in found} == {".txt"}  # no checksums, no mark: Spark's writer moved no file
+    names = {r.title.split("/")[0] for r in read_markdown_tree(spark, str(tmp_path / "tree"), "*.txt").collect()}
+    assert names == {"source=a%2Fb%20%2B%25", "source=__HIVE_DEFAULT_PARTITION__", "source=s"}
+    assert sorted(r.text for r in read_markdown_tree(spark, f"file:{tmp_path}/tree", "*.txt").collect()) == ["\n", "\n", "x\n", "é\n\n", "é\n\n"]
+
+
+def test_names_of_sources_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_plans, "scratch_path", lambda *_: str(tmp_path / "tree"))
+    docs = spark.createDataFrame([("a/b +%", "xx"), ("s=1", "y"), ("s=1", "y")], "source STRING, text STRING")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in text_plans.src_markdown_tree(spark, str(tmp_path)).collect()} == {("a/b +%", 3), ("s=1", 4)}
+    monkeypatch.setattr(text_plans, "scratch_path", lambda *_: os.path.relpath(tmp_path / "spark"))  # not taken for mounted
+    assert {tuple(r) for r in text_plans.src_markdown_tree(spark, str(tmp_path)).collect()} == {("a/b +%", 3), ("s=1", 4)}
+    assert len(list((tmp_path / "spark").rglob("*.txt"))) == 3
+
+
 def test_url_list(spark):
     df = spark.createDataFrame([("s", "# head\n https://a \n\n#x\r\nhttps://b\r\n")], "source_id STRING, text STRING")
     assert [tuple(r) for r in parse_url_list(df).collect()] == [("s", 1, "https://a"), ("s", 4, "https://b")]
