@@ -237,15 +237,15 @@ def crawl_plan(
     Robots rules are tested on what a level reaches, and budgets act inside the walk: pages beyond
     `max_pages` are not visited, and a page that reaches a chunk or byte cap is the last one. Links are
     followed only from pages that have chunks; a url without a page is a failed visit and takes its place
-    in the budget. Places come from ranges of the order, so no source is ordered in one task, and each
-    level is written to the shared folder.
+    in the budget. Places come from ranges of the order, so no source is ordered in one task. The links
+    that a level follows are written before they are judged, or the tests of the rules would run on every
+    stored link, and so is each level.
     """
-    spark = links.sparkSession
     stored = materialise(links.select("src", "dst", "link_pos").filter("src <> dst"), "links")
     known = materialise(pages.groupBy("url").agg(F.max("chunk_count").alias("chunk_count"), F.max("byte_count").alias("byte_count")), "pages")
     begun = materialise(seeds.select("source_id", "url", F.col("depth").cast("int").alias("depth"), F.col("seq").cast("long").alias("seq")), "seeds")
-    empty = "source_id STRING, url STRING, depth INT, pos LONG, chunk_count LONG, byte_count LONG"
-    seen = frontier = spark.createDataFrame([], empty)
+    columns = ["source_id", "url", "depth", "pos", "chunk_count", "byte_count"]
+    seen = frontier = None
     state = materialise(
         begun.select("source_id").distinct().select(
             "source_id", F.lit(None).cast("string").alias("stop_reason"), *(F.lit(0).cast("long").alias(c) for c in ("visited", "chunks", "bytes"))
@@ -254,18 +254,22 @@ def crawl_plan(
     )
     last = begun.agg(F.max("depth").alias("d")).first().d
     for depth in range(max_depth + 1):
-        first = begun.filter(F.col("depth") == depth).select("source_id", "url", F.lit(-1).cast("long").alias("_page"), F.col("seq").alias("_link"))
-        reached = frontier.join(stored, F.col("url") == F.col("src")).select(
-            "source_id", F.col("dst").alias("url"), F.col("pos").alias("_page"), F.col("link_pos").cast("long").alias("_link")
-        )
-        if rules is not None:
-            reached = robots_filter(reached, rules).filter("allowed").drop("allowed")
-        named = first.unionByName(reached).groupBy("source_id", "url").agg(F.min(F.struct("_page", "_link")).alias("_at"))
-        fresh = named.join(seen.select("source_id", "url"), ["source_id", "url"], "left_anti")
+        mentions = begun.filter(F.col("depth") == depth).select("source_id", "url", F.lit(-1).cast("long").alias("_page"), F.col("seq").alias("_link"))
+        if frontier is not None:
+            reached = frontier.join(stored, F.col("url") == F.col("src")).select(
+                "source_id", F.col("dst").alias("url"), F.col("pos").alias("_page"), F.col("link_pos").cast("long").alias("_link")
+            )
+            if rules is not None:
+                reached = robots_filter(materialise(reached, "reached"), rules).filter("allowed").drop("allowed")
+            mentions = mentions.unionByName(reached)
+        fresh = mentions.groupBy("source_id", "url").agg(F.min(F.struct("_page", "_link")).alias("_at"))
+        if seen is not None:
+            fresh = fresh.join(seen.select("source_id", "url"), ["source_id", "url"], "left_anti")
         fresh = fresh.join(state.filter("stop_reason IS NULL").select("source_id"), "source_id")
         placed = numbered(fresh.select("source_id", "url", "_at._page", "_at._link"), "source_id", ["_page", "_link", "url"], "_nth")
         before = state.select("source_id", *(F.col(c).alias(f"_{c}") for c in ("visited", "chunks", "bytes")))
-        level = placed.join(known, "url", "left").join(before, "source_id").select(
+        sizes = known.join(placed.select("url").distinct(), "url", "left_semi")
+        level = placed.join(sizes, "url", "left").join(before, "source_id").select(
             "source_id", "url", F.lit(depth).alias("depth"), (F.col("_visited") + F.col("_nth")).alias("pos"),
             F.col("chunk_count").cast("long").alias("chunk_count"), F.col("byte_count").cast("long").alias("byte_count"), "_chunks", "_bytes",
         )
@@ -302,8 +306,9 @@ def crawl_plan(
             ),
             "crawls",
         )
-        seen = seen.unionByName(visited.select(*seen.columns))
-        frontier = visited.filter("_reason IS NULL AND chunk_count > 0").select(*seen.columns)
+        found = visited.select(*columns)
+        seen = found if seen is None else seen.unionByName(found)
+        frontier = visited.filter("_reason IS NULL AND chunk_count > 0").select(*columns)
         if frontier.isEmpty() and (last is None or depth >= last):
             break
     return seen, state

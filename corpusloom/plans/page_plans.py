@@ -120,12 +120,12 @@ def crawl_reach(spark, d):
 
 def _catalogue(spark, d):
     """Links of a shop: supplier pages list their parts and part pages their suppliers, in the order of the first sale."""
-    lines = t.table(spark, d, "lineitem")
+    sold = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    pairs = t.table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(sold).alias("link_pos"))
     part = F.concat(F.lit("https://shop.example/part/"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("https://shop.example/supplier/"), F.col("l_suppkey").cast("string"))
-    sold = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-    both = F.explode(F.array(F.struct(supplier.alias("src"), part.alias("dst")), F.struct(part.alias("src"), supplier.alias("dst"))))
-    return lines.select(both.alias("e"), sold.alias("sold")).groupBy("e.src", "e.dst").agg(F.min("sold").alias("link_pos"))
+    both = F.array(F.struct(supplier.alias("src"), part.alias("dst")), F.struct(part.alias("src"), supplier.alias("dst")))
+    return pairs.select(F.inline(both), "link_pos")
 
 
 def _catalogue_pages(spark, d):

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import crawl
 from corpusloom.operators.crawl import (
     apply_budget,
     crawl_plan,
@@ -166,6 +167,24 @@ def test_crawl_plan_walks_like_a_queue(spark, caps):
         assert (r.stop_reason, r.visited, r.chunks, r.bytes) == (reason, len(visited), chunks, size)
 
 
+def test_rules_meet_only_what_a_level_reached(spark, monkeypatch):
+    """Judged frames are read back from the shared folder: tests pushed below a join would run on every stored link."""
+    judged = []
+
+    def noted(urls, rules):
+        judged.append(urls._jdf.queryExecution().optimizedPlan().toString())
+        return robots_filter(urls, rules)
+
+    monkeypatch.setattr(crawl, "robots_filter", noted)
+    link_df = spark.createDataFrame([("https://a.example/x", "https://a.example/y", 0)], "src STRING, dst STRING, link_pos LONG")
+    page_df = spark.createDataFrame([(f"https://a.example/{p}", 1, 1) for p in "xy"], "url STRING, chunk_count INT, byte_count INT")
+    seed_df = spark.createDataFrame([("s", "https://a.example/x", 0, 0)], "source_id STRING, url STRING, depth INT, seq INT")
+    rules = spark.createDataFrame([("https://a.example", "disallow", "/no")], "origin STRING, kind STRING, value STRING")
+    plan, _ = crawl.crawl_plan(link_df, page_df, seed_df, rules, 1)
+    assert sorted((r.url[-1], r.depth) for r in plan.collect()) == [("x", 0), ("y", 1)]
+    assert len(judged) == 1 and "Join" not in judged[0]
+
+
 def test_ten_thousand_rules_of_one_origin(spark):
     rng = random.Random(3)
     paths = ["/" + "/".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(1, 7))) for _ in range(12_000)]
