@@ -1,6 +1,8 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusloom.functions import markdown
 from corpusloom.functions.markdown import passages
 from corpusloom.operators.chunking import chunk_drops, chunk_markdown, chunk_sets, heading_outline
 
@@ -93,3 +95,11 @@ def test_one_scan_and_one_python_step(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text"))
     plan = chunk_markdown(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_passages_leave_a_task_in_pieces():
+    texts = [None, "", *("# h\n" + f"line {i} " * 20 for i in range(700))]
+    pieces = list(markdown.split_passages.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [len(p) for p in pieces] == [256, 256, 190]
+    found = [x["content"].split()[3] if x else None for p in pieces for x in (rows[0] if rows else None for rows in p.to_pylist())]
+    assert found == [None, None, *map(str, range(700))]
