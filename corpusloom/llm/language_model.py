@@ -22,7 +22,8 @@ by tokens, those of words by the tokens that used them; a trainer sends only the
 Biases start at the log frequencies, so the model starts as the unigram model.
 
 Scoring keeps the `KNOWN` most frequent words in memory, and more if more have vectors (a bound, not
-a cut: counts of all other words are joined exactly) and normalises each distinct context of a batch once.
+a cut: counts of all other words are joined exactly) and normalises each distinct context of a load once. As exp
+turns sums into products, each of its two words meets the classes once and a context is a product of two rows.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and score each;
 an empty training set leaves uniform classes; an empty table gives no rows; extra columns are left
@@ -33,12 +34,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import materialise
@@ -53,39 +55,48 @@ KNOWN_BYTES = 32  # longer words are joined
 WIDTH, NOISE, WORD_NOISE, BATCH, RATE = 32, 24, 64, 8192, 0.08
 ROUNDS = ((0, 1), (1, 4), (4, 10))  # tenths of the training documents
 END = b""  # no word is empty
-_COUNTER = 500_000  # entries a task counts before it hands them on
-_TOKENS = 200_000  # tokens handled at a time
+_COUNTED, _LOAD = 12 << 20, 5 << 20  # bytes of text counted, or trained on and scored, at a time
 _ROWS = 1024  # contexts normalised at a time, so that their scores stay in the cache
 _BLOCK = 1024  # rows of contexts and leaves sent together
+_COLUMNS, _PAIRS = 64, 2048  # classes and contexts of a product at a time
+_WILD = 40  # products of exp of scores within it neither overflow nor vanish in float32
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """Words between ASCII white space with A-Z lowered, then the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter[bytes] = Counter()
-
-    def told() -> pd.DataFrame:
-        frame = pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
-        seen.clear()
-        return frame
-
+def _loads(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about `size` bytes of text, one row at least."""
     for batch in batches:
-        for text in batch["text"]:
-            seen.update(tokens_of(text))
-            if len(seen) > _COUNTER:
-                yield told()
-    if seen:
-        yield told()
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(ends):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text and all words: between ASCII white space, with A-Z lowered; the ends are left out."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words = pc.list_flatten(lists).cast(pa.binary())
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a text without words has one empty string
+    if not filled.all():
+        sizes[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[~filled]] = 0
+        words = words.filter(pa.array(filled))
+    return sizes, words
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for load in _loads(batches, _COUNTED):
+        _, words = split_words(load["text"])
+        counted = pc.value_counts(words)
+        yield pa.record_batch([counted.field("values"), counted.field("counts")], names=["word", "n"])
+        yield pa.record_batch([pa.array([END]), pa.array([load.num_rows])], names=["word", "n"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, the end token included; written once."""
-    counted = docs.select("text").mapInPandas(_count, "word binary, n long")
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "word binary, n long")
     return materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -128,11 +139,11 @@ class Vocabulary:
     other: tuple[int, int, int] = (FREQUENT + SUFFIXES, 0, 1)  # the class of all other suffixes
     inside: Inside | None = None
     rest: np.ndarray | None = None  # sum of (count + 0.1) of the other words of each suffix class
-    index: dict[bytes, int] = field(default_factory=dict, repr=False)
+    known: pa.Array | None = field(default=None, repr=False)
     classes: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}, "classes": None}
+        return self.__dict__ | {"known": None, "classes": None}
 
     @property
     def n_classes(self) -> int:
@@ -144,18 +155,26 @@ class Vocabulary:
         return further + part - 1 if part else first
 
     def prepare(self) -> None:
-        if not self.index:
-            self.index = {w: i for i, w in enumerate(self.words)} or {None: 0}
+        if self.known is None:
+            self.known = pa.array(self.words, pa.binary())
             self.classes = np.array([i if i < FREQUENT else self.suffix(w) for i, w in enumerate(self.words)], np.int64)
 
-    def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the known word or -1, class) of each token."""
-        get = self.index.get
-        at = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-        cls = self.classes[at] if len(self.words) else np.zeros(len(at), np.int64)
-        for i in np.flatnonzero(at < 0).tolist():
-            cls[i] = self.suffix(tokens[i])
-        return at, cls
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(start of each text, index of the known word or -1 and class of each token, the tokens that are not known).
+
+        Each text is closed by the end token, which is the first of the known words if there are any.
+        """
+        sizes, words = split_words(texts)
+        ends = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(words) + len(ends), bool)
+        inner[ends] = False
+        found = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        at = np.full(len(inner), 0 if self.words else -1, np.int64)
+        at[inner] = found
+        cls = self.classes.take(at) if self.words else np.full(len(at), self.suffix(END))
+        rest = words.filter(pa.array(found < 0))
+        cls[np.flatnonzero(inner & (at < 0))] = [self.suffix(w) for w in rest.to_pylist()]
+        return ends - sizes, at, cls, rest
 
     def leaves(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Leaf of each token; -1 where the class is a single token."""
@@ -281,13 +300,18 @@ class LogBilinear:
         parts = (v.reshape(p.shape).astype(np.float32) for v, p in zip(np.split(flat, cuts), self.parts()))
         return LogBilinear(*parts, self.rows.copy(), self.own)
 
+    def side(self, plan: np.ndarray, at: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """What a token before adds to a context vector by a linear map, from its class and its word with a vector (-1: none)."""
+        r = (self.context @ plan).take(at, axis=0)
+        if own is not None:
+            mine = np.flatnonzero(own >= 0)
+            r[mine] += self.rows.take(own[mine], axis=0)[:, :WIDTH] @ plan
+        return r
+
     def vectors(self, one: np.ndarray, two: np.ndarray, ones: np.ndarray | None = None, twos: np.ndarray | None = None) -> np.ndarray:
         """Context vectors from the classes just before and before that, and their words with vectors (-1: none)."""
-        r = (self.context @ self.near)[one] + (self.context @ self.far)[two]
-        for own, plan in ((ones, self.near), (twos, self.far)):
-            if own is not None:
-                at = np.flatnonzero(own >= 0)
-                r[at] += self.rows[own[at], :WIDTH] @ plan
+        r = self.side(self.near, one, ones)
+        r += self.side(self.far, two, twos)
         return r
 
     def log_classes(self, r: np.ndarray) -> np.ndarray:
@@ -298,29 +322,49 @@ class LogBilinear:
 
     def log_leaves(self, r: np.ndarray, leaves: np.ndarray, inside: Inside) -> np.ndarray:
         """log p of each leaf inside its class after the context vector beside it."""
+        return self.log_inside(lambda at: _with_one(r.take(at, axis=0)), leaves, inside)
+
+    def log_inside(self, vectors: Callable[[np.ndarray], np.ndarray], leaves: np.ndarray, inside: Inside) -> np.ndarray:
+        """log p of each leaf inside its class; `vectors` gives the context vectors of some places, with a one at their end."""
         out = np.empty(len(leaves))
-        cls = inside.cls[leaves]
-        order = np.argsort(cls, kind="stable")
+        cls = inside.cls.take(leaves)
+        order = _order(cls)
         cuts = np.flatnonzero(np.diff(cls[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:
             a, b = inside.starts[cls[at[0]]], inside.starts[cls[at[0]] + 1]
-            row = np.ascontiguousarray(self.rows[self.own + a : self.own + b].T)
+            row = self.rows[self.own + a : self.own + b].T
             for i in range(0, len(at), _ROWS):
                 some = at[i : i + _ROWS]
-                z = _with_one(r[some]) @ row
+                z = vectors(some) @ row
                 mine = z[np.arange(len(some)), inside.place[leaves[some]] - a]
                 out[some] = mine - _log_sums(z)
         return out
 
-    def log_of(self, r: np.ndarray, cls: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """log p of the classes `cls` after the context vectors r[where]; `where` is in order."""
-        out = np.empty(len(cls))
-        target = np.ascontiguousarray(np.hstack([self.target, self.bias[:, None]]).T.astype(np.float32))
-        cuts = np.searchsorted(where, np.arange(0, len(r) + _ROWS, _ROWS))
-        for first, a, b in zip(range(0, len(r), _ROWS), cuts, cuts[1:]):
-            z = _with_one(r[first : first + _ROWS]) @ target
-            mine = z[where[a:b] - first, cls[a:b]]
-            out[a:b] = mine - _log_sums(z)[where[a:b] - first]
+    def log_class_sums(self, ones: np.ndarray, twos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log of the sum over classes of exp of their scores, for the context vectors ones[a] + twos[b].
+
+        Sums beyond what float32 holds are taken the plain way.
+        """
+        total = np.zeros(len(a), np.float32)
+        wild = np.zeros(len(ones), bool), np.zeros(len(twos), bool)
+        for c in range(0, len(self.bias), _COLUMNS):
+            target = self.target[c : c + _COLUMNS].T
+            sides = ones @ target + self.bias[c : c + _COLUMNS], twos @ target
+            for side, far in zip(sides, wild):
+                if side.max(initial=0) > _WILD or side.min(initial=0) < -_WILD:
+                    far |= (np.abs(side) > _WILD).any(axis=1)
+                    np.clip(side, -_WILD, _WILD, out=side)
+                np.exp(side, out=side)
+            each = np.ones(target.shape[1], np.float32)
+            for i in range(0, len(a), _PAIRS):
+                product = sides[0].take(a[i : i + _PAIRS], axis=0)
+                product *= sides[1].take(b[i : i + _PAIRS], axis=0)
+                total[i : i + _PAIRS] += product @ each
+        out = np.log(total)
+        plain = np.flatnonzero(wild[0][a] | wild[1][b])
+        for i in range(0, len(plain), _ROWS):
+            at = plain[i : i + _ROWS]
+            out[at] = _log_sums((ones[a[at]] + twos[b[at]]) @ self.target.T + self.bias)
         return out
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -328,16 +372,36 @@ class LogBilinear:
         return self.log_classes(self.vectors(one, two))
 
 
+def _order(at: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2^32, by halves of 16 bits, which numpy sorts by their digits."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    high = at >> 16
+    return order.take(np.argsort(high.take(order).astype(np.uint16), kind="stable")) if high.any() else order
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers, how often each occurs, and the sum of its rows."""
+    order = _order(at)
+    ordered = at.take(order)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[starts], np.diff(starts, append=len(at)), np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
+
+
 def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sum of the rows of each number below n."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    ordered = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[ordered[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    some, _, sums = _summed(at, rows)
+    out[some] = sums
     return out
 
 
+def _odds(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(z)), within bounds; `z` is overwritten."""
+    np.exp(np.clip(z, -30, 30, out=z), out=z)
+    z += 1
+    return np.divide(1, z, out=z)
+
+
 def _with_one(r: np.ndarray) -> np.ndarray:
     """Context vectors with a last column of ones, which meets the biases."""
     out = np.ones((len(r), r.shape[1] + 1), np.float32)
@@ -374,14 +438,15 @@ class Trainer:
 
     def _rows_step(self, at: np.ndarray, slopes: np.ndarray) -> None:
         """AdaGrad on the rows of contexts and leaves that a batch uses."""
-        order = np.argsort(at, kind="stable")
-        ordered = at[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        rows = ordered[starts]
-        slope = np.add.reduceat(slopes[order], starts, axis=0)
-        self.warm[rows] += slope * slope
-        self.m.rows[rows] += RATE * slope / np.sqrt(self.warm[rows])
-        self.used[rows] += np.diff([*starts.tolist(), len(at)])
+        rows, times, slope = _summed(at, slopes)
+        warm = self.warm.take(rows, axis=0)
+        warm += slope * slope
+        self.warm[rows] = warm
+        slope *= RATE
+        slope /= np.sqrt(warm, out=warm)
+        slope += self.m.rows.take(rows, axis=0)
+        self.m.rows[rows] = slope
+        self.used[rows] += times
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, ones=None, twos=None, leaves=None) -> None:
         """A batch of contexts and classes, with the words with vectors and the leaves if there are any."""
@@ -389,45 +454,60 @@ class Trainer:
         fake = self.draw.choice(len(self.noise), NOISE, p=self.noise)
         r = m.vectors(one, two, ones, twos)
         shift = m.bias - self.log_noise
-        own = np.einsum("ij,ij->i", r, m.target[word]) + shift[word]
-        other = r @ m.target[fake].T + shift[fake]
-        up = 1 / (1 + np.exp(np.clip(own, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
+        target = m.target.take(word, axis=0)
+        up = _odds(np.einsum("ij,ij->i", r, target) + shift.take(word))
+        other = r @ m.target[fake].T
+        other += shift[fake]
+        down = _odds(np.negative(other, out=other))  # taken off, not added
         n_classes = len(m.bias)
-        d_r = up[:, None] * m.target[word] + down @ m.target[fake]
+        d_r = target
+        d_r *= up[:, None]
+        d_r -= down @ m.target[fake]
         d_target = _add_rows(n_classes, word, up[:, None] * r)
-        np.add.at(d_target, fake, down.T @ r)
-        d_bias = np.bincount(word, up, n_classes) + np.bincount(fake, down.sum(axis=0), n_classes)
-        used, slopes = [], []
-        if leaves is not None:
-            deep = np.flatnonzero(leaves >= 0)
-            if len(deep):
-                mine, place = r[deep], self.inside.place[leaves[deep]]
-                drawn = np.searchsorted(self.reach, self.draw.random(WORD_NOISE) * self.reach[-1], "right")
-                row, noise = m.rows[m.own + place], m.rows[m.own + drawn]
-                z = np.einsum("ij,ij->i", mine, row[:, :WIDTH]) + row[:, WIDTH] - self.log_words[place]
-                z_noise = mine @ noise[:, :WIDTH].T + (noise[:, WIDTH] - self.log_words[drawn])
-                up = (1 / (1 + np.exp(np.clip(z, -30, 30))))[:, None]
-                down = -1 / (1 + np.exp(-np.clip(z_noise, -30, 30)))
-                d_r[deep] += up * row[:, :WIDTH] + down @ noise[:, :WIDTH]
-                used += [m.own + place, m.own + drawn]
-                slopes += [np.hstack([up * mine, up]), np.hstack([down.T @ mine, down.sum(axis=0)[:, None]])]
+        np.subtract.at(d_target, fake, down.T @ r)
+        d_bias = np.bincount(word, up, n_classes) - np.bincount(fake, down.sum(axis=0), n_classes)
+        deep = np.flatnonzero(leaves >= 0) if leaves is not None else np.empty(0, np.int64)
+        asked = [(own, np.flatnonzero(own >= 0)) for own in (ones, twos) if own is not None]
+        n_used = sum(len(at) for _, at in asked) + (len(deep) + WORD_NOISE if len(deep) else 0)
+        used, slopes, filled = np.empty(n_used, np.int64), np.empty((n_used, WIDTH + 1), np.float32), 0
+        if len(deep):
+            mine, place = r.take(deep, axis=0), self.inside.place.take(leaves.take(deep))
+            drawn = np.searchsorted(self.reach, self.draw.random(WORD_NOISE) * self.reach[-1], "right")
+            row, noise = m.rows.take(m.own + place, axis=0), m.rows[m.own + drawn]
+            up = _odds(np.einsum("ij,ij->i", mine, row[:, :WIDTH]) + row[:, WIDTH] - self.log_words.take(place))[:, None]
+            z = mine @ noise[:, :WIDTH].T
+            z += noise[:, WIDTH] - self.log_words[drawn]
+            down = _odds(np.negative(z, out=z))
+            row *= up
+            push = row[:, :WIDTH]
+            push -= down @ noise[:, :WIDTH]
+            d_r[deep] += push
+            n = filled = len(deep)
+            used[:n] = m.own + place
+            np.multiply(mine, up, out=slopes[:n, :WIDTH])
+            slopes[:n, WIDTH] = up[:, 0]
+            filled += WORD_NOISE
+            used[n:filled] = m.own + drawn
+            slopes[n:filled, :WIDTH] = -(down.T @ mine)
+            slopes[n:filled, WIDTH] = -down.sum(axis=0)
         d_one, d_two = (_add_rows(n_classes + 1, at, d_r) for at in (one, two))
         d_context = d_one @ m.near.T + d_two @ m.far.T
         plans = [m.context.T @ d_one, m.context.T @ d_two]
-        for i, (own, plan) in enumerate(((ones, m.near), (twos, m.far))):
-            if own is not None:
-                at = np.flatnonzero(own >= 0)
-                plans[i] = plans[i] + m.rows[own[at], :WIDTH].T @ d_r[at]
-                used.append(own[at])
-                slopes.append(np.pad(d_r[at] @ plan.T, ((0, 0), (0, 1))))
+        for i, ((own, at), plan) in enumerate(zip(asked, (m.near, m.far))):
+            rows, some = own.take(at), d_r.take(at, axis=0)
+            plans[i] = plans[i] + m.rows.take(rows, axis=0)[:, :WIDTH].T @ some
+            last = filled + len(at)
+            used[filled:last] = rows
+            slopes[filled:last, :WIDTH] = some @ plan.T
+            slopes[filled:last, WIDTH] = 0
+            filled = last
         steps = [d_context, *plans, d_target, d_bias]
         for part, heat, slope in zip(m.parts(), self.heat, steps):
             slope = (slope / len(word)).astype(np.float32)
             heat += slope * slope
             part += RATE * slope / np.sqrt(heat)
-        if sum(map(len, used)):
-            self._rows_step(np.concatenate(used), np.concatenate(slopes).astype(np.float32))
+        if n_used:
+            self._rows_step(used, slopes)
 
 
 def contexts(classes: np.ndarray, starts: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray]:
@@ -439,36 +519,22 @@ def contexts(classes: np.ndarray, starts: np.ndarray, opening: int) -> tuple[np.
     return one, two
 
 
-def _loads(texts: Iterator[str]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(start of every text, tokens) of as many texts as make up a load."""
-    starts: list[int] = []
-    tokens: list[bytes] = []
-    for text in texts:
-        starts.append(len(tokens))
-        tokens += tokens_of(text)
-        if len(tokens) >= _TOKENS:
-            yield starts, tokens
-            starts, tokens = [], []
-    if starts:
-        yield starts, tokens
-
-
 def _train(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words, model = shared.value
         words.prepare()
         trainer = Trainer(model, words.totals / words.totals.sum(), TaskContext.get().partitionId(), words.inside)
         seen = 0
-        for starts, tokens in _loads(text for batch in batches for text in batch["text"]):
-            known, cls = words.look_up(tokens)
+        for load in _loads(batches, _LOAD):
+            starts, known, cls, _ = words.look_up(load["text"])
             leaves = words.leaves(known, cls)
-            (one, ones), (two, twos) = map(words.parted, words.contexts(cls, leaves, np.array(starts)))
+            (one, ones), (two, twos) = map(words.parted, words.contexts(cls, leaves, starts))
             order = trainer.draw.permutation(len(cls))
             for first in range(0, len(order), BATCH):
                 at = order[first : first + BATCH]
-                trainer.step(one[at], two[at], cls[at], ones[at], twos[at], leaves[at])
+                trainer.step(*(v.take(at) for v in (one, two, cls, ones, twos, leaves)))
             seen += len(cls)
         if seen:
             yield _sent(-1, seen, np.empty(0), np.empty(0), trainer.m.flat().astype(np.float64) * seen)
@@ -483,21 +549,23 @@ def _train(shared):
 _SENT = "block int, n long, at binary, used binary, sum binary"
 
 
-def _sent(block: int, n: int, at: np.ndarray, used: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+def _sent(block: int, n: int, at: np.ndarray, used: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
     raw = [at.astype(np.int16).tobytes(), used.astype(np.float32).tobytes(), total.tobytes()]
-    return pd.DataFrame([(block, n, *raw)], columns=["block", "n", "at", "used", "sum"])
+    numbers = [pa.array([block], pa.int32()), pa.array([n], pa.int64())]
+    return pa.record_batch(numbers + [pa.array([v], pa.binary()) for v in raw], names=["block", "n", "at", "used", "sum"])
 
 
-def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each block; block -1 has the parameters that every task uses."""
     seen, total = 0, None
     blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for block, n, at, used, raw in batch.itertuples(index=False):
+        for block, n, at, used, raw in zip(*(batch[c] for c in ("block", "n", "at", "used", "sum"))):
+            block, at, used, raw = block.as_py(), at.as_buffer(), used.as_buffer(), raw.as_buffer()
             if block < 0:
                 part = np.frombuffer(raw)
                 total = part.copy() if total is None else total + part
-                seen += int(n)
+                seen += n.as_py()
                 continue
             if block not in blocks:
                 blocks[block] = np.zeros(_BLOCK, np.float32), np.zeros((_BLOCK, WIDTH + 1), np.float32)
@@ -511,16 +579,27 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _sent(block, 0, rows, used[rows], sums[rows])
 
 
+def deal(docs: DataFrame, trainers: int, low: int, high: int, key: str = "doc_id") -> DataFrame:
+    """Texts of the tenths from `low` to below `high`, one partition a trainer, in order of their hash.
+
+    The partition is named, not hashed: the number of trainers, and with it what they send, is never
+    that of the session's shuffle partitions.
+    """
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(key, "text").alias("h"))
+    tenth = F.pmod("h", F.lit(10))
+    mine = hashed.filter((tenth >= low) & (tenth < high))
+    trainer = F.pmod(F.shiftright("h", 16), F.lit(trainers)).cast("int")  # apart from the tenths
+    return mine.repartitionById(trainers, trainer).sortWithinPartitions("h").select("text")
+
+
 def train(docs: DataFrame, words: Vocabulary, key: str = "doc_id") -> LogBilinear:
     """Rounds of parallel steps; one sum of each parameter reaches the driver in a round."""
     model = LogBilinear.start(words)
-    dealt = docs.select("text", F.xxhash64(key, "text").alias("h"))
-    part = F.pmod("h", F.lit(10))
     trainers = max(1, round(math.sqrt(words.tokens) / TRAINER_ROOT))
     for low, high in ROUNDS:
         shared = docs.sparkSession.sparkContext.broadcast((words, model))
-        mine = dealt.filter((part >= low) & (part < high)).repartition(trainers, "h").sortWithinPartitions("h").select("text")
-        sums = mine.mapInPandas(_train(shared), _SENT).repartition(16, "block").mapInPandas(_add, _SENT).collect()
+        sent = deal(docs, trainers, low, high, key).mapInArrow(_train(shared), _SENT)
+        sums = sent.repartition(16, "block").mapInArrow(_add, _SENT).collect()
         whole = [row for row in sums if row.block < 0]
         if whole:
             model = model.like(sum(np.frombuffer(row["sum"]) for row in whole) / sum(row.n for row in whole))
@@ -532,40 +611,65 @@ def train(docs: DataFrame, words: Vocabulary, key: str = "doc_id") -> LogBilinea
     return model
 
 
-def _score(shared):
-    names = ["n_tokens", "n_known", "base", "model", "rare", "times"]
+def log_tokens(words: Vocabulary, model: LogBilinear, cls: np.ndarray, leaves: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log p of the class of each token after its context and, where it has one, of its leaf inside the class."""
+    before = words.contexts(cls, leaves, starts)
+    seen = np.zeros(words.n_classes + 1 + words.own, bool)
+    for ids in before:
+        seen[ids] = True
+    ids = np.flatnonzero(seen)
+    place = np.cumsum(seen) - 1
+    one, two = (place.take(c) for c in before)
+    at, own = words.parted(ids)
+    near, far = model.side(model.near, at, own), model.side(model.far, at, own)
+    pairs, where = np.unique(one * len(ids) + two, return_inverse=True)
+    logs = -model.log_class_sums(near, far, pairs // len(ids), pairs % len(ids)).astype(np.float64).take(where)
+    near, far = _with_one(near), np.pad(far, ((0, 0), (0, 1)))
+    target = np.hstack([model.target, model.bias[:, None]]).astype(np.float32)
+
+    def vectors(some: np.ndarray) -> np.ndarray:
+        r = near.take(one.take(some), axis=0)
+        r += far.take(two.take(some), axis=0)
+        return r
+
+    for i in range(0, len(cls), _PAIRS):
+        some = np.arange(i, min(i + _PAIRS, len(cls)))
+        logs[some] += np.einsum("ij,ij->i", vectors(some), target.take(cls[some], axis=0))
+    deep = np.flatnonzero(leaves >= 0)
+    if len(deep):
+        logs[deep] += model.log_inside(lambda some: vectors(deep.take(some)), leaves.take(deep), words.inside)
+    return logs
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rare(texts: np.ndarray, n_texts: int, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Distinct words and their times of each text, given the text of each word, as lists."""
+    coded = words.dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    found, times = np.unique(texts * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    cuts = pa.array(np.searchsorted(found, np.arange(n_texts + 1) * n), pa.int32())
+    return pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(found % n))), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
         words.prepare()
         log_count = np.log10(np.append(words.counts, 0) + 0.1)
         log_rest = np.log10(words.rest)
-        n_contexts = words.n_classes + 1 + words.own
-        for batch in batches:
-            found = []
-            for starts, tokens in _loads(iter(batch.pop("text"))):
-                at, cls = words.look_up(tokens)
-                leaves = words.leaves(at, cls)
-                one, two = words.contexts(cls, leaves, np.array(starts))
-                pairs, where = np.unique(one * n_contexts + two, return_inverse=True)
-                (a_one, a_own), (b_one, b_own) = words.parted(pairs // n_contexts), words.parted(pairs % n_contexts)
-                r = model.vectors(a_one, b_one, a_own, b_own)
-                order = np.argsort(where, kind="stable")
-                logs = np.empty(len(cls))
-                logs[order] = model.log_of(r, cls[order], where[order])
-                deep = np.flatnonzero(leaves >= 0)
-                logs[deep] += model.log_leaves(r[where[deep]], leaves[deep], words.inside)
-                known = at >= 0
-                counted = np.where(known, log_count[at], 0)
-                logs = logs / math.log(10) + np.where(leaves >= words.own, counted - log_rest[np.maximum(cls - FREQUENT, 0)], 0)
-                sums = (np.add.reduceat(v, starts) for v in (known.astype(np.int64), counted, logs))
-                sizes = np.diff([*starts, len(tokens)])
-                rest = np.flatnonzero(~known)
-                cuts = np.searchsorted(rest, [*starts, len(tokens)])
-                for i, (size, n, base, score) in enumerate(zip(sizes.tolist(), *(s.tolist() for s in sums))):
-                    rare = Counter(tokens[j] for j in rest[cuts[i] : cuts[i + 1]].tolist())
-                    found.append((size, n, base, score, list(rare.keys()), list(rare.values())))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+        for load in _loads(batches, _LOAD):
+            starts, at, cls, rest = words.look_up(load["text"])
+            leaves = words.leaves(at, cls)
+            logs = log_tokens(words, model, cls, leaves, starts)
+            sizes = np.diff(starts, append=len(at))
+            known = at >= 0
+            joined = ~known
+            joined[starts + sizes - 1] = False
+            counted = np.where(joined, 0, log_count.take(at, mode="wrap"))
+            logs = logs / math.log(10) + np.where(leaves >= words.own, counted - log_rest[np.maximum(cls - FREQUENT, 0)], 0)
+            sums = (np.add.reduceat(v, starts) for v in (known.astype(np.int64), counted, logs))
+            texts = np.repeat(np.arange(len(starts)), sizes)[joined]
+            columns = [load["row"], load["_key"], pa.array(sizes), *map(pa.array, sums), *_rare(texts, len(starts), rest)]
+            yield pa.record_batch(columns, names=["row", "_key", "n_tokens", "n_known", "base", "model", "rare", "times"])
 
     return run
 
@@ -582,7 +686,7 @@ def score_documents(docs: DataFrame, trained_on: Column, key: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast((words, train(learned, words, key)))
     rows = plain.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("_key"), "text")
     schema = "row long, _key string, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<long>"
-    scored = materialise(rows.mapInPandas(_score(shared), schema), "scored")
+    scored = materialise(rows.mapInArrow(_score(shared), schema), "scored")
     pairs = F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))
     single = scored.select("row", F.explode(pairs).alias("p")).select("row", "p.word", "p.times")
     counted = single.join(counts, "word", "left")

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import decontamination, jaccard_join, language_model, quality_model, queries_models, shingles, toxicity
 from corpusloom.llm.labels import all_labelled, fold, labelled
@@ -324,6 +325,37 @@ def test_probabilities_are_normalised():
     assert table[np.arange(50), (np.arange(50) * 7 + 3) % 50].mean() > np.log(0.2)
 
 
+def test_sums_of_products_are_those_of_scores():
+    totals = np.random.default_rng(0).uniform(1, 9, language_model.FREQUENT + language_model.SUFFIXES + 1)
+    vocabulary = language_model.Vocabulary([], np.empty(0), {}, totals, 500, 100)
+    model = language_model.LogBilinear.start(vocabulary)
+    draw = np.random.default_rng(3)
+    ones, twos = (draw.normal(0, 4, (90, language_model.WIDTH)).astype(np.float32) for _ in range(2))
+    ones[:5] *= 200  # far beyond what a product of exps can hold
+    a, b = draw.integers(0, 90, 5000), draw.integers(0, 90, 5000)
+    scores = (ones[a] + twos[b]).astype(np.float64) @ model.target.T + model.bias
+    top = scores.max(axis=1)
+    want = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    assert np.allclose(model.log_class_sums(ones, twos, a, b), want, rtol=1e-4, atol=1e-4)
+
+
+def test_words_of_arrow_texts():
+    texts = ["", " ", "One\ttwo\x0b\x0cTHREE \r\n", "a\x1cb \u00c4\u00e4 \u00a0 \u2003x", "\n" * 3, "end"]
+    sizes, words = language_model.split_words(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_trainers_are_not_the_shuffle_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    plain = DataFrame.repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda df, n, *by: plain(df, max(n, 60) if by else n, *by))
+    rounds = [language_model.deal(docs, 16, low, high) for low, high in language_model.ROUNDS]
+    assert [d.rdd.getNumPartitions() for d in rounds] == [16] * 3
+    assert sum(d.count() for d in rounds) == 2000
+    assert all(len(set(d.rdd.glom().map(len).collect())) > 1 and 0 not in d.rdd.glom().map(len).collect() for d in rounds)
+
+
 def test_words_beyond_the_frequent_are_learned(spark):
     draw = random.Random(7)
     lines = [f"f{i} " * 120 for i in range(500)] + [f"w{i}ab v{i}cd" for i in range(40) for _ in range(60)] + ["once"]
