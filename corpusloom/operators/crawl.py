@@ -154,18 +154,21 @@ def sitemap_locs(maps: DataFrame) -> DataFrame:
 def expand_sitemaps(maps: DataFrame, roots: DataFrame) -> DataFrame:
     """(origin, url): pages that the roots (origin, sitemap_url) and the sitemaps nested below them list.
 
-    `origin` is where a crawl starts: nested sitemaps may lie elsewhere, pages may not. Rounds go on
-    until no further sitemap is found; each is written to the shared folder.
+    `origin` is where a crawl starts: nested sitemaps may lie elsewhere, pages may not. What lies below
+    a root is walked once for all origins that name it, and a page meets the roots of its own origin only.
+    Rounds go on until no further sitemap is found; each is written to the shared folder.
     """
     entries = materialise(sitemap_locs(maps.select("sitemap_url", "xml")), "sitemaps")
-    known = fresh = materialise(roots.select("origin", "sitemap_url").distinct(), "sitemaps")
+    named = materialise(roots.select("origin", F.col("sitemap_url").alias("root")).distinct(), "sitemaps")
+    known = fresh = materialise(named.select("root", F.col("root").alias("sitemap_url")).distinct(), "sitemaps")
     nested = entries.filter("nested").select("sitemap_url", F.col("loc").alias("_next"))
     while not fresh.isEmpty():
-        found = fresh.join(nested, "sitemap_url").select("origin", F.col("_next").alias("sitemap_url")).distinct()
-        fresh = materialise(found.join(known, ["origin", "sitemap_url"], "left_anti"), "sitemaps")
+        found = fresh.join(nested, "sitemap_url").select("root", F.col("_next").alias("sitemap_url")).distinct()
+        fresh = materialise(found.join(known, ["root", "sitemap_url"], "left_anti"), "sitemaps")
         known = known.unionByName(fresh)
-    pages = known.join(entries.filter(~F.col("nested")), "sitemap_url").filter(url_origin(F.col("loc")) == F.col("origin"))
-    return pages.select("origin", F.col("loc").alias("url")).distinct()
+    pages = entries.filter(~F.col("nested")).select("sitemap_url", "loc", url_origin(F.col("loc")).alias("origin"))
+    listed = pages.join(named, "origin").join(known, ["root", "sitemap_url"], "left_semi")
+    return listed.select("origin", F.col("loc").alias("url")).distinct()
 
 
 def crawl_seeds(starts: DataFrame, maps: DataFrame, rules: DataFrame) -> DataFrame:

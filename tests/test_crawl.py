@@ -16,6 +16,7 @@ from corpusloom.operators.crawl import (
     robots_filter,
 )
 from corpusloom.operators.running import numbered, running
+from corpusloom.settings import materialise
 
 
 def test_reach_smallest_depth(spark):
@@ -50,6 +51,26 @@ def test_sitemap_tree(spark):
     assert seeds[("https://b", "https://b/not")] == 1 and ("https://b", "https://a/three") not in seeds
 
 
+def test_a_shared_root_is_walked_once(spark, monkeypatch):
+    """60 origins name one root of 60 sitemaps: no step holds a row for each origin and sitemap."""
+    sizes = []
+
+    def spied(df, label):
+        stored = materialise(df, label)
+        sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(crawl, "materialise", spied)
+    root = "https://root/sitemap.xml"
+    maps = [(root, f"<loc>https://o{i}/sitemap.xml</loc>") for i in range(60)]
+    maps += [(f"https://o{i}/sitemap.xml", f"<loc>/p</loc><loc>https://o{(i + 1) % 60}/q</loc>") for i in range(60)]
+    df = spark.createDataFrame(maps, "sitemap_url STRING, xml STRING")
+    roots = spark.createDataFrame([(f"https://o{i}", root) for i in range(60)], "origin STRING, sitemap_url STRING")
+    found = {(r.origin, r.url) for r in expand_sitemaps(df, roots).collect()}
+    assert found == {(f"https://o{i}", f"https://o{i}/{p}") for i in range(60) for p in "pq"}
+    assert max(sizes) == 180  # the entries
+
+
 def test_running_values_over_several_blocks(spark):
     rng = random.Random(7)
     rows = [(k, i, rng.randint(0, 9), rng.random() < 0.3) for k in "ab" for i in rng.sample(range(500), 120)]
