@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS
+from ..settings import DIGEST_EXCLUDES, DOC_DIRS, README_NAMES, SKIP_DIRS, materialise
 from .summaries import SUMMARY, read_summaries, summarise
 from .versions import Entry, commit_version, fresh_folder, read_version
 
@@ -23,14 +26,27 @@ DIGEST_FILES = "## Documentation Files\n"
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # folder of rows without a value
 DIRECTORY_MARK, FILE_MARK = "📁 ", "📄 "
 # -----------------------------------------------------------------------------------------
+LISTED = 8192  # names a listing task hands over at once
+READ_BYTES = 4 << 20  # texts a reading task hands over at once
+TASK_FILES = 4096
+LISTING_TASKS = 1024
 
 
 def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(url, title, text) of every markdown file below `root`; the title is the path relative to it.
 
-    Files are read as bytes: the text reader copies the whole Hadoop configuration for each file. A root
-    with more than 32 folders is listed by tasks.
+    A folder of a mounted file system is listed and read by tasks, so the driver holds no names and its tasks are of
+    `TASK_FILES` files; links to folders are not followed there. Any other root goes through Spark's reader, which
+    holds the list of the files on the driver and leaves out names that begin with a dot or an underscore. Files are
+    read as bytes: the text reader copies the whole Hadoop configuration for each file.
     """
+    base = re.sub("^(file:)?/+", "/", root)
+    if base.startswith("/") and os.path.isdir(base):
+        base = os.path.normpath(base)
+        path = F.col("path").cast("string")
+        title = F.substring(path, len(base.rstrip("/")) + 2, 1 << 30)
+        files = _listed(spark, base, pattern).mapInArrow(_read, "path BINARY, text BINARY")
+        return files.select(F.concat(F.lit("file://"), path).alias("url"), title.alias("title"), F.col("text").cast("string").alias("text"))
     files = (
         spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root)
         .select(F.col("_metadata.file_path").alias("_path"), F.col("content").cast("string").alias("text"))
@@ -44,6 +60,66 @@ def read_markdown_tree(spark: SparkSession, root: str, pattern: str = "*.md") ->
     return files.filter(~skipped).select(url.alias("url"), relative.alias("title"), "text")
 
 
+def _listed(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    """(path) of the files below the folder `base` whose names match, dealt to reading tasks.
+
+    Tasks list one level of folders after the other; the lists lie in the shared folder, and only their sizes
+    come to the driver.
+    """
+    wanted = f"(?s)^(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(pattern).pattern()})\\z"
+    named = F.substring_index(F.col("path").cast("string"), "/", -1).rlike(wanted)
+    folders, n = spark.createDataFrame([(os.fsencode(base),)], "path BINARY"), 1
+    levels = []
+    while n:
+        dealt = folders.repartition(min(n, LISTING_TASKS), "path")
+        found = dealt.mapInArrow(_list, "path BINARY, is_folder BOOLEAN").filter(F.col("is_folder") | named)
+        level = materialise(found, "listing")
+        levels.append(level.filter("not is_folder").select("path"))
+        folders = level.filter("is_folder").select("path")
+        n = folders.count()
+    files = reduce(DataFrame.unionByName, levels)
+    n = files.count()
+    tasks = max(spark.sparkContext.defaultParallelism, n // TASK_FILES)
+    return files.repartition(max(1, min(n, tasks)), "path")
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, is_folder) of what lies in the folders (path)."""
+    skipped = {name.encode() for name in SKIP_DIRS}
+
+    def entries() -> Iterator[tuple[bytes, bool]]:
+        for batch in batches:
+            for folder in batch["path"]:
+                with os.scandir(folder.as_py()) as inside:
+                    for entry in inside:
+                        is_folder = entry.is_dir(follow_symlinks=False)
+                        if entry.name not in skipped and (is_folder or entry.is_file()):
+                            yield entry.path, is_folder
+
+    for some in batched(entries(), LISTED):
+        paths, folders = zip(*some)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(folders, pa.bool_())], ["path", "is_folder"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, text) of the files (path), a few megabytes at a time."""
+
+    def rows(paths: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(texts, pa.binary())], ["path", "text"])
+
+    for batch in batches:
+        paths, texts, size = [], [], 0
+        for path in batch["path"].to_pylist():
+            with open(path, "rb") as file:
+                texts.append(file.read())
+            paths.append(path)
+            size += len(texts[-1])
+            if size >= READ_BYTES:
+                yield rows(paths, texts)
+                paths, texts, size = [], [], 0
+        yield rows(paths, texts)
+
+
 def write_tree(files: DataFrame, root: str, *by: str) -> None:
     """`text` of each row as a file of its own, below the new folder `root` in folders of the columns `by`, as Spark names them.
 

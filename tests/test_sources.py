@@ -32,6 +32,40 @@ def test_markdown_tree(spark, tmp_path):
     assert rows["a.md"].text == "# A\nx" and rows["a.md"].url == f"file://{tmp_path}/a.md"
 
 
+def test_driver_holds_no_list_of_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_files, "TASK_FILES", 10)
+    for i in range(120):
+        (tmp_path / f"f{i % 40}/deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"f{i % 40}/deep/{i}.md").write_text("x" * i)
+    (tmp_path / "empty").mkdir()
+    tree = read_markdown_tree(spark, str(tmp_path))
+    assert not [f for f in tree.inputFiles() if f.endswith(".md")] and tree.rdd.getNumPartitions() == 12
+    assert {(r.title, len(r.text)) for r in tree.collect()} == {(f"f{i % 40}/deep/{i}.md", i) for i in range(120)}
+    (tmp_path / "f0/deep/0.md").rename(tmp_path / "f0/deep/0.mdx")
+    assert read_markdown_tree(spark, str(tmp_path), "*.{mdx,txt}").first().title == "f0/deep/0.mdx"
+    assert read_markdown_tree(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_names_and_links_of_a_tree(spark, tmp_path):
+    """As the reference: hidden names count, links to folders don't, and a title is cut at the root alone."""
+    root = tmp_path / "docs"
+    again = f"sub{root}/a.md"
+    for name in (again, ".github/b.md", "_c.md", "dist", "é\n.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "loop").symlink_to(root)
+    (root / "l.md").symlink_to(root / "_c.md")
+    (root / "gone.md").symlink_to(root / "nothing.md")
+    (root / "d.md").mkdir()
+    with open(os.fsencode(root) + b"/\xff.md", "wb") as file:
+        file.write(b"\xff")
+    rows = read_markdown_tree(spark, f"file:{root}/").selectExpr("title", "url", "cast(text as binary) t", "hex(title) h").collect()
+    assert {r.h: bytes(r.t) for r in rows} == {
+        name.encode().hex().upper(): text.encode() for name, text in {again: again, ".github/b.md": ".github/b.md", "_c.md": "_c.md", "é\n.md": "é\n.md", "l.md": "_c.md"}.items()
+    } | {"FF2E6D64": b"\xff"}
+    assert f"file://{root}/{again}" in {r.url for r in rows}
+
+
 def test_documents_are_files_of_their_own(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_plans, "scratch_path", lambda *_: str(tmp_path / "tree"))
     docs = spark.createDataFrame([(f"s{i % 3 // 2}", "x" * i) for i in range(40)], "source STRING, text STRING").repartition(3)
